@@ -48,12 +48,16 @@ def same_time(a: Column, b: Column) -> Column:
 
 def clean_list(values: Column, extensions: bool = False) -> Column:
     """Trimmed, without empties, first of each spelling kept; extensions lose dots and case."""
-    trimmed = F.transform(values, strip_space)
-    if extensions:
-        trimmed = F.transform(trimmed, lambda v: F.lower(F.regexp_replace(v, r"^\.+", "")))
-    kept = F.filter(trimmed, lambda v: v != "")
-    lowered = F.transform(kept, F.lower)
-    return F.filter(kept, lambda v, i: F.array_position(lowered, F.lower(v)) == (i + 1).cast("long"))
+    def tidy(value: Column) -> Column:
+        value = strip_space(value)
+        return F.lower(F.regexp_replace(value, r"^\.+", "")) if extensions else value
+
+    kept = F.filter(F.transform(values, tidy), lambda v: v != "")
+    # One-element arrays bind the intermediate lists, or every lambda call would rebuild them.
+    both = F.transform(F.array(kept), lambda k: F.struct(k.alias("kept"), F.transform(k, F.lower).alias("lowered")))
+    first = F.transform(both, lambda b: F.filter(
+        b["kept"], lambda v, i: F.array_position(b["lowered"], F.lower(v)) == (i + 1).cast("long")))
+    return F.element_at(first, 1)
 
 
 def normalize_username(typed: Column, domain: str) -> Column:

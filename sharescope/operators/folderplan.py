@@ -16,6 +16,7 @@ from ..functions import paths as P
 from ..functions import values as V
 from ..functions.text import fold
 from ..schema import DEFAULT_MAX_FILES, HISTORY_DAYS
+from ..session import materialize
 from .common import top_per_group
 
 TOTALS = ["files_total", "files_in_plan", "files_checked", "files_misnamed", "files_wrong_type",
@@ -236,25 +237,55 @@ def subtree_counts(folders: DataFrame, files: DataFrame) -> DataFrame:
                     F.coalesce("unknown", F.lit(False)).alias("unknown")))
 
 
-def folder_facts(folders: DataFrame, files: DataFrame, plan: DataFrame) -> DataFrame:
-    """Placement and counts side by side: what every compliance rule looks at."""
+def folder_facts(folders: DataFrame, files: DataFrame, plan: DataFrame, reused: bool = False) -> DataFrame:
+    """Placement and counts side by side: what every compliance rule looks at.
+
+    With `reused` the result, one narrow row per folder, is checkpointed: a full report reads it
+    several times.
+    """
     counts = subtree_counts(folders, files).select("folder_id", "direct", "subtree", "unknown")
-    return placements(folders, plan).join(counts, "folder_id")
+    facts = placements(folders, plan).join(counts, "folder_id")
+    return materialize(facts) if reused else facts
+
+
+def _is_branch_top() -> Column:
+    """An outside folder whose parent is not outside.
+
+    Folders between an entry and this one share its nearest entry, hence its status; so the parent
+    differs only when it is the entry's own folder (or there is no parent).
+    """
+    below_entry = P.depth(F.col("path")) == P.depth(F.col("entry_path")) + 1
+    return F.when(F.col("entry_path").isNull(), F.col("path") == "").otherwise(below_entry)
+
+
+def _is_closed() -> Column:
+    """Planned, but only to group other folders."""
+    return (F.col("status") == "planned") & ~F.col("allow_files")
+
+
+def _is_empty() -> Column:
+    return (F.col("status") == "planned") & (F.col("subtree") == 0) & ~F.col("unknown")
+
+
+def _file_limit(default_limit: int) -> Column:
+    return F.when(F.coalesce("max_files", F.lit(0)) > 0, F.col("max_files")).otherwise(F.lit(default_limit)).cast("long")
+
+
+def _is_overgrown(default_limit: int) -> Column:
+    takes = (F.col("status") == "free") | ((F.col("status") == "planned") & F.col("allow_files"))
+    return takes & (F.col("direct") > _file_limit(default_limit))
 
 
 def outside_branches(facts: DataFrame) -> DataFrame:
     """Tops of unplanned branches, with everything below them."""
-    outside = facts.filter("status = 'outside'")
-    up = outside.withColumn("parent_path", P.parent(F.col("path")))
-    parents = outside.select("share_id", F.col("path").alias("parent_path"))
-    tops = up.join(parents, ["share_id", "parent_path"], "left_anti")
-    return tops.select("share_id", "folder_id", "path", F.col("subtree").alias("files"),
-                       F.lit("not_in_plan").alias("reason"), F.col("entry_path").alias("plan_path"))
+    return facts.filter((F.col("status") == "outside") & _is_branch_top()).select(
+        "share_id", "folder_id", "path", F.col("subtree").alias("files"),
+        F.lit("not_in_plan").alias("reason"), F.col("entry_path").alias("plan_path"))
 
 
 def files_not_allowed(facts: DataFrame) -> DataFrame:
     """Planned folders that only group others, yet hold files."""
-    return facts.filter("status = 'planned' AND NOT allow_files AND direct > 0").select(
+    return facts.filter(_is_closed() & (F.col("direct") > 0)).select(
         "share_id", "folder_id", "path", F.col("direct").alias("files"),
         F.lit("no_files_here").alias("reason"), F.col("entry_path").alias("plan_path"))
 
@@ -285,71 +316,71 @@ def missing_folders(plan: DataFrame, folders: DataFrame) -> DataFrame:
 
 def empty_planned(facts: DataFrame) -> DataFrame:
     """Planned folders known to hold nothing at any depth."""
-    return facts.filter("status = 'planned' AND subtree = 0 AND NOT unknown").select("share_id", "folder_id", "path")
+    return facts.filter(_is_empty()).select("share_id", "folder_id", "path")
 
 
 def overgrown(facts: DataFrame, default_limit: int = DEFAULT_MAX_FILES) -> DataFrame:
     """Folders with more direct files than their entry allows."""
-    cap = F.when(F.coalesce("max_files", F.lit(0)) > 0, F.col("max_files")).otherwise(F.lit(default_limit))
-    takes = (F.col("status") == "free") | ((F.col("status") == "planned") & F.col("allow_files"))
-    return facts.filter(takes & (F.col("direct") > cap)).select(
-        "share_id", "folder_id", "path", F.col("direct").alias("files"), cap.cast("long").alias("limit"))
+    return facts.filter(_is_overgrown(default_limit)).select(
+        "share_id", "folder_id", "path", F.col("direct").alias("files"), _file_limit(default_limit).alias("limit"))
 
 
 def totals(facts: DataFrame, files: DataFrame, plan: DataFrame, folders: DataFrame) -> DataFrame:
-    """The nine totals of every planned share."""
-    off_plan = (F.col("status") == "outside") | ((F.col("status") == "planned") & ~F.col("allow_files"))
+    """The nine totals of every planned share: one pass over folders, one over governed files."""
+    off_plan = (F.col("status") == "outside") | _is_closed()
     tree = facts.groupBy("share_id").agg(
         F.sum("direct").alias("files_total"),
         F.sum(F.when(off_plan, 0).otherwise(F.col("direct"))).alias("files_in_plan"),
-        F.count_if((F.col("status") == "planned") & (F.col("subtree") == 0) & ~F.col("unknown")).alias("folders_empty"))
+        F.count_if(_is_empty()).alias("folders_empty"),
+        F.count_if(_is_overgrown(DEFAULT_MAX_FILES)).alias("folders_overgrown"))
     named = governed_files(facts, files).groupBy("share_id").agg(
         F.count_if("checked").alias("files_checked"), F.count_if("misnamed").alias("files_misnamed"),
         F.count_if("wrong_type").alias("files_wrong_type"))
     planned = plan.groupBy("share_id").agg(F.count("*").alias("folders_planned"))
     absent = missing_folders(plan, folders).groupBy("share_id").agg(F.count("*").alias("folders_missing"))
-    grown = overgrown(facts).groupBy("share_id").agg(F.count("*").alias("folders_overgrown"))
-    joined = reduce(lambda left, right: left.join(right, "share_id", "left"), [planned, tree, named, absent, grown])
+    joined = reduce(lambda left, right: left.join(right, "share_id", "left"), [planned, tree, named, absent])
     return joined.select("share_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in TOTALS])
 
 
 # ── Lists ────────────────────────────────────────────────────────────────────
 
-def issues(facts: DataFrame, files: DataFrame, plan: DataFrame, folders: DataFrame, shares: DataFrame) -> DataFrame:
-    """All violations in one shape: (share_id, issue, path, files, detail, plan_path)."""
-    none = F.lit(None).cast("string")
-    zero = F.lit(0).cast("long")
-    folder_count = F.concat(F.col("files").cast("string"), F.lit(" files"))
+def _issue(label: str, files: Column, detail: Column, plan_folder: Column) -> Column:
+    return F.struct(F.lit(label).alias("issue"), files.cast("long").alias("files"), detail.alias("detail"),
+                    plan_folder.alias("plan_folder"))
 
-    def off_plan(df: DataFrame, label: str) -> DataFrame:
-        return df.select("share_id", F.lit(label).alias("issue"), F.col("path").alias("folder"), F.lit("").alias("name"),
-                         "files", folder_count.alias("detail"), F.col("plan_path").alias("plan_folder"))
 
-    checked = governed_files(facts, files)
+def _present(*issues_found: Column) -> Column:
+    """Zero or more issues of one row."""
+    return F.filter(F.array(*issues_found), lambda i: i.isNotNull())
+
+
+def issues(facts: DataFrame, files: DataFrame, plan: DataFrame, folders: DataFrame, shares: DataFrame) -> DataFrame:
+    """All violations in one shape: (share_id, issue, path, files, detail, plan_path).
+
+    Three passes whatever the number of rules: folders, governed files, and planned folders not there.
+    """
+    none, zero, blank = F.lit(None).cast("string"), F.lit(0), F.lit("")
+    entry = F.col("entry_path")
+    count = lambda c: F.concat(F.col(c).cast("string"), F.lit(" files"))
+    cap = _file_limit(DEFAULT_MAX_FILES).cast("string")
+    of_folder = _present(
+        F.when((F.col("status") == "outside") & _is_branch_top(),
+               _issue("outside the plan", F.col("subtree"), count("subtree"), entry)),
+        F.when(_is_closed() & (F.col("direct") > 0),
+               _issue("files not allowed here", F.col("direct"), count("direct"), entry)),
+        F.when(_is_empty(), _issue("planned folder empty", zero, blank, F.col("path"))),
+        F.when(_is_overgrown(DEFAULT_MAX_FILES), _issue(
+            "overgrown", F.col("direct"), F.concat(count("direct"), F.lit(" (limit "), cap, F.lit(")")), none)))
     wrong = F.concat(F.lit("."), F.col("extension"), F.lit(" (expected "), F.array_join("extensions", ", "), F.lit(")"))
-    parts = [
-        off_plan(outside_branches(facts), "outside the plan"),
-        off_plan(files_not_allowed(facts), "files not allowed here"),
-        checked.filter("misnamed").select(
-            "share_id", F.lit("naming").alias("issue"), F.col("path").alias("folder"), "name", zero.alias("files"),
-            F.col("naming_pattern").alias("detail"), F.col("entry_path").alias("plan_folder")),
-        checked.filter("wrong_type").select(
-            "share_id", F.lit("file type").alias("issue"), F.col("path").alias("folder"), "name", zero.alias("files"),
-            wrong.alias("detail"), F.col("entry_path").alias("plan_folder")),
-        missing_folders(plan, folders).select(
-            "share_id", F.lit("planned folder missing").alias("issue"), F.col("path").alias("folder"),
-            F.lit("").alias("name"), zero.alias("files"), F.lit("").alias("detail"), F.col("path").alias("plan_folder")),
-        empty_planned(facts).select(
-            "share_id", F.lit("planned folder empty").alias("issue"), F.col("path").alias("folder"),
-            F.lit("").alias("name"), zero.alias("files"), F.lit("").alias("detail"), F.col("path").alias("plan_folder")),
-        overgrown(facts).select(
-            "share_id", F.lit("overgrown").alias("issue"), F.col("path").alias("folder"), F.lit("").alias("name"),
-            "files", F.concat(folder_count, F.lit(" (limit "), F.col("limit").cast("string"), F.lit(")")).alias("detail"),
-            none.alias("plan_folder")),
-    ]
-    flat = reduce(DataFrame.unionByName, parts)
-    roots = shares.select("share_id", F.col("path").alias("share_path"))
-    shown = flat.join(roots, "share_id")
+    of_file = _present(F.when(F.col("misnamed"), _issue("naming", zero, F.col("naming_pattern"), entry)),
+                       F.when(F.col("wrong_type"), _issue("file type", zero, wrong, entry)))
+    flat = (facts.select("share_id", F.col("path").alias("folder"), blank.alias("name"), F.explode(of_folder).alias("i"))
+            .unionByName(governed_files(facts, files).select(
+                "share_id", F.col("path").alias("folder"), "name", F.explode(of_file).alias("i")))
+            .unionByName(missing_folders(plan, folders).select(
+                "share_id", F.col("path").alias("folder"), blank.alias("name"),
+                _issue("planned folder missing", zero, blank, F.col("path")).alias("i"))))
+    shown = flat.join(shares.select("share_id", F.col("path").alias("share_path")), "share_id").select("*", "i.*")
     return shown.select(
         "share_id", "issue", P.display_path(F.col("share_path"), F.col("folder"), F.col("name")).alias("path"),
         "files", "detail",
@@ -383,7 +414,7 @@ def snapshot(folders: DataFrame, files: DataFrame, plan: DataFrame, shares: Data
              taken_at: str) -> DataFrame:
     """Today's totals of every enabled share with a plan."""
     enabled = shares.filter("enabled").select("share_id")
-    facts = folder_facts(folders, files, plan)
+    facts = folder_facts(folders, files, plan, reused=True)
     return (totals(facts, files, plan, folders).join(enabled, "share_id", "left_semi")
             .select("share_id", F.lit(day).cast("date").alias("day"), V.at(taken_at).alias("taken_at"), *TOTALS))
 

@@ -10,6 +10,7 @@ from ..functions import paths as P
 from ..functions import values as V
 from ..schema import (AGE_CLASSES, AGE_OLDER, AGE_UNKNOWN, DEEP_FOLDER_LIMIT, INHERIT_ONLY, INHERITED,
                       LONG_PATH_LIMIT)
+from ..session import materialize
 from .common import constant_table
 from .permissions import evaluate_tokens
 
@@ -216,7 +217,8 @@ def permission_grid(folders: DataFrame, shares: DataFrame, acls: DataFrame, prin
     distinct ACL, and only where an entry names the account or one of its groups; the rest falls
     back to what every account gets.
     """
-    columns = grid_columns(folders, shares, acls, max_depth, max_columns)
+    # At most `max_columns` rows, read by every branch below: computed once.
+    columns = materialize(grid_columns(folders, shares, acls, max_depth, max_columns))
     used = columns.select("acl_id", "aces").dropDuplicates(["acl_id"])
     direct = used.select(F.explode("aces.sid").alias("sid")).distinct()
     kinds = direct.join(principals.select("sid", "kind"), "sid", "left")

@@ -187,37 +187,35 @@ def posting_hits(library: Library, query: Query, stemmed: bool = True) -> DataFr
     else:
         indexed_as = F.lit(True)
     hits = library.postings.join(expanded, ["bucket", "word"]).filter(indexed_as)
-    # One written word can read the same lexeme in two languages: it is still one place.
-    return hits.select("unit", "config", "clause", "item", "offset", "word_count", "items", "file_id", "field", "pos").distinct()
-
-
-def unit_matches(hits: DataFrame) -> DataFrame:
-    """(unit, file_id) pairs: some clause has all its items, each a word or an unbroken run of words."""
-    start = F.col("pos") - F.col("offset")
-    runs = hits.groupBy("unit", "config", "clause", "item", "items", "word_count", "file_id", "field", start.alias("start")).agg(
-        F.count_distinct("offset").alias("n")).filter("n = word_count")
-    clauses = runs.groupBy("unit", "config", "clause", "items", "file_id").agg(
-        F.count_distinct("item").alias("n")).filter("n = items")
-    return clauses.select("unit", "file_id").distinct()
-
-
-def match_postings(library: Library, query: Query, stemmed: bool = True) -> tuple[DataFrame | None, DataFrame | None]:
-    """(matching file ids with score and title flag, excluded file ids); None where the query asks nothing."""
-    hits = posting_hits(library, query, stemmed)
-    units = unit_matches(hits)
-    positive = None
-    if query.clauses:
-        weight = F.lit(0.0)
-        for name, value in WEIGHTS.items():
-            weight = F.when(F.col("field") == name, value).otherwise(weight)
-        scores = hits.filter("unit = 0").groupBy("file_id").agg(
-            F.round(F.sum(weight), 6).alias("score"))
-        titles = unit_matches(hits.filter("unit = 0 AND field IN ('A', 'B')")).select(
-            "file_id", F.lit(True).alias("in_title"))
-        positive = (units.filter("unit = 0").select("file_id").join(scores, "file_id")
-                    .join(titles, "file_id", "left").withColumn("in_title", F.coalesce("in_title", F.lit(False))))
-    negative = units.filter("unit > 0").select("file_id").distinct() if query.excluded else None
-    return positive, negative
+    # One written word can read the same lexeme in two languages; callers count each place once.
+    return hits.select("unit", "config", "clause", "item", "offset", "word_count", "items", "file_id", "field", "pos")
+
+
+def match_postings(library: Library, query: Query, stemmed: bool = True) -> DataFrame:
+    """One row per file some word of the query occurs in: (file_id, matched, in_title, score, excluded).
+
+    Everything is grouped within a file, so the hits are shuffled once, by file: into runs of
+    adjacent words, runs into items, items into clauses, clauses into files.
+    """
+    weight = F.lit(0.0)
+    for name, value in WEIGHTS.items():
+        weight = F.when(F.col("field") == name, value).otherwise(weight)
+    clause = ["file_id", "unit", "config", "clause", "items"]
+    hits = posting_hits(library, query, stemmed).repartition("file_id").distinct()
+    runs = hits.groupBy(*clause, "item", "word_count", "field", (F.col("pos") - F.col("offset")).alias("start")).agg(
+        F.count_distinct("offset").alias("n"), F.sum(weight).alias("weight"))
+    whole = F.col("n") == F.col("word_count")
+    items = runs.groupBy(*clause, "item").agg(
+        F.bool_or(whole).alias("found"), F.bool_or(whole & F.col("field").isin("A", "B")).alias("titled"),
+        F.sum("weight").alias("weight"))
+    clauses = items.groupBy(*clause).agg(
+        (F.count_if("found") == F.col("items")).alias("found"), (F.count_if("titled") == F.col("items")).alias("titled"),
+        F.sum("weight").alias("weight"))
+    asked = F.col("unit") == 0
+    return clauses.groupBy("file_id").agg(
+        F.bool_or(asked & F.col("found")).alias("matched"), F.bool_or(asked & F.col("titled")).alias("in_title"),
+        F.round(F.sum(F.when(asked, F.col("weight")).otherwise(0.0)), 6).alias("score"),
+        F.bool_or(~asked & F.col("found")).alias("excluded"))
 
 
 def newest() -> list[Column]:
@@ -230,10 +228,9 @@ def rank_candidates(matched: DataFrame, cap: int = COUNT_CAP) -> DataFrame:
     With no more matches than `cap` the second list is all of them, so nothing is lost and no
     count is needed first.
     """
-    ids = matched.select("file_id", "mtime", "in_title")
-    by_title = page(ids.filter("in_title"), newest(), cap).select("file_id")
-    recent = page(ids, newest(), cap).select("file_id")
-    return matched.join(by_title.union(recent).distinct(), "file_id", "left_semi")
+    by_title = page(matched.filter("in_title"), newest(), cap)
+    recent = page(matched, newest(), cap)
+    return by_title.unionByName(recent).dropDuplicates(["file_id"])
 
 
 def matches(library: Library, token, params: SearchParams, mode: str = "substring", stemmed: bool = True) -> DataFrame:
@@ -242,14 +239,13 @@ def matches(library: Library, token, params: SearchParams, mode: str = "substrin
     found = candidates(library, token, params)
     if mode == "substring":
         return match_substrings(library, found, query).withColumns({"score": F.lit(0.0), "in_title": F.lit(False)})
-    positive, negative = match_postings(library, query, stemmed) if query.clauses or query.excluded else (None, None)
-    if positive is not None:
-        found = found.join(positive, "file_id")
-    else:
-        found = found.withColumns({"score": F.lit(0.0), "in_title": F.lit(False)})
-    if negative is not None:
-        found = found.join(negative, "file_id", "left_anti")
-    return found
+    if query.clauses or query.excluded:
+        hits = match_postings(library, query, stemmed)
+        if query.clauses:
+            return found.join(hits.filter("matched AND NOT excluded").select("file_id", "score", "in_title"), "file_id")
+        # Files without an index row are in no posting, so they can't be excluded.
+        found = found.join(hits.filter("excluded").select("file_id"), "file_id", "left_anti")
+    return found.withColumns({"score": F.lit(0.0), "in_title": F.lit(False)})
 
 
 def ordering(params: SearchParams, has_terms: bool) -> list[Column]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "sharescope", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,6 +50,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: computed once, lineage cut, and safe when executors are lost."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Reliable checkpoints need a directory; keep the one already set on the context, if any."""
     context = spark.sparkContext

@@ -37,9 +37,7 @@ class Gate:
         return "failed", None
 
 
-def _decide(gate: Gate, pdf: pd.DataFrame, username: str) -> pd.DataFrame:
-    rows = [(i, username, at, *gate.attempt(at, ok))
-            for i, at, ok in zip(pdf["attempt_id"], pdf["at"], pdf["ok"])]
+def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["attempt_id", "username", "at", "outcome", "retry_seconds"])
     return out.astype({"retry_seconds": "Int64"})
 
@@ -66,19 +64,24 @@ def activity_segments(attempts: DataFrame, minutes: int = LOGIN_WINDOW_MINUTES)
 def throttle_batch(attempts: DataFrame, limit: int = LOGIN_MAX_FAILURES, minutes: int = LOGIN_WINDOW_MINUTES) -> DataFrame:
     """Outcome of every recorded attempt (attempt_id, username, at, ok).
 
-    Each independent segment is read as a sorted stream of Arrow batches, so memory holds one
-    batch and three instants however long a segment is.
+    Whole segments share a partition, sorted by time, and each partition is one pass over Arrow
+    batches: memory holds one batch and three instants however long a segment is.
     """
     window = timedelta(minutes=minutes)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gate = Gate(limit=limit, window=window)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, gate = None, None
         for pdf in batches:
-            yield _decide(gate, pdf, key[0])
+            rows = []
+            for i, name, segment, at, ok in zip(*(pdf[c] for c in ("attempt_id", "username", "segment", "at", "ok"))):
+                if (name, segment) != current:
+                    current, gate = (name, segment), Gate(limit=limit, window=window)
+                rows.append((i, name, at, *gate.attempt(at, ok)))
+            yield _frame(rows)
 
-    ordered = (activity_segments(attempts, minutes).repartition("username", "segment")
-               .sortWithinPartitions("username", "segment", "at", "attempt_id"))
-    return ordered.groupBy("username", "segment").applyInPandas(run, OUTPUT)
+    ordered = (activity_segments(attempts, minutes).select("attempt_id", "username", "segment", "at", "ok")
+               .repartition("username", "segment").sortWithinPartitions("username", "segment", "at", "attempt_id"))
+    return ordered.mapInPandas(run, OUTPUT)
 
 
 class ThrottleProcessor(StatefulProcessor):
@@ -92,7 +95,8 @@ class ThrottleProcessor(StatefulProcessor):
         kept = self.failures.get() if self.failures.exists() else None
         gate = Gate([pd.Timestamp(t).tz_localize(None) for t in (kept[0] if kept else [])])
         pdf = pd.concat(list(rows)).sort_values(["at", "attempt_id"])
-        yield _decide(gate, pdf, key[0])
+        yield _frame([(i, key[0], at, *gate.attempt(at, ok))
+                      for i, at, ok in zip(pdf["attempt_id"], pdf["at"], pdf["ok"])])
         if gate.failures:
             self.failures.update((gate.failures,))
             for timer in list(self.handle.listTimers()):
