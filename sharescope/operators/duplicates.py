@@ -14,6 +14,9 @@ from ..functions import paths as P
 from ..schema import DEDUPE_MIN_SIZE, FULL_HASH_MAX_SIZE, HASH_CHUNK
 from .reports import page
 
+# Up to this many ids (about 16 MB) are broadcast, after counting them.
+FEW_IDS = 1_000_000
+
 
 def quick_hash(size: Column, content: Column, chunk: int = HASH_CHUNK) -> Column:
     """Hash of the size, the first chunk, and the last chunk (or all the rest of a shorter file)."""
@@ -55,24 +58,32 @@ def need_full_hash(files: DataFrame, max_size: int = FULL_HASH_MAX_SIZE) -> Data
     return todo.join(colliding(files), ["size", "quick_hash"], "left_semi")
 
 
+def _hash_wanted(wanted: DataFrame, contents: DataFrame, hashed: Column, few: int) -> DataFrame:
+    """(file_id, hash) of the wanted files, never moving a content between machines.
+
+    A measured handful of ids travels to the contents and only those are hashed. Beyond `few`
+    ids every content is hashed where it is read, and only hashes travel to the join.
+    """
+    ids = wanted.select("file_id")
+    if ids.limit(few + 1).count() <= few:
+        return contents.join(F.broadcast(ids), "file_id").select("file_id", hashed.alias("hash"))
+    return contents.select("file_id", hashed.alias("hash")).join(ids, "file_id", "left_semi")
+
+
 def hash_stage(files: DataFrame, contents: DataFrame, min_size: int = DEDUPE_MIN_SIZE,
-               max_size: int = FULL_HASH_MAX_SIZE, chunk: int = HASH_CHUNK) -> DataFrame:
+               max_size: int = FULL_HASH_MAX_SIZE, chunk: int = HASH_CHUNK, few: int = FEW_IDS) -> DataFrame:
     """The funnel: `files` (file_id, size, quick_hash, content_hash) with missing hashes filled in.
 
-    `contents` is (file_id, content); only candidates of each stage are joined to it. A file
-    whose content is missing keeps its NULL hash and counts as an error.
+    `contents` is (file_id, content). A file whose content is missing keeps its NULL hash and
+    counts as an error. The candidates of each stage come from the catalogue alone.
     """
-    wanted = need_quick_hash(files, min_size).select("file_id", "size")
-    quick = wanted.join(contents, "file_id").select(
-        "file_id", quick_hash(F.col("size"), F.col("content"), chunk).alias("new_quick"))
+    length = F.length("content").cast("long")
+    quick = _hash_wanted(need_quick_hash(files, min_size), contents, quick_hash(length, F.col("content"), chunk), few)
     with_quick = files.join(quick, "file_id", "left").select(
-        *[c for c in files.columns if c != "quick_hash"],
-        F.coalesce("quick_hash", "new_quick").alias("quick_hash"))
-    full = (need_full_hash(with_quick, max_size).select("file_id").join(contents, "file_id")
-            .select("file_id", full_hash(F.col("content")).alias("new_full")))
+        *[c for c in files.columns if c != "quick_hash"], F.coalesce("quick_hash", "hash").alias("quick_hash"))
+    full = _hash_wanted(need_full_hash(with_quick, max_size), contents, full_hash(F.col("content")), few)
     return with_quick.join(full, "file_id", "left").select(
-        *[c for c in with_quick.columns if c != "content_hash"],
-        F.coalesce("content_hash", "new_full").alias("content_hash"))
+        *[c for c in with_quick.columns if c != "content_hash"], F.coalesce("content_hash", "hash").alias("content_hash"))
 
 
 def stage_statistics(before: DataFrame, after: DataFrame, min_size: int = DEDUPE_MIN_SIZE,

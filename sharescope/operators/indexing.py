@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions.stemming import stems
-from ..functions.text import clean_content, word_array, words
+from ..functions.text import clean_content, word_array
 from ..schema import EXTRACT_MAX_CHARS, EXTRACT_MAX_SIZE
 
 POSTING_BUCKETS = 256
@@ -101,18 +101,8 @@ def round_statistics(before: DataFrame, outcome: DataFrame, added: DataFrame, af
 
 # ── Postings ─────────────────────────────────────────────────────────────────
 
-def index_texts(files: DataFrame, folders: DataFrame, shares: DataFrame, documents: DataFrame) -> DataFrame:
-    """Per indexed file its name, its place ("share folder") and its content, unfolded."""
-    titles = files.select("file_id", "share_id", "folder_id", F.col("name").alias("file_name"))
-    where = folders.select("folder_id", F.col("path").alias("folder_path"))
-    roots = shares.select("share_id", F.col("name").alias("share"))
-    return (documents.select("file_id", "content").join(titles, "file_id").join(where, "folder_id")
-            .join(roots, "share_id")
-            .select("file_id", "share_id", "file_name", F.concat_ws(" ", "share", "folder_path").alias("place"), "content"))
-
-
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(POSTING_BUCKETS)).cast("int")
+def _bucket(word: Column, buckets: int = POSTING_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
 
 def _postings(rows: DataFrame, text: str, weight: str, keep: list[str]) -> DataFrame:
@@ -136,19 +126,20 @@ def content_postings(documents: DataFrame) -> DataFrame:
     return _postings(documents.filter(F.col("content").isNotNull()), "content", "C", ["file_id"])
 
 
-def postings(files: DataFrame, folders: DataFrame, shares: DataFrame, documents: DataFrame) -> DataFrame:
+def postings(files: DataFrame, folders: DataFrame, shares: DataFrame, documents: DataFrame,
+             buckets: int = POSTING_BUCKETS) -> DataFrame:
     both = title_postings(files, folders, shares, documents).unionByName(content_postings(documents))
-    return both.withColumn("bucket", _bucket(F.col("word")))
+    return both.withColumn("bucket", _bucket(F.col("word"), buckets))
 
 
 def rename_share(current: DataFrame, files: DataFrame, folders: DataFrame, shares: DataFrame, documents: DataFrame,
-                 share_id: int) -> DataFrame:
+                 share_id: int, buckets: int = POSTING_BUCKETS) -> DataFrame:
     """Postings after a share got a new name: only its place words are rebuilt."""
     mine = files.filter(F.col("share_id") == share_id)
     stale = mine.select("file_id").withColumn("field", F.lit("B"))
     kept = current.join(stale, ["file_id", "field"], "left_anti")
     fresh = title_postings(mine, folders, shares, documents).filter("field = 'B'")
-    return kept.unionByName(fresh.withColumn("bucket", _bucket(F.col("word"))).select(*current.columns))
+    return kept.unionByName(fresh.withColumn("bucket", _bucket(F.col("word"), buckets)).select(*current.columns))
 
 
 def vocabulary(postings_rows: DataFrame) -> DataFrame:
@@ -156,32 +147,27 @@ def vocabulary(postings_rows: DataFrame) -> DataFrame:
 
 
 def dictionary(vocabulary_rows: DataFrame, stemmed: bool = True) -> DataFrame:
-    """(lexeme, config, word, bucket): every reading of every word; stop words have no reading in their language."""
+    """(lexeme, config, word): every reading of every word; stop words have no reading in their language."""
     word = F.col("word")
     readings = [F.struct(F.lit("simple").alias("config"), word.alias("lexeme"))]
     if stemmed:
         readings += [F.struct(F.lit(c).alias("config"), stems(word, c).alias("lexeme")) for c in ("spanish", "english")]
     flat = vocabulary_rows.select("word", F.explode(F.array(*readings)).alias("r"))
-    return flat.select("r.lexeme", "r.config", "word", _bucket(word).alias("bucket")).filter("lexeme IS NOT NULL")
+    return flat.select("r.lexeme", "r.config", "word").filter("lexeme IS NOT NULL")
 
 
-def write_index(spark, target: str, postings_rows: DataFrame, partitions: int | None = None, slices: int = 16) -> None:
+def write_index(spark, target: str, postings_rows: DataFrame, partitions: int | None = None) -> None:
     """Store postings and dictionary as Parquet under `target` (a folder every executor reaches).
 
-    Postings are laid out by bucket, so a query prunes to the folders of its words; a frequent
-    word is spread over `slices` files of its bucket, so no task writes it alone.
+    Postings are laid out by bucket and sorted by word, so a query opens the folders of its words
+    and skips the row groups of others. With more `partitions` than buckets, each bucket is spread
+    over several tasks by file, so no task writes a frequent word alone.
     """
-    slice_ = F.pmod(F.xxhash64("file_id"), F.lit(slices))
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (postings_rows.repartition(count, "bucket", slice_).sortWithinPartitions("bucket", "word", "file_id")
+    slices = F.pmod(F.xxhash64("file_id"), F.lit(max(1, count // POSTING_BUCKETS)))
+    (postings_rows.repartition(count, "bucket", slices).sortWithinPartitions("bucket", "word", "file_id")
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/postings"))
     stored = spark.read.parquet(f"{target}/postings")
-    (dictionary(vocabulary(stored)).repartition(min(count, POSTING_BUCKETS), "lexeme").sortWithinPartitions("lexeme")
-     .write.mode("overwrite").parquet(f"{target}/dictionary"))
-
-
-def search_text(name: Column, place: Column, content: Column) -> Column:
-    """The folded text the substring mode looks into."""
-    from ..functions.text import fold
-
-    return F.concat_ws(" ", words(name), words(place), fold(F.coalesce(content, F.lit(""))))
+    # Spread the vocabulary before stemming it; lookups skip row groups by order and Bloom filter.
+    (dictionary(vocabulary(stored)).repartition(count, "lexeme").sortWithinPartitions("lexeme")
+     .write.mode("overwrite").option("parquet.bloom.filter.enabled#lexeme", "true").parquet(f"{target}/dictionary"))

@@ -8,6 +8,7 @@ ids. A NULL ACL joins nothing, so unknown permissions hide a file.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import aces as A
 from ..functions import paths as P
 from ..schema import CONTAINER_INHERIT, FILE_READ, INHERITED, OBJECT_INHERIT
+from ..session import materialize
 
 
 # ── ACL dimension ────────────────────────────────────────────────────────────
@@ -92,18 +94,32 @@ def opening_pairs(files: DataFrame, folders: DataFrame, acls: DataFrame, token:
             .filter(A.can_read(F.col("aces"), token)).select("file_acl", "folder_acl", "share_id"))
 
 
-def visible_files(files: DataFrame, folders: DataFrame, acls: DataFrame, token: A.Token) -> DataFrame:
+@dataclass(frozen=True)
+class Access:
+    """What one token opens, evaluated: folder ACLs for inheriting files, and (file ACL, folder ACL) pairs."""
+
+    opens: DataFrame
+    pairs: DataFrame
+
+
+def prepare_access(files: DataFrame, folders: DataFrame, acls: DataFrame, token: A.Token) -> Access:
+    """Evaluate a token once for many queries; both tables hold ACL ids only and are checkpointed."""
+    return Access(materialize(opening_acls(acls, token)), materialize(opening_pairs(files, folders, acls, token)))
+
+
+def visible_files(files: DataFrame, folders: DataFrame, acls: DataFrame, token: A.Token | Access) -> DataFrame:
     """Files this token may open, with their folder's `path` and `folder_acl`.
 
     Two disjoint branches instead of an OR-join: inheriting files need only an ACL id in a set,
     and files with their own ACL (rare, pushed down to the scan) need a pair in a set.
     """
     where = folders.select("folder_id", "path", F.col("acl_id").alias("folder_acl"))
-    opens = opening_acls(acls, token).select(F.col("acl_id").alias("folder_acl"))
+    access = token if isinstance(token, Access) else Access(
+        opening_acls(acls, token), opening_pairs(files, folders, acls, token))
+    opens = access.opens.select(F.col("acl_id").alias("folder_acl"))
     open_folders = where.join(opens, "folder_acl", "left_semi")
     inheriting = files.filter(F.col("acl_id").isNull()).join(open_folders, "folder_id")
-    pairs = (opening_pairs(files, folders, acls, token)
-             .select(F.col("file_acl").alias("acl_id"), "folder_acl").distinct())
+    pairs = access.pairs.select(F.col("file_acl").alias("acl_id"), "folder_acl")
     own = (files.filter(F.col("acl_id").isNotNull()).join(where, "folder_id")
            .join(pairs, ["acl_id", "folder_acl"], "left_semi"))
     return inheriting.unionByName(own)

@@ -8,10 +8,10 @@ word (as typed, Spanish, English), phrases and alternatives, and ranks.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -20,12 +20,15 @@ from ..functions import values as V
 from ..functions.stemming import lexeme
 from ..functions.text import FOLD_FROM, FOLD_TO, NOT_WORD, SPACE, fold, words
 from ..schema import COUNT_CAP
-from .indexing import CONFIG_FIELDS, WEIGHTS
+from .common import constant_table, top_per_group
+from .indexing import CONFIG_FIELDS, POSTING_BUCKETS, WEIGHTS
 from .permissions import visible_files
 from .reports import page
 
 _FOLD_MAP = str.maketrans(FOLD_FROM, FOLD_TO)
 _EXCLUDED = rf'(?:\A|[{SPACE}])-(?:"([^"]*)"?|([^{SPACE}"]+))'
+# More written words than this behind one query are joined instead of listed.
+EXPANSION_CAP = 2_000
 RESULT = ["file_id", "name", "extension", "size", "mtime", "share_id", "share", "folder_id", "folder_path", "path"]
 
 
@@ -101,7 +104,7 @@ class Library:
     documents: DataFrame
     postings: DataFrame | None = None
     dictionary: DataFrame | None = None
-    pinned: dict = field(default_factory=dict)
+    buckets: int = POSTING_BUCKETS
 
 
 # ── What one account can find ────────────────────────────────────────────────
@@ -165,29 +168,52 @@ def _query_lexemes(query: Query, stemmed: bool) -> tuple[list[tuple], dict]:
     return rows, sizes
 
 
-def posting_hits(library: Library, query: Query, stemmed: bool = True) -> DataFrame:
-    """Every posting some word of the query reads: (unit, config, clause, item, offset, word_count, file_id, field, pos).
+_ASKED = ["unit", "config", "clause", "item", "offset", "lexeme", "word_count", "items"]
+
+
+def _fields(config: str) -> str:
+    return CONFIG_FIELDS[config]
+
+
+def expand_words(library: Library, rows: list[tuple], stemmed: bool, cap: int = EXPANSION_CAP) -> tuple[DataFrame, list[str] | None]:
+    """Query rows with each written word that reads one of their lexemes, and the fields it counts in.
 
-    The dictionary turns lexemes into written words; the words' buckets prune the postings.
+    As typed, the words are the lexemes. Stemmed, the dictionary is asked for at most `cap` words,
+    which then prune the postings as constants; a query that stands for more stays a join.
     """
-    rows, sizes = _query_lexemes(query, stemmed)
-    names = ["unit", "config", "clause", "item", "offset", "lexeme", "word_count"]
-    from .common import constant_table
+    names = [*_ASKED, "word", "fields"]
+    if not stemmed:
+        expanded = [(*r, r[5], "ABC") for r in rows]
+        return constant_table(library.postings, expanded, names), sorted({r[5] for r in rows})
+    readings = library.dictionary.filter(F.col("lexeme").isin(sorted({r[5] for r in rows}))).select("lexeme", "config", "word")
+    found = readings.limit(cap + 1).collect()
+    if len(found) > cap:
+        fields = F.lit("")
+        for config in CONFIG_FIELDS:
+            fields = F.when(F.col("reading") == config, _fields(config)).otherwise(fields)
+        asked = constant_table(library.postings, rows, _ASKED)
+        joined = asked.join(readings.withColumnRenamed("config", "reading"), "lexeme")
+        return joined.groupBy(*_ASKED, "word").agg(F.array_join(F.collect_set(fields), "").alias("fields")), None
+    spelled: dict[str, dict[str, set]] = {}
+    for lexeme_, config, word in found:
+        spelled.setdefault(lexeme_, {}).setdefault(word, set()).update(_fields(config))
+    expanded = [(*r, word, "".join(sorted(fields))) for r in rows for word, fields in spelled.get(r[5], {}).items()]
+    words_ = sorted({r[-2] for r in expanded})
+    return constant_table(library.postings, expanded or [(*rows[0], "", "")], names), words_
+
 
+def posting_hits(library: Library, query: Query, stemmed: bool = True) -> DataFrame:
+    """Every posting some word of the query reads, once per place:
+    (unit, config, clause, item, offset, word_count, items, file_id, field, pos)."""
+    rows, sizes = _query_lexemes(query, stemmed)
     wanted = [(*r, sizes[(r[0], r[1], r[2])]) for r in rows] or [(-1, "", 0, 0, 0, "", 0, 0)]
-    asked = constant_table(library.documents, wanted, names + ["items"])
-    readings = library.dictionary.withColumnRenamed("config", "reading")
-    expanded = (asked.join(readings, "lexeme")
-                .select(*names, "items", "word", "bucket", "reading"))
-    if stemmed:
-        fields = F.lit(None)
-        for config, allowed in CONFIG_FIELDS.items():
-            fields = F.when(F.col("reading") == config, allowed).otherwise(fields)
-        indexed_as = F.contains(fields, F.col("field"))
-    else:
-        indexed_as = F.lit(True)
-    hits = library.postings.join(expanded, ["bucket", "word"]).filter(indexed_as)
-    # One written word can read the same lexeme in two languages; callers count each place once.
+    expanded, spelled = expand_words(library, wanted, stemmed)
+    postings = library.postings
+    if spelled is not None:
+        # Constants: folders of other buckets are not listed, row groups of other words not read.
+        buckets = [F.pmod(F.xxhash64(F.lit(w)), F.lit(library.buckets)).cast("int") for w in spelled]
+        postings = postings.filter(F.col("word").isin(spelled)).filter(F.col("bucket").isin(buckets))
+    hits = postings.join(expanded, "word").filter(F.contains("fields", F.col("field")))
     return hits.select("unit", "config", "clause", "item", "offset", "word_count", "items", "file_id", "field", "pos")
 
 
@@ -201,9 +227,9 @@ def match_postings(library: Library, query: Query, stemmed: bool = True) -> Data
     for name, value in WEIGHTS.items():
         weight = F.when(F.col("field") == name, value).otherwise(weight)
     clause = ["file_id", "unit", "config", "clause", "items"]
-    hits = posting_hits(library, query, stemmed).repartition("file_id").distinct()
+    hits = posting_hits(library, query, stemmed).repartition("file_id")
     runs = hits.groupBy(*clause, "item", "word_count", "field", (F.col("pos") - F.col("offset")).alias("start")).agg(
-        F.count_distinct("offset").alias("n"), F.sum(weight).alias("weight"))
+        F.count("*").alias("n"), F.sum(weight).alias("weight"))
     whole = F.col("n") == F.col("word_count")
     items = runs.groupBy(*clause, "item").agg(
         F.bool_or(whole).alias("found"), F.bool_or(whole & F.col("field").isin("A", "B")).alias("titled"),
@@ -228,9 +254,10 @@ def rank_candidates(matched: DataFrame, cap: int = COUNT_CAP) -> DataFrame:
     With no more matches than `cap` the second list is all of them, so nothing is lost and no
     count is needed first.
     """
-    by_title = page(matched.filter("in_title"), newest(), cap)
-    recent = page(matched, newest(), cap)
-    return by_title.unionByName(recent).dropDuplicates(["file_id"])
+    # Both lists lie within the newest of either kind, which one ranked pass finds.
+    near = top_per_group(matched, ["in_title"], newest(), cap).drop("rank")
+    overall = F.row_number().over(Window.orderBy(*newest()))  # at most 2 x cap rows
+    return near.withColumn("rank", overall).filter(F.col("in_title") | (F.col("rank") <= cap)).drop("rank")
 
 
 def matches(library: Library, token, params: SearchParams, mode: str = "substring", stemmed: bool = True) -> DataFrame:

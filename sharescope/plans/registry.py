@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
 from ..sources.derived import Estate
 from .base_sql import with_tables
 
@@ -21,6 +22,7 @@ class Registered:
     sql: str | None
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
         return self.build(Estate(spark, folder))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,7 @@ def build_session(app: str = "sharescope", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -28,7 +31,23 @@ def build_session(app: str = "sharescope", master: str | None = None, **conf: st
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the job was started from."""
+    context = spark.sparkContext
+    if getattr(context, "_sharescope_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="sharescope-")) / "sharescope.zip"
+    with zipfile.ZipFile(archive, "w") as box:
+        for source in sorted(package.rglob("*.py")):
+            box.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._sharescope_shipped = True
 
 
 def is_local(spark: SparkSession) -> bool:
