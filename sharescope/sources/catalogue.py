@@ -39,24 +39,28 @@ def write_snapshots(rows: DataFrame, folder: str, name: str = "plan_snapshots")
     write_table(rows, folder, name, "day")
 
 
-def export_csv(df: DataFrame, target: str) -> None:
-    """Spreadsheet export: ";" between cells, header, byte-order mark, ISO times, no live formulas.
-
-    Every part file is complete by itself (mark and header), so a large export stays distributed
-    and a page of a few rows is one file.
-    """
+def csv_cells(df: DataFrame) -> DataFrame:
+    """Every column as it goes into a spreadsheet: ISO times, no live formulas, lists in one cell."""
     cells = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if kind == "string":
             c = formula_safe(c)
         elif kind.startswith("timestamp"):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-            c = F.regexp_replace(c, r"\.000000\z", "")
+            c = F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000\z", "")
         elif kind.startswith("array"):
             c = F.array_join(c.cast("array<string>"), ", ")
         cells.append(c.alias(name))
-    out = df.select(*cells)
+    return df.select(*cells)
+
+
+def export_csv(df: DataFrame, target: str) -> None:
+    """Spreadsheet export: ";" between cells, header, byte-order mark.
+
+    Every part file is complete by itself (mark and header), so a large export stays distributed
+    and a page of a few rows is one file.
+    """
+    out = csv_cells(df)
     if out.columns:
         out = out.withColumnRenamed(out.columns[0], BOM + out.columns[0])
     (out.write.mode("overwrite").option("sep", ";").option("header", True).option("quote", '"').option("escape", '"')
