@@ -94,6 +94,8 @@ def main() -> None:
     for name, (text, extra) in searches.items():
         params = Q.SearchParams(text, **extra)
         times[f"search_{name}"] = timed(lambda: Q.search(lib, access, params, "postings").collect(), RUNS)
+    together = {n: Q.SearchParams(text, **extra) for n, (text, extra) in searches.items() if text}
+    times[f"search_{len(together)}_in_one_job"] = timed(lambda: Q.search_many(lib, access, together).collect(), RUNS)
     times["search_count"] = timed(lambda: Q.capped_count(
         Q.matches(lib, access, Q.SearchParams("the"), "postings")).collect(), RUNS)
     params = Q.SearchParams('nota thé -"of the"', limit=50)

@@ -29,6 +29,8 @@ _FOLD_MAP = str.maketrans(FOLD_FROM, FOLD_TO)
 _EXCLUDED = rf'(?:\A|[{SPACE}])-(?:"([^"]*)"?|([^{SPACE}"]+))'
 # More written words than this behind one query are joined instead of listed.
 EXPANSION_CAP = 2_000
+# Units one query may have (itself and its exclusions); a typed query is at most 500 characters.
+UNITS = 1_000
 RESULT = ["file_id", "name", "extension", "size", "mtime", "share_id", "share", "folder_id", "folder_path", "path"]
 
 
@@ -202,12 +204,17 @@ def expand_words(library: Library, rows: list[tuple], stemmed: bool, cap: int =
     return constant_table(library.postings, expanded or [(*rows[0], "", "")], names), words_
 
 
-def posting_hits(library: Library, query: Query, stemmed: bool = True) -> DataFrame:
-    """Every posting some word of the query reads, once per place:
-    (unit, config, clause, item, offset, word_count, items, file_id, field, pos)."""
-    rows, sizes = _query_lexemes(query, stemmed)
-    wanted = [(*r, sizes[(r[0], r[1], r[2])]) for r in rows] or [(-1, "", 0, 0, 0, "", 0, 0)]
-    expanded, spelled = expand_words(library, wanted, stemmed)
+def posting_hits(library: Library, queries: list[Query], stemmed: bool = True) -> DataFrame:
+    """Every posting some word of the queries reads, once per place:
+    (unit, config, clause, item, offset, word_count, items, file_id, field, pos).
+
+    A unit is a query itself or one of its exclusions; query n has the units from n * UNITS on.
+    """
+    wanted = []
+    for number, query in enumerate(queries):
+        rows, sizes = _query_lexemes(query, stemmed)
+        wanted += [(number * UNITS + r[0], *r[1:], sizes[(r[0], r[1], r[2])]) for r in rows]
+    expanded, spelled = expand_words(library, wanted or [(-1, "", 0, 0, 0, "", 0, 0)], stemmed)
     postings = library.postings
     if spelled is not None:
         # Constants: folders of other buckets are not listed, row groups of other words not read.
@@ -217,8 +224,8 @@ def posting_hits(library: Library, query: Query, stemmed: bool = True) -> DataFr
     return hits.select("unit", "config", "clause", "item", "offset", "word_count", "items", "file_id", "field", "pos")
 
 
-def match_postings(library: Library, query: Query, stemmed: bool = True) -> DataFrame:
-    """One row per file some word of the query occurs in: (file_id, matched, in_title, score, excluded).
+def match_postings(library: Library, queries: list[Query], stemmed: bool = True) -> DataFrame:
+    """(query_no, file_id, matched, in_title, score, excluded) for files some word of a query occurs in.
 
     Everything is grouped within a file, so the hits are shuffled once, by file: into runs of
     adjacent words, runs into items, items into clauses, clauses into files.
@@ -227,7 +234,7 @@ def match_postings(library: Library, query: Query, stemmed: bool = True) -> Data
     for name, value in WEIGHTS.items():
         weight = F.when(F.col("field") == name, value).otherwise(weight)
     clause = ["file_id", "unit", "config", "clause", "items"]
-    hits = posting_hits(library, query, stemmed).repartition("file_id")
+    hits = posting_hits(library, queries, stemmed).repartition("file_id")
     runs = hits.groupBy(*clause, "item", "word_count", "field", (F.col("pos") - F.col("offset")).alias("start")).agg(
         F.count("*").alias("n"), F.sum(weight).alias("weight"))
     whole = F.col("n") == F.col("word_count")
@@ -237,8 +244,8 @@ def match_postings(library: Library, query: Query, stemmed: bool = True) -> Data
     clauses = items.groupBy(*clause).agg(
         (F.count_if("found") == F.col("items")).alias("found"), (F.count_if("titled") == F.col("items")).alias("titled"),
         F.sum("weight").alias("weight"))
-    asked = F.col("unit") == 0
-    return clauses.groupBy("file_id").agg(
+    asked = F.col("unit") % UNITS == 0
+    return clauses.groupBy("file_id", F.floor(F.col("unit") / UNITS).cast("int").alias("query_no")).agg(
         F.bool_or(asked & F.col("found")).alias("matched"), F.bool_or(asked & F.col("titled")).alias("in_title"),
         F.round(F.sum(F.when(asked, F.col("weight")).otherwise(0.0)), 6).alias("score"),
         F.bool_or(~asked & F.col("found")).alias("excluded"))
@@ -267,7 +274,7 @@ def matches(library: Library, token, params: SearchParams, mode: str = "substrin
     if mode == "substring":
         return match_substrings(library, found, query).withColumns({"score": F.lit(0.0), "in_title": F.lit(False)})
     if query.clauses or query.excluded:
-        hits = match_postings(library, query, stemmed)
+        hits = match_postings(library, [query], stemmed)
         if query.clauses:
             return found.join(hits.filter("matched AND NOT excluded").select("file_id", "score", "in_title"), "file_id")
         # Files without an index row are in no posting, so they can't be excluded.
@@ -294,6 +301,44 @@ def search(library: Library, token, params: SearchParams, mode: str = "substring
                           "score")
 
 
+def search_many(library: Library, token, asked: dict[str, SearchParams], stemmed: bool = True) -> DataFrame:
+    """First pages of many queries of one account in one job, with `query` and `position`.
+
+    Each result equals that of `search`. All queries share one pass over the postings and one over
+    the visible files; every query must have something to look for.
+    """
+    names, params = list(asked), list(asked.values())
+    queries = [parse(p.q) for p in params]
+    if any(not q.clauses for q in queries):
+        raise ValueError("a query without words lists everything: run it alone")
+    facts = [(n, names[n], p.share_id, p.type if p.type in N.TYPE_GROUPS or p.type == "other" else None, p.modified_from,
+              p.modified_to, p.sort, p.offset, p.limit) for n, p in enumerate(params)]
+    wishes = constant_table(library.postings, facts, [
+        "query_no", "query", "w_share", "w_type", "w_from", "w_to", "w_sort", "w_offset", "w_limit"])
+    hits = match_postings(library, queries, stemmed).filter("matched AND NOT excluded").drop("matched", "excluded")
+    found = candidates(library, token, SearchParams()).join(hits.join(wishes, "query_no"), "file_id")
+    unset = lambda c: F.col(c).isNull()
+    day = lambda c: F.col(c).cast("timestamp_ntz")
+    found = found.filter(
+        (unset("w_share") | (F.col("share_id") == F.col("w_share")))
+        & (unset("w_type") | (N.type_group(F.col("extension")) == F.col("w_type")))
+        & (unset("w_from") | (F.col("mtime") >= day("w_from")))
+        & (unset("w_to") | (F.col("mtime") < day("w_to") + F.expr("INTERVAL '1' DAY"))))
+    relevance = F.col("w_sort") == "relevance"
+    near = top_per_group(found.filter(relevance), ["query_no", "in_title"], newest(), COUNT_CAP).drop("rank")
+    overall = F.row_number().over(Window.partitionBy("query_no").orderBy(*newest()))  # at most 2 x COUNT_CAP rows
+    near = near.withColumn("rank", overall).filter(F.col("in_title") | (F.col("rank") <= COUNT_CAP)).drop("rank")
+    pool = near.unionByName(found.filter(~relevance))
+    by_score = F.when(relevance, F.col("score")).otherwise(0.0)
+    by_name = F.when(F.col("w_sort") == "name", F.lower("name")).otherwise("")
+    by_time = F.when(F.col("w_sort") != "name", F.col("mtime"))
+    last = max(p.offset + p.limit for p in params)
+    ranked = top_per_group(pool, ["query_no"], [by_score.desc(), by_name.asc(), by_time.desc_nulls_last(), F.asc("file_id")], last)
+    shown = ranked.filter((F.col("rank") > F.col("w_offset")) & (F.col("rank") <= F.col("w_offset") + F.col("w_limit")))
+    return shown.select("query", (F.col("rank") - F.col("w_offset")).alias("position"), *RESULT[:-1],
+                        P.display_path(F.col("share_path"), F.col("folder_path"), F.col("name")).alias("path"), "score")
+
+
 def capped_count(found: DataFrame, cap: int = COUNT_CAP) -> DataFrame:
     """How many were found, counted no further than needed to say "more than `cap`"."""
     n = F.count("*")

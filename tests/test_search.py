@@ -5,7 +5,7 @@ import pytest
 from sharescope.functions.stemming import lexeme
 from sharescope.operators import indexing as I
 from sharescope.operators import search as Q
-from sharescope.operators.permissions import tokens_for
+from sharescope.operators.permissions import prepare_access, tokens_for
 from tests.fixtures import ALICE, BOB, CAROL, EVERYONE, FINANCE, HR, READ, acls_of, files_of, folders_of, frame, shares_of
 
 TEXTS = {1: ("", "readme.txt", "Welcome to the department library"),
@@ -25,6 +25,7 @@ def library(spark):
     lib = Q.Library(shares_of(spark), folders, files, acls, documents)
     lib.postings = I.postings(files, folders, lib.shares, documents).cache()
     lib.dictionary = I.dictionary(I.vocabulary(lib.postings)).cache()
+    TOKENS.update({user: prepare_access(files, folders, acls, token) for user, token in TOKENS.items()})
     return lib
 
 
@@ -129,6 +130,17 @@ def test_stored_index_gives_the_same_results(spark, library, tmp_path):
         assert ids(stored) == ids(library)
 
 
+def test_many_queries_in_one_job(library):
+    asked = {"a": Q.SearchParams("finance"), "b": Q.SearchParams("finance", sort="name"), "c": Q.SearchParams("finance or library", sort="newest", limit=2, offset=1),
+             "d": Q.SearchParams("presupuestos -board", type="word"), "e": Q.SearchParams("informe", modified_to="2024-01-03"), "f": Q.SearchParams("reports", share_id=2)}
+    rows = sorted(Q.search_many(library, TOKENS["alice"], asked).collect(), key=lambda r: (r["query"], r.position))
+    together = {name: [(r.file_id, r.score) for r in rows if r["query"] == name] for name in asked}
+    alone = {n: [(r.file_id, r.score) for r in Q.search(library, TOKENS["alice"], p, "postings").collect()] for n, p in asked.items()}
+    alone["c"], together["c"] = ([i for i, _ in x["c"]] for x in (alone, together))
+    alone["b"], together["b"] = ([i for i, _ in x["b"]] for x in (alone, together))
+    assert together == alone
+
+
 def test_renamed_share(library):
     renamed = library.shares.selectExpr("share_id", "'Legal' AS name", "path", "enabled")
     out = I.rename_share(library.postings, library.files, library.folders, renamed, library.documents, 1)
