@@ -24,7 +24,7 @@ from sharescope.operators import reports as R
 from sharescope.operators import search as Q
 from sharescope.plans import base_sql
 from sharescope.plans.people_queries import sign_in_throttle
-from sharescope.plans.report_queries import contents, sized
+from sharescope.plans.report_queries import hashed
 from sharescope.session import build_session, shared_folder
 from sharescope.sources.derived import AS_OF, Estate
 
@@ -107,7 +107,7 @@ def main() -> None:
         "hygiene": lambda: R.hygiene_rows(t.files, t.folders, t.shares),
         "visible_files": lambda: X.visible_files(t.files, t.folders, t.acls, TOKEN),
         "permission_grid": lambda: R.permission_grid(t.folders, t.shares, t.acls, t.principals, t.members),
-        "duplicates": lambda: D.group_members(D.hash_stage(sized(estate), contents(estate)), t.folders, t.shares),
+        "duplicates": lambda: D.group_members(hashed(estate), t.folders, t.shares),
         "compliance": lambda: L.capped_issues(L.issues(
             L.folder_facts(t.folders, t.files, t.plan, True), t.files, t.plan, t.folders, t.shares)),
         "compliance_totals": lambda: L.totals(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..schema import DEDUPE_MIN_SIZE, FULL_HASH_MAX_SIZE, HASH_CHUNK
+from ..session import materialize
 from .reports import page
 
 # Up to this many ids (about 16 MB) are broadcast, after counting them.
@@ -79,8 +80,9 @@ def hash_stage(files: DataFrame, contents: DataFrame, min_size: int = DEDUPE_MIN
     """
     length = F.length("content").cast("long")
     quick = _hash_wanted(need_quick_hash(files, min_size), contents, quick_hash(length, F.col("content"), chunk), few)
-    with_quick = files.join(quick, "file_id", "left").select(
-        *[c for c in files.columns if c != "quick_hash"], F.coalesce("quick_hash", "hash").alias("quick_hash"))
+    # Catalogue columns only; read three times below, so the hashing is not repeated.
+    with_quick = materialize(files.join(quick, "file_id", "left").select(
+        *[c for c in files.columns if c != "quick_hash"], F.coalesce("quick_hash", "hash").alias("quick_hash")))
     full = _hash_wanted(need_full_hash(with_quick, max_size), contents, full_hash(F.col("content")), few)
     return with_quick.join(full, "file_id", "left").select(
         *[c for c in with_quick.columns if c != "content_hash"], F.coalesce("content_hash", "hash").alias("content_hash"))

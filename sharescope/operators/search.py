@@ -227,23 +227,29 @@ def posting_hits(library: Library, queries: list[Query], stemmed: bool = True) -
 def match_postings(library: Library, queries: list[Query], stemmed: bool = True) -> DataFrame:
     """(query_no, file_id, matched, in_title, score, excluded) for files some word of a query occurs in.
 
-    Everything is grouped within a file, so the hits are shuffled once, by file: into runs of
-    adjacent words, runs into items, items into clauses, clauses into files.
+    Everything is grouped within a file, so the hits are shuffled once, by file: phrases into runs
+    of adjacent words, words and runs into clauses, clauses into files.
     """
     weight = F.lit(0.0)
     for name, value in WEIGHTS.items():
         weight = F.when(F.col("field") == name, value).otherwise(weight)
     clause = ["file_id", "unit", "config", "clause", "items"]
     hits = posting_hits(library, queries, stemmed).repartition("file_id")
-    runs = hits.groupBy(*clause, "item", "word_count", "field", (F.col("pos") - F.col("offset")).alias("start")).agg(
-        F.count("*").alias("n"), F.sum(weight).alias("weight"))
-    whole = F.col("n") == F.col("word_count")
-    items = runs.groupBy(*clause, "item").agg(
-        F.bool_or(whole).alias("found"), F.bool_or(whole & F.col("field").isin("A", "B")).alias("titled"),
-        F.sum("weight").alias("weight"))
-    clauses = items.groupBy(*clause).agg(
-        (F.count_if("found") == F.col("items")).alias("found"), (F.count_if("titled") == F.col("items")).alias("titled"),
-        F.sum("weight").alias("weight"))
+    present = hits.withColumn("weight", weight).withColumn("whole", F.lit(True))
+    if any(len(item) > 1 for q in queries for c in q.clauses for item in c) or any(" " in e for q in queries for e in q.excluded):
+        start = (F.col("pos") - F.col("offset")).alias("start")
+        present = hits.groupBy(*clause, "item", "word_count", "field", start).agg(
+            F.sum(weight).alias("weight"), (F.count("*") == F.col("word_count")).alias("whole"))
+    titled = F.col("field").isin("A", "B")
+    if max((len(c) for q in queries for c in q.clauses), default=1) <= 60:
+        # One bit per item: plain numbers in the aggregation buffer.
+        bit = F.expr("shiftleft(1L, item)")
+        seen = lambda cond: F.bit_count(F.coalesce(F.bit_or(F.when(cond, bit)), F.lit(0).cast("long")))
+    else:
+        seen = lambda cond: F.count_distinct(F.when(cond, F.col("item")))
+    clauses = present.groupBy(*clause).agg(
+        (seen(F.col("whole")) == F.col("items")).alias("found"),
+        (seen(F.col("whole") & titled) == F.col("items")).alias("titled"), F.sum("weight").alias("weight"))
     asked = F.col("unit") % UNITS == 0
     return clauses.groupBy("file_id", F.floor(F.col("unit") / UNITS).cast("int").alias("query_no")).agg(
         F.bool_or(asked & F.col("found")).alias("matched"), F.bool_or(asked & F.col("titled")).alias("in_title"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import duplicates as D
 from ..operators import folderplan as L
 from ..operators import reports as R
+from ..session import materialize
 from ..sources.derived import AS_OF, Estate
 from . import base_sql as S
 from .registry import query
@@ -122,7 +123,7 @@ def contents(e: Estate) -> DataFrame:
 
 
 def hashed(e: Estate) -> DataFrame:
-    return D.hash_stage(sized(e), contents(e))
+    return materialize(D.hash_stage(sized(e), contents(e)))
 
 
 @query("D1", "SELECT file_id, bytes AS size FROM sized WHERE bytes IN (SELECT bytes FROM sized WHERE bytes >= 1024 GROUP BY bytes HAVING count(*) > 1)")
