@@ -24,8 +24,22 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, s
     return df.withColumn("rank", ranked).filter(F.col("rank") <= n)
 
 
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, (int, float)):
+        return str(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def inline_rows(rows: list[tuple], names: list[str]) -> str:
+    """A constant table as the argument of `inline`."""
+    structs = ["named_struct(" + ", ".join(f"'{n}', {_literal(v)}" for n, v in zip(names, row)) + ")" for row in rows]
+    return "inline(array(" + ", ".join(structs) + "))"
+
+
 def constant_table(df: DataFrame, rows: list[tuple], names: list[str]) -> DataFrame:
     """A small fixed table in the session of `df`, built inside the JVM."""
-    from ..sources.derived import inline_rows
-
     return df.sparkSession.sql("SELECT " + inline_rows(rows, names))

@@ -159,13 +159,23 @@ def search_stemmed(e: Estate) -> DataFrame:
     return Q.search(library(e, True), S.TOKEN, Q.SearchParams("anean notas", limit=100), "postings").select("file_id", "name", "score")
 
 
-@query("Q14 Q13")
+_HIT = r"(?s)^(.*?)(^|[^\p{L}\p{N}_])(?:nota|than)"
+
+
+@query("Q14 Q13", rf"""WITH page AS (SELECT file_id FROM ({_like(['nota', 'than'])}) ORDER BY mtime DESC NULLS LAST, file_id LIMIT 50),
+    t AS (SELECT file_id, content AS c, length(content) AS n, {S.fold('content')} AS f FROM page JOIN est_docs USING (file_id)),
+    h AS (SELECT *, CASE WHEN regexp_matches(f, '{_HIT}') THEN greatest(0, length(regexp_extract(f, '{_HIT}', 1)) + length(regexp_extract(f, '{_HIT}', 2)) - 80) ELSE 0 END AS a0 FROM t),
+    w AS (SELECT *, least(n, a0 + 240) AS b0, strpos(reverse(substr(c, 1, a0)), ' ') AS back FROM h),
+    v AS (SELECT *, CASE WHEN a0 > 0 AND back BETWEEN 1 AND 29 THEN a0 - back + 1 ELSE a0 END AS a, strpos(substr(c, b0 + 1), ' ') AS ahead FROM w),
+    u AS (SELECT *, CASE WHEN b0 < n AND ahead BETWEEN 1 AND 30 THEN b0 + ahead - 1 ELSE b0 END AS b FROM v)
+    SELECT file_id, CASE WHEN a > 0 THEN '…' ELSE '' END || regexp_replace(substr(c, a + 1, b - a), '[{_SP}]+', ' ', 'g') || CASE WHEN b < n THEN '…' ELSE '' END AS snippet FROM u""")
 def search_snippets(e: Estate) -> DataFrame:
+    """The window shown with each result; which words light up is checked in the tests."""
     lib = library(e)
-    params = Q.SearchParams("nota thand", limit=50)
+    params = Q.SearchParams("nota than", limit=50)
     page = Q.search(lib, S.TOKEN, params)
     return Q.with_snippets(page, lib.documents, Q.parse(params.q)).select(
-        "file_id", F.array_join(F.transform("snippet", lambda s: F.when(s["hit"], F.concat(F.lit("["), s["text"], F.lit("]"))).otherwise(s["text"])), "").alias("snippet"))
+        "file_id", F.array_join(F.transform("snippet", lambda s: s["text"]), "").alias("snippet"))
 
 
 # ── Browsing ─────────────────────────────────────────────────────────────────

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aces as A
 from ..functions import paths as P
+from ..operators.common import inline_rows
 
 # Folder ACLs 1-6 and file ACLs 7-8 as (acl, position, sid, type, mask, flags).
 ACL_ROWS = [
@@ -68,22 +69,6 @@ FROM (SELECT doc_id, n_chars, text, CAST(substr(source, 4) AS INT) AS share_id,
 """
 
 
-def _literal(value) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return str(value).lower()
-    if isinstance(value, (int, float)):
-        return str(value)
-    return "'" + str(value).replace("'", "''") + "'"
-
-
-def inline_rows(rows: list[tuple], names: list[str]) -> str:
-    """A constant table as the argument of `inline`."""
-    structs = ["named_struct(" + ", ".join(f"'{n}', {_literal(v)}" for n, v in zip(names, row)) + ")" for row in rows]
-    return "inline(array(" + ", ".join(structs) + "))"
-
-
 @dataclass
 class Estate:
     """Lazily derived tables of one data folder."""
