@@ -10,9 +10,19 @@ from ..schema import AUDIT_RETENTION_DAYS
 from .reports import page
 
 
+def _in_day_folders(events: DataFrame, first=None, last=None) -> DataFrame:
+    """Stored logs are partitioned by `day`: the same bounds on it skip whole folders."""
+    if "day" not in events.columns:
+        return events
+    if first is not None:
+        events = events.filter(F.col("day") >= F.to_date(first))
+    return events if last is None else events.filter(F.col("day") <= F.to_date(last))
+
+
 def select_events(events: DataFrame, username: str | None = None, action: str | None = None,
                   since: str | None = None, until: str | None = None) -> DataFrame:
-    out = events.filter(V.in_days(F.col("at"), since, until))
+    at = lambda d: None if d is None else V.at(d)
+    out = _in_day_folders(events, at(since), at(until)).filter(V.in_days(F.col("at"), since, until))
     if username:
         out = out.filter(F.col("username") == username.strip().lower())
     if action:
@@ -40,7 +50,10 @@ def flatten_events(events: DataFrame) -> DataFrame:
 
 def keep_recent(events: DataFrame, as_of: str, days: int = AUDIT_RETENTION_DAYS) -> DataFrame:
     """Events within the retention period; a period of zero or less keeps everything."""
-    return events if days <= 0 else events.filter(F.col("at") >= V.days_before(as_of, days))
+    if days <= 0:
+        return events
+    oldest = V.days_before(as_of, days)
+    return _in_day_folders(events, oldest).filter(F.col("at") >= oldest)
 
 
 def idle_accounts(users: DataFrame, sessions: DataFrame, as_of: str, days: int = AUDIT_RETENTION_DAYS) -> DataFrame:

@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from sharescope.operators import audit as U
 from sharescope.operators import duplicates as D
 from sharescope.operators import indexing as I
 from sharescope.operators import principals as PR
@@ -170,6 +171,18 @@ def test_tables_replace_only_their_partitions(spark, tmp_path):
     assert sorted((r.share_id, r.name) for r in K.read_table(spark, str(tmp_path), "shares").collect()) == [(1, "a"), (2, "c")]
 
 
+def test_retention_skips_whole_days(spark, tmp_path):
+    events = spark.sql("SELECT id AS event_id, timestampadd(HOUR, CAST(id AS INT) * 12, TIMESTAMP_NTZ '2024-01-01 00:00:00') AS at, 'u' AS username, 'view' AS action FROM range(20)")
+    K.append_events(events, str(tmp_path))
+    K.append_events(events.limit(0), str(tmp_path))
+    stored = spark.read.parquet(f"{tmp_path}/audit_events")
+    kept = U.keep_recent(stored, "2024-01-10 12:00:00", 3)
+    assert sorted(r.event_id for r in kept.collect()) == [13, 14, 15, 16, 17, 18, 19]
+    assert len(kept.inputFiles()) and "PartitionFilters: [isnotnull(day" in kept._jdf.queryExecution().toString()
+    assert U.keep_recent(stored, "2024-01-10 12:00:00", 0).count() == 20
+    assert U.event_total(stored, username=" U ", since="2024-01-02", until="2024-01-03").first().total == 4
+
+
 def test_listing_and_contents_of_a_folder(spark, tmp_path):
     (tmp_path / "root" / "a").mkdir(parents=True)
     Path(tmp_path / "root" / "a" / "x.txt").write_bytes(b"hola")
