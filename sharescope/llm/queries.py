@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .packing import packing_digest
 from .substring_dedup import removal_digest
+from .token_counts import token_digest
+from .toxicity import toxicity_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,3 +40,18 @@ SELECT doc_id, len(w) AS n_words, coalesce(len(i), 0) AS n_removed,
 FROM texts LEFT JOIN lost USING (r)""")
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return removal_digest(table(spark, folder, "documents"))
+
+
+@registered()
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_digest(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@registered()
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing_digest(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@registered()
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
