@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import long_field, store, without
-from .units import ask, bucket_count, buckets_of, by_bucket, expand, expand_sorted, pack_units, squeeze, squeeze_sorted, unpack
+from .units import ask, bucket_count, buckets_of, by_bucket, expand, expand_sorted, one_by_one, pack_units, squeeze, squeeze_sorted, unpack
 from .words import U64, places, room, run_hashes, split_words, word_hashes
 
 WINDOW = 35
@@ -174,7 +174,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 rows = unpack(row["data"])
                 if row["repeated"]:
                     words, bounds, windows = around(rows, row["anchored"], buckets)

@@ -76,14 +76,31 @@ def sizes(rows: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sum(w * w * np.maximum(letters - a - b, 0) for a, b, w in GAPS), 1e-9))
 
 
-def profiles(words: list[str]) -> np.ndarray:
-    """Explicit kernel features of a few words: the dense rows whose inner products are the kernel."""
-    rows = spelled(words)
-    out = np.zeros((len(words), LETTERS ** 3), dtype=np.float32)
+def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
+    """Kernel values of words with landmarks, over the subsequences that landmarks have."""
+    own, table = landmark_table(landmarks)
+    out = np.empty((len(words), len(landmarks)), dtype=np.float32)
+    for at in range(0, len(words), 256):
+        part = words[at:at + 256]
+        out[at:at + 256] = counted(part, own) @ table
+    return out
+
+
+def counted(words: list[str], own: np.ndarray) -> np.ndarray:
+    """Weights of the subsequences `own`, ascending, in each word."""
+    rows, out = spelled(words), np.zeros(len(words) * (len(own) + 1), dtype=np.float64)
     for ids, weight in subsequences(rows):
-        for i in range(len(words)):
-            np.add.at(out[i], ids[i][ids[i] > 0], weight)
-    return out / sizes(rows)[:, None].astype(np.float32)
+        place = np.minimum(np.searchsorted(own, ids), len(own) - 1)
+        place = np.where(own[place] == ids, place, len(own)) + np.arange(len(words))[:, None] * (len(own) + 1)
+        out += np.bincount(place.ravel(), minlength=len(out)) * weight
+    return (out.reshape(len(words), -1)[:, :-1] / sizes(rows)[:, None]).astype(np.float32)
+
+
+def landmark_table(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All subsequences of the landmarks, ascending, and each landmark's weights for them in a column."""
+    own = np.unique(np.concatenate([ids.ravel() for ids, _ in subsequences(spelled(landmarks))]))
+    own = own[own > 0]
+    return own, counted(landmarks, own).T
 
 
 @dataclass(frozen=True)
@@ -155,7 +172,7 @@ def document_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 def best(values: np.ndarray, bounds: np.ndarray, none: float) -> np.ndarray:
     """The largest value of each row."""
-    out = np.full(len(bounds) - 1, none)
+    out = np.full(len(bounds) - 1, float(none))
     full = np.flatnonzero(np.diff(bounds))
     if len(full):
         out[full] = np.maximum.reduceat(values, bounds[full])
@@ -199,16 +216,19 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Machine:
         votes = in_toxic[witness]
         negative = np.setdiff1d(hard, witness)
         marks = np.concatenate([witness[np.argsort(-votes, kind="stable")][:LANDMARKS // 2], negative])[:LANDMARKS]
-        base = profiles([words[i] for i in marks])
-        values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
+        landmarks = [words[i] for i in marks]
+        values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
         good = values > 1e-6 * values[-1]
         white = vectors[:, good] / np.sqrt(values[good])
         used = np.concatenate([witness, negative])
-        mapped = np.vstack([profiles([words[i] for i in part]) @ base.T for part in np.array_split(used, max(1, len(used) // 200))]).astype(np.float64) @ white
+        mapped = kernel([words[i] for i in used], landmarks).astype(np.float64) @ white
         y = np.concatenate([np.ones(len(witness)), -np.ones(len(negative))])
         cost = np.concatenate([np.sqrt(votes), np.ones(len(negative))]) * 10
         w, bias = linear_machine(mapped, y, cost)
-        machine = Machine((base.T @ (white @ w).astype(np.float32)).astype(np.float64), bias, 1.0, 0.0)
+        own, table = landmark_table(landmarks)
+        weights = np.zeros(LETTERS ** 3)
+        weights[own] = table @ (white @ w)
+        machine = Machine(weights, bias, 1.0, 0.0)
         value = machine.margins(words)
         worst = clean[np.argsort(-value[clean])[:3000]]
         hard = np.union1d(hard, worst)

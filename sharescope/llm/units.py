@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_width, slices, store
 
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 4 << 20
 QUESTION = "bucket int, unit long, load binary"
 ANSWER = "bucket int, unit long, load binary"
 
@@ -109,7 +109,7 @@ def ask(units: DataFrame, question: Callable[[pa.RecordBatch, dict, int], Iterat
 
     def outgoing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 found = list(question(unpack(row["data"]), row, count))
                 if found:
                     yield pa.RecordBatch.from_pydict({
@@ -128,5 +128,11 @@ def ask(units: DataFrame, question: Callable[[pa.RecordBatch, dict, int], Iterat
     return replies.groupBy("unit").agg(F.collect_list(F.struct("bucket", "load")).alias("answers"))
 
 
+def one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one in Python at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def by_bucket(answers: list[dict] | None) -> dict[int, bytes]:
     return {a["bucket"]: a["load"] for a in answers or []}
