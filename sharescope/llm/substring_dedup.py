@@ -166,7 +166,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
             yield from _shares(windows.key, buckets, windows.check, windows.twice)
 
     anchored = store(ask(units, ask_probes, answer_probes)).withColumnRenamed("answers", "anchored")
-    with_anchors = units.join(anchored, "unit", "left")
+    # Merged at every size: whether answers are small enough to be sent around must not depend on the input.
+    with_anchors = units.join(anchored.hint("merge"), "unit", "left")
     repeated = store(ask(with_anchors, ask_windows, answer_windows, ["anchored"])).withColumnRenamed("answers", "repeated")
     # One narrow row of answers a unit, so that the units themselves are shuffled once.
     both = anchored.join(repeated, "unit", "left")
@@ -191,7 +192,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
                     [*rows.schema.names, "kept", "n_words", "n_removed"])
 
     shape = T.StructType([*docs.schema.fields, T.StructField("kept", T.StringType()), long_field("n_words"), long_field("n_removed")])
-    return units.join(both, "unit", "left").select("data", "anchored", "repeated").mapInArrow(rewrite, shape)
+    return units.join(both.hint("merge"), "unit", "left").select("data", "anchored", "repeated").mapInArrow(rewrite, shape)
 
 
 def removal_digest(docs: DataFrame) -> DataFrame:
