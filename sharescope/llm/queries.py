@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .packing import packing_digest
+from .simhash import simhash_digest
 from .substring_dedup import removal_digest
 from .token_counts import token_digest
 from .toxicity import toxicity_digest
@@ -55,3 +56,8 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
 @registered()
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@registered()
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_digest(table(spark, folder, "documents"))

@@ -193,6 +193,28 @@ def linear_machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
     return w[:-1], float(w[-1])
 
 
+def covering(row: np.ndarray, code: np.ndarray, in_clean: np.ndarray, rows: int) -> np.ndarray:
+    """Words that explain the toxic documents, given as pairs of row and word, the most telling first.
+
+    A document counts for half as much with every word that explains it already, and a clean document with the word
+    counts ten times against it. So insults that come together are all found, while a chance word that copies of one
+    toxic document share yields to the insults in it. Rarer words are then taken for documents that nothing explains
+    yet: those that explain three at least, and one in 200.
+    """
+    share, found, toxic = np.ones(rows), [], len(np.unique(row))
+    for least in (0.03 * toxic, max(3, 0.005 * toxic)):
+        while True:
+            gain = np.bincount(code, weights=share[row], minlength=len(in_clean)) - 10 * in_clean
+            gain[found] = 0
+            word = int(np.argmax(gain))
+            if gain[word] < (least if found else 1):
+                break
+            found.append(word)
+            share[row[code == word]] /= 2
+        share[share < 1] = 0
+    return np.array(found, dtype=np.int64)
+
+
 def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Machine:
     """A machine from labelled texts. Without examples of both classes, one that gives every text 0."""
     words, codes, bounds = document_words(pa.array(texts, pa.string()))
@@ -201,21 +223,21 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Machine:
         return Machine(np.zeros(LETTERS ** 3), -1.0, 60.0, 0.0)
     seen = np.unique(row * len(words) + codes)
     row, code = seen // len(words), seen % len(words)
-    in_toxic = np.bincount(code, weights=toxic[row], minlength=len(words))
     in_clean = np.bincount(code, weights=~toxic[row], minlength=len(words))
-    rate = np.log((in_toxic + 0.1) / (in_clean + 0.1)) * np.minimum(in_toxic, 3)
+    first = covering(row[toxic[row]], code[toxic[row]], in_clean, len(texts))
     clean = np.flatnonzero(in_clean > 0)
     begins = np.searchsorted(row, np.arange(len(texts) + 1))
+    if not len(first):
+        return Machine(np.zeros(LETTERS ** 3), -1.0, 60.0, 0.0)
     rng = np.random.default_rng(seed)
-    hard, value, machine = rng.choice(clean, min(3000, len(clean)), replace=False), rate, None
+    hard, value, machine = rng.choice(clean, min(3000, len(clean)), replace=False), None, None
     for _ in range(4):
-        top = best(value[code], begins, -np.inf)
-        is_top = (value[code] >= top[row]) & toxic[row]
-        witness, votes = np.unique(code[is_top], return_counts=True)
-        witness = witness[in_clean[witness] == 0] if (in_clean[witness] == 0).any() else witness
-        votes = in_toxic[witness]
+        witness = first
+        if value is not None:
+            top = best(value[code], begins, -np.inf)
+            witness = np.union1d(first, code[(value[code] >= top[row]) & (value[code] > 0.5) & toxic[row] & (in_clean[code] == 0)])
         negative = np.setdiff1d(hard, witness)
-        marks = np.concatenate([witness[np.argsort(-votes, kind="stable")][:LANDMARKS // 2], negative])[:LANDMARKS]
+        marks = np.concatenate([first[:LANDMARKS // 2], rng.permutation(negative)])[:LANDMARKS]
         landmarks = [words[i] for i in marks]
         values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
         good = values > 1e-6 * values[-1]
@@ -223,7 +245,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Machine:
         used = np.concatenate([witness, negative])
         mapped = kernel([words[i] for i in used], landmarks).astype(np.float64) @ white
         y = np.concatenate([np.ones(len(witness)), -np.ones(len(negative))])
-        cost = np.concatenate([np.sqrt(votes), np.ones(len(negative))]) * 10
+        cost = np.concatenate([np.full(len(witness), max(1.0, len(negative) / 20 / len(witness))), np.ones(len(negative))]) * 10
         w, bias = linear_machine(mapped, y, cost)
         own, table = landmark_table(landmarks)
         weights = np.zeros(LETTERS ** 3)
@@ -233,9 +255,10 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Machine:
         worst = clean[np.argsort(-value[clean])[:3000]]
         hard = np.union1d(hard, worst)
     top = best(value[code], begins, -2.0)
-    # The middle between the classes' documents, at equal quantiles from either side, gets 0.5.
-    high, low = np.quantile(top[toxic], 0.01), np.quantile(top[~toxic], 0.99)
-    middle, width = (high + low) / 2, max(abs(high - low), 0.1)
+    # A third of the way from clean documents to explained toxic ones is 0.5; labels no word explains don't move it.
+    explained = best(np.isin(code, first).astype(float), begins, 0) > 0
+    high, low = np.quantile(top[toxic & explained], 0.02), np.quantile(top[~toxic], 0.97)
+    middle, width = low + (high - low) / 3, max(abs(high - low), 0.1)
     return Machine(machine.weights, machine.bias, 6 / width, middle)
 
 
