@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .code_search import nearest
+from .decontamination import contained
 from .packing import packing_digest
 from .simhash import simhash_digest
 from .substring_dedup import removal_digest
 from .token_counts import token_digest
 from .toxicity import toxicity_digest
+from .url_filter import judge
+from .warc import archive_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,3 +65,50 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @registered()
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_digest(table(spark, folder, "documents"))
+
+
+@registered(r"""
+WITH docs AS (SELECT doc_id, w, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0),
+items AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0),
+d AS (SELECT doc_id, unnest(s) AS g FROM docs), i AS (SELECT item_id, len(s) AS n_shingles, unnest(s) AS g FROM items)
+SELECT doc_id, item_id, count(*) AS n_shared, n_shingles, count(*) / n_shingles AS containment
+FROM d JOIN i USING (g) GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= n_shingles * 0.8 - 1e-9""")
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contained(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+LISTED = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+@registered(r"""
+WITH parts AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM parts),
+urls AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts),
+rules(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+hits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict FROM urls JOIN rules ON (host = h OR suffix(host, '.' || h)) AND prefix(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN hits USING (page_id)""")
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    listed = spark.createDataFrame(LISTED, "host string, path string, verdict string")
+    return judge(table(spark, folder, "pages").select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+@registered(r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, upper(sha1(coalesce(html, ''))) AS x FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS m FROM p)
+SELECT page_id, n AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(x, 1 + 5 * (i // 4), 5))::INTEGER) >> (15 - 5 * (i % 4))::INTEGER) & 31)::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to
+FROM k""")
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_digest(table(spark, folder, "pages"))
+
+
+@registered(r"""
+WITH c AS (SELECT DISTINCT vec_id, array_to_string(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN '1' ELSE '0' END), '')::BIT AS code FROM embeddings),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code)) AS distance FROM c q, c WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10""")
+def op10_code_search(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"))
