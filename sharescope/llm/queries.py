@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .code_search import nearest
 from .decontamination import contained
+from .ngram_lm import scored
 from .packing import packing_digest
 from .simhash import simhash_digest
 from .substring_dedup import removal_digest
@@ -112,3 +113,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_
 SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10""")
 def op10_code_search(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"))
+
+
+@registered()
+def op9_ngram_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return scored(table(spark, folder, "documents"))
