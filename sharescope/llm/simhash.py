@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import long_field, shuffle_width, slices, store, without
+from .common import long_field, quoted, shuffle_width, slices, store, without
 from .components import components
 from .golay import decode, nearby
 from .words import split_words
@@ -233,6 +233,15 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
+def named(marked: DataFrame, doc_id: str, distance: int = DISTANCE) -> DataFrame:
+    """(fingerprint, root, component_id) for each distinct fingerprint of stored rows; `root` tells components apart."""
+    distinct = store(marked.groupBy("fingerprint").agg(F.min(doc_id).alias("_first")))
+    parts = components(near_links(distinct, distance))
+    rooted = distinct.join(parts.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    smallest = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
+    return store(rooted.join(smallest, "root").select("fingerprint", "root", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, distance: int = DISTANCE) -> DataFrame:
     """`docs` (or its columns `keep`) with fingerprint (long) and component_id, the smallest id reachable over links.
 
@@ -240,12 +249,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     others, but name one only if no id is there: then component_id is null.
     """
     marked = store(fingerprinted(without(docs, ["component_id"]), text, keep))
-    distinct = store(marked.groupBy("fingerprint").agg(F.min(doc_id).alias("_first")))
-    parts = components(near_links(distinct, distance))
-    rooted = distinct.join(parts.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    smallest = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
-    named = store(rooted.join(smallest, "root").select("fingerprint", "component_id"))
-    return marked.join(named, "fingerprint")
+    return marked.join(named(marked, doc_id, distance).drop("root"), "fingerprint")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
+    """The row with the smallest id of every component; of repeated rows one stays, and ids come before nulls."""
+    marked = store(fingerprinted(docs.withColumn("_row", F.monotonically_increasing_id()), text))
+    rows = marked.select("fingerprint", F.col(doc_id).alias("_id"), "_row").join(named(marked, doc_id, distance), "fingerprint")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
+    return marked.join(first, "_row", "left_semi").select(*[quoted(c) for c in docs.columns])
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
