@@ -14,6 +14,8 @@ the joins below decide all the same. Join sides are left to their measured size.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +30,15 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(F.lower(text), "[ \\t\\n\\x0B\\f\\r]+"), ""), F.array().cast("array<string>"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once for each row, also where `body` uses it for each element of an array."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def shingle_hashes(words: Column, size: int) -> Column:
     """A hash for every run of `size` words; fewer words are one run, none is none."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
     last = F.greatest(F.size(words) - size, F.lit(0))
-    runs = F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(hashes, i, size)))
+    runs = let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(hashes, i, size))))
     return F.when(F.size(words) > 0, runs).otherwise(F.array().cast("array<long>"))
 
 
@@ -76,12 +82,12 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id
     mask, place = F.lit(bitmap(known.select("h").distinct())), lambda h: F.pmod(h, F.lit(BITS))
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), place(h).bitwiseAND(F.lit(63)).cast("int"))
     may = lambda h: F.get(mask, F.shiftright(place(h), 6).cast("int")).bitwiseAND(bit(h)) != 0
-    numbered = F.transform(shingle_hashes(F.col("w"), size), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    read = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
-    found = read.withColumn("p", F.filter(numbered, lambda p: may(p["h"]))).filter(F.size("p") > 0)
-    told = F.array_distinct(F.transform("p", lambda p: F.struct(p["h"].alias("h"), F.concat_ws(" ", F.slice("w", p["i"] + 1, size)).alias("shingle"))))
+    numbered = lambda w: F.transform(shingle_hashes(w, size), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    spelt = lambda w, p: F.struct(p["h"].alias("h"), F.concat_ws(" ", F.slice(w, p["i"] + 1, size)).alias("shingle"))
+    told = let(words(F.col(text)), lambda w: F.transform(F.filter(numbered(w), lambda p: may(p["h"])), lambda p: spelt(w, p)))
     # A row for each shingle that some item may have; `owner` tells documents apart, also those without an id.
-    shared = store(found.select("doc_id", F.xxhash64("doc_id", "w").alias("owner"), F.explode(told).alias("t")).select("doc_id", "owner", "t.h", "t.shingle"))
+    shared = store(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("owner"), F.explode(F.array_distinct(told)).alias("t"))
+                   .select("doc_id", "owner", "t.h", "t.shingle"))
     shared = shared.distinct()
 
     sketch = known.filter("sketched").select("version", "need", "h")
