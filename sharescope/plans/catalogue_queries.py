@@ -240,11 +240,15 @@ def csv_cells(e: Estate) -> DataFrame:
 
 # ── Texts from bytes ─────────────────────────────────────────────────────────
 
-@query("I1 S3", "SELECT doc_id, text FROM documents")
+@query("I1", """SELECT doc_id, CASE WHEN doc_id % 16 = 2 THEN text || chr(65533) WHEN doc_id % 16 = 6 THEN text || chr(65533) || 'x' WHEN doc_id % 16 = 10 THEN chr(65533) || text ELSE text END AS text
+    FROM documents""")
 def decode_bytes(e: Estate) -> DataFrame:
-    """Texts encoded four ways come back as they were."""
+    """Texts encoded four ways come back as they were; where UTF-16 is broken, a sign stands for what is lost."""
     blob = (F.when(F.col("doc_id") % 4 == 0, F.encode("text", "UTF-8"))
             .when(F.col("doc_id") % 4 == 1, F.concat(F.lit(b"\xef\xbb\xbf"), F.encode("text", "UTF-8")))
+            .when(F.col("doc_id") % 16 == 2, F.concat(F.encode("text", "UTF-16"), F.lit(b"\x00")))
+            .when(F.col("doc_id") % 16 == 6, F.concat(F.encode("text", "UTF-16"), F.lit(b"\xd8\x01\x00x")))
+            .when(F.col("doc_id") % 16 == 10, F.concat(F.lit(b"\xfe\xff\xdc\x01"), F.encode("text", "UTF-16BE")))
             .when(F.col("doc_id") % 4 == 2, F.encode("text", "UTF-16"))
             .otherwise(F.encode("text", "ISO-8859-1")))
     return e.table("documents").select("doc_id", TX.decode_text(blob).alias("text"))

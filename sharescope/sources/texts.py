@@ -1,17 +1,15 @@
 """Text out of file bytes.
 
-Plain text and mark-up are decoded by Spark expressions. Office and OpenDocument containers need
-Python: `mapInPandas` reads a few files at a time and turns every failure into an error row.
+Plain text and mark-up are decoded by Spark expressions. Of Office and OpenDocument containers, only unzipping
+is Python's: it makes their members rows, and a file that can't be opened an error row.
 """
 
 from __future__ import annotations
 
 import html
 import io
-import re
 import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,16 +20,31 @@ from ..schema import OPEN_DOCUMENT_FILES, PLAIN_TEXT, SHEET_FILES, SLIDE_FILES,
 # What Windows code page 1252 has at 0x80-0x9F (five places are unassigned).
 _CP1252 = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
 _C1 = "".join(chr(c) for c in range(0x80, 0xA0))
-MAX_MEMBER = 64 * 1024 * 1024
+
+
+def decode_utf16(content: Column) -> Column:
+    """UTF-16 after its byte-order mark, in either order; half a unit or half a pair of surrogates becomes U+FFFD."""
+    digits = F.hex(content)
+    swapped = F.when(F.startswith(digits, F.lit("FFFE")), F.regexp_replace(digits, "(..)(..)", "$2$1")).otherwise(digits)
+    first, second = "D[89AB]..", "D[C-F].."
+
+    def repaired(units: Column) -> Column:
+        alone = lambda u, i: ((u.rlike(first) & ~F.coalesce(F.get(units, i + 1).rlike(second), F.lit(False)))
+                              | (u.rlike(second) & ~F.coalesce(F.get(units, i - 1).rlike(first), F.lit(False))))
+        return F.transform(units, lambda u, i: F.when(alone(u, i), "FFFD").otherwise(u))
+
+    # As the element of an array, the units are computed once and not for each of their uses.
+    units = F.get(F.transform(F.array(F.regexp_extract_all(swapped, F.lit("...."), F.lit(0))), repaired), 0)
+    odd = F.when(F.length(content) % 2 == 1, "FFFD").otherwise("")
+    return F.decode(F.unhex(F.concat(F.array_join(F.slice(units, 2, F.greatest(F.size(units) - 1, F.lit(0))), ""), odd)), "UTF-16BE")
 
 
 def decode_text(content: Column) -> Column:
-    """UTF-16 with a byte-order mark, else UTF-8 (mark dropped), else Windows-1252."""
+    """UTF-16 with a byte-order mark, else UTF-8 (mark dropped), else Windows-1252; broken bytes never raise."""
     utf8 = content.cast("string")
     start = F.substring(content, 1, 2)
-    utf16 = F.decode(content, "UTF-16")
     western = F.translate(F.decode(content, "ISO-8859-1"), _C1, _CP1252)
-    return (F.when((start == F.lit(b"\xff\xfe")) | (start == F.lit(b"\xfe\xff")), utf16)
+    return (F.when((start == F.lit(b"\xff\xfe")) | (start == F.lit(b"\xfe\xff")), decode_utf16(content))
             .when(F.is_valid_utf8(utf8), F.regexp_replace(utf8, r"\A\x{FEFF}", ""))
             .otherwise(western))
 
@@ -51,94 +64,75 @@ def unescape(text: Column) -> Column:
     return run(text)
 
 
+def unescaped(rows: DataFrame) -> DataFrame:
+    """The same for whole (file_id, text) rows, where `text` is still to be computed by array functions."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(text=batch["text"].map(html.unescape, na_action="ignore"))
+
+    return rows.mapInPandas(run, "file_id bigint, text string")
+
+
 def markup_text(markup: Column) -> Column:
     return unescape(strip_tags(markup))
 
 
 # ── Containers ───────────────────────────────────────────────────────────────
 
-class _Unreadable(Exception):
-    pass
-
-
-def _member(box: zipfile.ZipFile, name: str, limit: int) -> bytes:
-    try:
-        size = box.getinfo(name).file_size
-    except KeyError:
-        return b""
-    if size > limit:
-        raise _Unreadable(f"{name} is too large to read ({size} bytes)")
-    return box.read(name)
-
-
-def _tag(element) -> str:
-    return element.tag.rpartition("}")[2]
-
-
-def _runs(xml: bytes, paragraph: str) -> list[str]:
-    """Text runs of an Office part, one line per closed paragraph (or shared string); tabs are blanks."""
-    lines, current = [], []
-    if not xml:
-        return lines
-    for _, element in ElementTree.iterparse(io.BytesIO(xml)):
-        kind = _tag(element)
-        if kind == "t":
-            current.append(element.text or "")
-        elif kind == "tab":
-            current.append(" ")
-        elif kind == paragraph:
-            lines.append("".join(current))
-            current = []
-            element.clear()
-    lines.append("".join(current))
-    return [line for line in lines if line]
-
-
-def _numbered(name: str) -> int:
-    return int(re.search(r"(\d+)\.xml\Z", name).group(1))
-
-
-def _parts(box: zipfile.ZipFile, kind: str) -> list[str]:
-    """Members that hold text, in reading order."""
-    names = box.namelist()
-    if kind == "word":
-        extra = sorted(n for n in names if re.fullmatch(r"word/(?:header|footer)\d*\.xml", n))
-        return ["word/document.xml", "word/footnotes.xml", "word/endnotes.xml", *extra]
-    slides = sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=_numbered)
-    notes = sorted((n for n in names if re.fullmatch(r"ppt/notesSlides/notesSlide\d+\.xml", n)), key=_numbered)
-    return slides + notes
-
-
-def container_text(extension: str, data: bytes, limit: int = MAX_MEMBER) -> str:
-    try:
-        box = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile:
-        raise _Unreadable("not a valid Office file (password-protected or corrupt)") from None
-    with box:
-        if extension in WORD_FILES or extension in SLIDE_FILES:
-            kind = "word" if extension in WORD_FILES else "slides"
-            return "\n".join(line for part in _parts(box, kind) for line in _runs(_member(box, part, limit), "p"))
-        if extension in SHEET_FILES:
-            book = _member(box, "xl/workbook.xml", limit)
-            sheets = [e.get("name", "") for e in ElementTree.fromstring(book).iter() if _tag(e) == "sheet"] if book else []
-            return "\n".join([*sheets, *_runs(_member(box, "xl/sharedStrings.xml", limit), "si")])
-        body = _member(box, "content.xml", limit)
-        if not body:
-            return ""
-        return "\n".join("".join(e.itertext()) for e in ElementTree.fromstring(body).iter() if _tag(e) in ("p", "h"))
-
-
-def _containers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+# The members of a container that hold text, by kind, in reading order, and what ends a line in them.
+_MEMBERS = {
+    "word": (WORD_FILES, ["word/document.xml", "word/footnotes.xml", "word/endnotes.xml", "word/(header|footer)[0-9]*.xml"], "p"),
+    "slides": (SLIDE_FILES, ["ppt/slides/slide[0-9]+.xml", "ppt/notesSlides/notesSlide[0-9]+.xml"], "p"),
+    "sheet": (SHEET_FILES, ["xl/workbook.xml", "xl/sharedStrings.xml"], "si"),
+    "open": (OPEN_DOCUMENT_FILES, ["content.xml"], "[ph]"),
+}
+
+
+def _unzipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each XML member of each archive, and one without a member for each file: all that needs Python."""
     for batch in batches:
-        rows = []
         for file_id, extension, content in batch[["file_id", "extension", "content"]].itertuples(index=False):
+            rows = [(file_id, extension, None, None, None)]
             try:
-                rows.append((file_id, container_text(extension, bytes(content)), None))
-            except _Unreadable as problem:
-                rows.append((file_id, None, str(problem)[:500]))
-            except Exception as problem:  # a broken member must not fail the task
-                rows.append((file_id, None, f"{type(problem).__name__}: {problem}"[:500]))
-        yield pd.DataFrame(rows, columns=["file_id", "text", "error"])
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
+                    rows += [(file_id, extension, m, archive.read(m), None) for m in archive.namelist() if m.endswith(".xml")]
+            except Exception as problem:  # whatever is wrong with one file stays with that file
+                rows = [(file_id, extension, None, None, f"archive cannot be opened: {problem}")]
+            yield pd.DataFrame(rows, columns=["file_id", "extension", "member", "xml", "error"])
+
+
+def _element(name: str) -> str:
+    return rf"(?:[\w.-]+:)?{name}"
+
+
+def _lines(kind: Column, xml: Column) -> Column:
+    """The lines of text of one member, as expressions over its mark-up; blank ones are left out."""
+    between = lambda end: F.split(xml, rf"</{_element(end)}\s*>")
+    runs = lambda part: F.array_join(F.regexp_extract_all(
+        F.regexp_replace(part, rf"<{_element('tab')}\s*/>", "<t> </t>"), F.lit(rf"<{_element('t')}(?:\s[^<>]*)?>([^<]*)</"), F.lit(1)), "")
+    names = F.regexp_extract_all(xml, F.lit(rf"<{_element('sheet')}\s[^<>]*?name=\"([^\"]*)\""), F.lit(1))
+    office = lambda end: F.transform(between(end), runs)
+    return F.filter(
+        F.when(kind == "open", F.transform(between(_MEMBERS["open"][2]), lambda part: F.regexp_replace(part, "<[^<>]*>", "")))
+        .when(kind == "sheet", F.concat(names, office(_MEMBERS["sheet"][2])))
+        .otherwise(office("p")), lambda line: line != "")
+
+
+def container_texts(files: DataFrame) -> DataFrame:
+    """(file_id, text, error) of Office and OpenDocument files: members are rows, their text comes from expressions."""
+    members = files.select("file_id", "extension", "content").mapInPandas(_unzipped, "file_id bigint, extension string, member string, xml binary, error string")
+    kind, rank = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for name, (extensions, patterns, _) in _MEMBERS.items():
+        kind = F.when(F.col("extension").isin(extensions), name).otherwise(kind)
+        for i, pattern in enumerate(patterns):
+            whole = F.col("extension").isin(extensions) & F.col("member").rlike(rf"\A{pattern.replace('.xml', '[.]xml')}\z")
+            rank = F.when(whole, i).otherwise(rank)
+    number = F.coalesce(F.regexp_extract("member", "([0-9]+)[.]xml", 1).try_cast("int"), F.lit(0))
+    read = members.withColumns({"kind": kind, "rank": rank}).filter("rank IS NOT NULL OR member IS NULL")
+    read = read.withColumn("text", F.when(F.col("rank").isNotNull(), F.array_join(_lines(F.col("kind"), decode_text(F.col("xml"))), "\n")))
+    parts = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("rank", number.alias("number"), "member", "text"))))
+    joined = read.groupBy("file_id").agg(F.max("error").alias("error"), F.array_join(F.transform(parts, lambda m: m["text"]), "\n").alias("text"))
+    return joined.select("file_id", F.when(F.col("error").isNull(), unescape(F.col("text"))).alias("text"), "error")
 
 
 def extract_texts(files: DataFrame) -> DataFrame:
@@ -150,11 +144,10 @@ def extract_texts(files: DataFrame) -> DataFrame:
     decoded = plain.select("file_id", "extension", decode_text(F.col("content")).alias("text"))
     marked = F.col("extension").isin("html", "htm", "xml")
     texts = (decoded.filter(~marked).select("file_id", "text")
-             .unionByName(decoded.filter(marked).select("file_id", markup_text(F.col("text")).alias("text")))
+             .unionByName(unescaped(decoded.filter(marked).select("file_id", strip_tags(F.col("text")).alias("text"))))
              .withColumn("error", F.lit(None).cast("string")))
     packed = files.filter(F.col("extension").isin(WORD_FILES + SHEET_FILES + SLIDE_FILES + OPEN_DOCUMENT_FILES))
-    unpacked = packed.select("file_id", "extension", "content").mapInPandas(
-        _containers, "file_id bigint, text string, error string")
+    unpacked = container_texts(packed)
     other = files.filter(~F.col("extension").isin(
         PLAIN_TEXT + WORD_FILES + SHEET_FILES + SLIDE_FILES + OPEN_DOCUMENT_FILES)).select(
         "file_id", F.lit(None).cast("string").alias("text"),
