@@ -229,7 +229,38 @@ def catalogue_round_trip(e: Estate) -> DataFrame:
         "file_id", "share_id", "folder_id", "name", "extension", "size", F.col("mtime").cast("string").alias("mtime"), "acl_id")
 
 
-@query("S7 X9", r"""SELECT event_id, strftime("at", '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us("at") % 1000000 = 0 THEN '' ELSE strftime("at", '.%f') END AS "at",
+@query("S6 R10", """SELECT file_id, share_id, name || CASE WHEN share_id % 3 = 1 THEN ' v2' ELSE '' END AS name FROM est_files WHERE share_id % 3 <> 2""")
+def catalogue_replaced(e: Estate) -> DataFrame:
+    """Written twice: some shares anew, some left alone, and of some all files are gone."""
+    folder = f"{shared_folder(e.spark)}/catalogue-{uuid.uuid4().hex}"
+    files = e.files.select("file_id", "share_id", "name")
+    K.write_table(files, folder, "files")
+    again = files.filter("share_id % 3 = 1").withColumn("name", F.concat("name", F.lit(" v2")))
+    K.write_table(again, folder, "files", processed=e.shares.select("share_id").filter("share_id % 3 <> 0"))
+    return e.spark.read.parquet(f"{folder}/files").select("file_id", "share_id", "name")
+
+
+@query("S9", """SELECT share_id, day, max(n) AS n FROM (SELECT CAST(o_orderkey % 20 AS INT) AS share_id, CAST(o_orderdate AS DATE)::VARCHAR AS day, CASE WHEN o_orderkey % 20 < 10 THEN 3 ELSE 2 END AS n FROM orders) GROUP BY 1, 2""")
+def snapshots_stored(e: Estate) -> DataFrame:
+    """A day written for half the shares, then for the others, then again for the first half."""
+    folder = f"{shared_folder(e.spark)}/snapshots-{uuid.uuid4().hex}"
+    rows = e.table("orders").select((F.col("o_orderkey") % 20).cast("int").alias("share_id"), F.to_date("o_orderdate").alias("day")).distinct()
+    for n, half in ((1, "share_id < 10"), (2, "share_id >= 10"), (3, "share_id < 10")):
+        K.write_snapshots(rows.filter(half).withColumn("n", F.lit(n)), folder)
+    return e.spark.read.parquet(f"{folder}/plan_snapshots").select("share_id", F.col("day").cast("string").alias("day"), "n")
+
+
+@query("S8 T2", """SELECT event_id, CAST("at" AS VARCHAR) AS "at" FROM est_audit WHERE "at" >= TIMESTAMP '2024-01-31 12:00:00' - INTERVAL 14 DAY""")
+def audit_purged(e: Estate) -> DataFrame:
+    """Events appended in two goes, then purged where they are stored."""
+    folder = f"{shared_folder(e.spark)}/audit-{uuid.uuid4().hex}"
+    for part in (0, 1):
+        K.append_events(e.audit.filter(F.col("event_id") % 2 == part), folder)
+    K.purge_events(e.spark, folder, "2024-01-31 12:00:00", 14)
+    return e.spark.read.parquet(f"{folder}/audit_events").select("event_id", F.col("at").cast("string").alias("at"))
+
+
+@query("X9", r"""SELECT event_id, strftime("at", '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us("at") % 1000000 = 0 THEN '' ELSE strftime("at", '.%f') END AS "at",
     CASE WHEN event_id % 3 = 0 THEN chr(39) || '=' || username ELSE username END AS username, username || ', ' || action AS tags FROM est_audit""")
 def csv_cells(e: Estate) -> DataFrame:
     rows = e.audit.select(
@@ -274,7 +305,7 @@ def _word_file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["file_id", "extension"]].assign(content=blobs)
 
 
-@query("I3 S3", """SELECT file_id, array_to_string(list_filter(string_split(content, chr(10)), lambda l: l <> ''), chr(10)) AS text FROM est_files""")
+@query("I3", """SELECT file_id, array_to_string(list_filter(string_split(content, chr(10)), lambda l: l <> ''), chr(10)) AS text FROM est_files""")
 def office_text(e: Estate) -> DataFrame:
     """Every text packed into a Word container and read back."""
     packed = e.files.select("file_id", F.lit("docx").alias("extension"), "content").mapInPandas(

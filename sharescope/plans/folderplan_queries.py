@@ -201,7 +201,7 @@ def capped_issue_lists(e: Estate) -> DataFrame:
     return L.capped_issues(L.issues(facts(e, True), e.files, e.plan, e.folders, e.shares), 3)
 
 
-@query("L23 S9", f"SELECT t.*, '2024-01-01' AS day, '2024-01-01 03:00:00' AS taken_at FROM ({_TOTALS}) t WHERE share_id IN (SELECT share_id FROM est_shares WHERE enabled)")
+@query("L23", f"SELECT t.*, '2024-01-01' AS day, '2024-01-01 03:00:00' AS taken_at FROM ({_TOTALS}) t WHERE share_id IN (SELECT share_id FROM est_shares WHERE enabled)")
 def daily_snapshot(e: Estate) -> DataFrame:
     snap = L.snapshot(e.folders, e.files, e.plan, e.shares, "2024-01-01", "2024-01-01 03:00:00")
     return snap.withColumns({"day": F.col("day").cast("string"), "taken_at": F.col("taken_at").cast("string")})

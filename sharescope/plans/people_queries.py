@@ -122,7 +122,7 @@ def audit_total(e: Estate) -> DataFrame:
     return U.event_total(e.audit, username="user7", action="search", since="2024-01-05", until="2024-01-20")
 
 
-@query("G13 X23 S8", """SELECT event_id, CAST("at" AS VARCHAR) AS "at", coalesce(username, '') AS user, action, coalesce(path, '') AS path, coalesce(CAST(detail AS JSON) ->> '$.q', '') AS query,
+@query("G13 X23", """SELECT event_id, CAST("at" AS VARCHAR) AS "at", coalesce(username, '') AS user, action, coalesce(path, '') AS path, coalesce(CAST(detail AS JSON) ->> '$.q', '') AS query,
     coalesce(CAST(detail AS JSON) ->> '$.results', '') AS results, coalesce(client_ip, '') AS ip FROM est_audit""")
 def audit_export(e: Estate) -> DataFrame:
     return U.flatten_events(e.audit).drop("detail").withColumn("at", F.col("at").cast("string"))

@@ -52,7 +52,7 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def is_local(spark: SparkSession) -> bool:
-    return spark.conf.get("spark.master", "local").startswith("local")
+    return spark.conf.get("spark.master", "").startswith("local[") or spark.conf.get("spark.master", "") == "local"
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import formula_safe
+from ..functions.values import days_before, formula_safe
 from ..schema import TABLES
+from ..session import materialize
 
 BOM = "﻿"
 
@@ -16,16 +17,43 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}")
 
 
-def write_table(df: DataFrame, folder: str, name: str, partition: str | None = "share_id") -> None:
+def _folder(spark: SparkSession, path: str):
+    """A folder and its file system, whichever that is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def stored_partitions(spark: SparkSession, folder: str, name: str, partition: str) -> list[str]:
+    """Values a stored table is partitioned by, from the names of its folders."""
+    place, system = _folder(spark, f"{folder}/{name}")
+    if not system.exists(place):
+        return []
+    found = (s.getPath().getName() for s in system.listStatus(place) if s.isDirectory())
+    return sorted(n.split("=", 1)[1] for n in found if n.startswith(f"{partition}="))
+
+
+def drop_partitions(spark: SparkSession, folder: str, name: str, partition: str, values: list) -> None:
+    for value in values:
+        place, system = _folder(spark, f"{folder}/{name}/{partition}={value}")
+        system.delete(place, True)
+
+
+def write_table(df: DataFrame, folder: str, name: str, partition: str | None = "share_id", processed: DataFrame | None = None) -> None:
     """A new version of a table. Partitioned tables replace only the partitions present in `df`.
 
-    The rebalance spreads a dominant share over several files instead of one writer per share.
+    `processed` has the partition values this version speaks for: those of them without a row lose what was stored, so
+    that a share whose files are all gone ends up without files. The rebalance spreads a dominant share over several
+    files instead of one writer per share.
     """
     if partition is None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return
     (df.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition).parquet(f"{folder}/{name}"))
+    if processed is not None:
+        # As many values as the table has folders, which the driver lists for every read.
+        empty = processed.select(partition).distinct().join(df.select(partition).distinct(), partition, "left_anti")
+        drop_partitions(df.sparkSession, folder, name, partition, [r[0] for r in empty.collect()])
 
 
 def append_events(events: DataFrame, folder: str, name: str = "audit_events") -> None:
@@ -34,8 +62,30 @@ def append_events(events: DataFrame, folder: str, name: str = "audit_events") ->
     day.write.mode("append").partitionBy("day").parquet(f"{folder}/{name}")
 
 
+def purge_events(spark: SparkSession, folder: str, as_of: str, days: int, name: str = "audit_events") -> None:
+    """Remove stored events older than the retention period; zero or less removes nothing.
+
+    Whole days go as folders, unread. Only the day the period begins on is written again.
+    """
+    stored = stored_partitions(spark, folder, name, "day")
+    if days <= 0 or not stored:
+        return
+    oldest = spark.range(1).select(days_before(as_of, days).alias("t")).first().t
+    first = oldest.date().isoformat()
+    if first in stored:
+        kept = materialize(spark.read.parquet(f"{folder}/{name}").filter((F.col("day") == first) & (F.col("at") >= F.lit(oldest))))
+        write_table(kept, folder, name, "day", spark.range(1).select(F.lit(first).cast("date").alias("day")))
+    drop_partitions(spark, folder, name, "day", [d for d in stored if d < first])
+
+
 def write_snapshots(rows: DataFrame, folder: str, name: str = "plan_snapshots") -> None:
-    """Replace the days present in `rows`."""
+    """Replace the (share, day) rows present in `rows`; other shares of those days stay as they are."""
+    spark = rows.sparkSession
+    if stored_partitions(spark, folder, name, "day"):
+        days = rows.select("day").distinct()
+        stored = spark.read.parquet(f"{folder}/{name}").select(*rows.columns).join(days, "day", "left_semi")
+        # Read before its folders are replaced.
+        rows = materialize(stored.join(rows.select("share_id", "day"), ["share_id", "day"], "left_anti").select(*rows.columns).unionByName(rows))
     write_table(rows, folder, name, "day")
 
 
