@@ -106,7 +106,7 @@ def main() -> None:
         "files_by_age": lambda: R.by_age(t.files, AS_OF),
         "hygiene": lambda: R.hygiene_rows(t.files, t.folders, t.shares),
         "visible_files": lambda: X.visible_files(t.files, t.folders, t.acls, TOKEN),
-        "permission_grid": lambda: R.permission_grid(t.folders, t.shares, t.acls, t.principals, t.members),
+        "permission_grid": lambda: R.permission_grid(t.folders, t.shares, t.acls, t.principals, t.members, max_columns=60),
         "duplicates": lambda: D.group_members(hashed(estate), t.folders, t.shares),
         "compliance": lambda: L.capped_issues(L.issues(
             L.folder_facts(t.folders, t.files, t.plan, True), t.files, t.plan, t.folders, t.shares)),

@@ -46,7 +46,7 @@ def summary(shares: DataFrame, files: DataFrame, folders: DataFrame, scan_runs:
                     zero("folders"), "last_scan_status", "last_scan_finished"))
 
 
-def by_extension(files: DataFrame, limit: int = 30) -> DataFrame:
+def by_extension(files: DataFrame, limit: int | None = None) -> DataFrame:
     """Heaviest extensions."""
     ext = F.when(F.col("extension") == "", "(none)").otherwise(F.col("extension"))
     grouped = files.groupBy(ext.alias("extension")).agg(
@@ -66,7 +66,7 @@ def by_age(files: DataFrame, as_of: str) -> DataFrame:
 
 
 def stale_folders(files: DataFrame, folders: DataFrame, shares: DataFrame, as_of: str, years: int = 5,
-                  limit: int = 100) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     """Folders with the most bytes untouched for `years` 365-day years."""
     old = (files.filter(F.col("mtime") < V.days_before(as_of, 365 * years)).groupBy("folder_id").agg(
         F.count("*").alias("stale_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("stale_bytes"),
@@ -85,7 +85,7 @@ def _with_place(df: DataFrame, folders: DataFrame, shares: DataFrame) -> DataFra
 
 # ── Hygiene ──────────────────────────────────────────────────────────────────
 
-def long_paths(files: DataFrame, folders: DataFrame, shares: DataFrame, limit: int | None = 200,
+def long_paths(files: DataFrame, folders: DataFrame, shares: DataFrame, limit: int | None = None,
                longer_than: int = LONG_PATH_LIMIT) -> DataFrame:
     """Paths too long for common programs; separators count even at a share's root."""
     length = (F.length("share_path") + F.length("path") + F.length("name") + 2).cast("long")
@@ -95,7 +95,7 @@ def long_paths(files: DataFrame, folders: DataFrame, shares: DataFrame, limit: i
     return page(shown, [F.desc("length"), F.asc("path")], limit)
 
 
-def deep_folders(folders: DataFrame, shares: DataFrame, limit: int | None = 200,
+def deep_folders(folders: DataFrame, shares: DataFrame, limit: int | None = None,
                  deeper_than: int = DEEP_FOLDER_LIMIT) -> DataFrame:
     deep = folders.filter(F.col("depth") > deeper_than).select("share_id", "path", "depth")
     shown = deep.join(shares.select("share_id", F.col("path").alias("share_path")), "share_id").select(
@@ -135,7 +135,7 @@ def hygiene_counts(files: DataFrame, folders: DataFrame, shares: DataFrame) -> D
     return out
 
 
-def hygiene_rows(files: DataFrame, folders: DataFrame, shares: DataFrame, limit: int = 200) -> DataFrame:
+def hygiene_rows(files: DataFrame, folders: DataFrame, shares: DataFrame, limit: int | None = None) -> DataFrame:
     """The four lists as one table of issues for export."""
     text = lambda c: F.col(c).cast("string").alias("detail")
     issue = lambda label: F.lit(label).alias("issue")
@@ -161,7 +161,7 @@ def describe(df: DataFrame, principals: DataFrame, sid: str = "sid") -> DataFram
             .drop("p_name", "p_display", "p_kind"))
 
 
-def exception_folders(folders: DataFrame, shares: DataFrame, acls: DataFrame, limit: int | None = 500) -> DataFrame:
+def exception_folders(folders: DataFrame, shares: DataFrame, acls: DataFrame, limit: int | None = None) -> DataFrame:
     """Folders with explicit, protected, missing or unreadable permissions."""
     flags = acls.select("acl_id", "has_explicit", "is_protected", "is_null_dacl", "aces")
     flagged = folders.join(flags, "acl_id", "left").filter(
@@ -180,7 +180,7 @@ def exception_folders(folders: DataFrame, shares: DataFrame, acls: DataFrame, li
 
 
 def acl_exceptions(folders: DataFrame, shares: DataFrame, acls: DataFrame, principals: DataFrame,
-                   limit: int | None = 500) -> DataFrame:
+                   limit: int | None = None) -> DataFrame:
     """One row per exception and entry that applies to the folder itself (or one empty entry)."""
     rows = exception_folders(folders, shares, acls, limit).withColumn(
         "aces", F.filter("aces", lambda a: ~A.has(a["flags"], INHERIT_ONLY)))
@@ -195,8 +195,8 @@ def acl_exceptions(folders: DataFrame, shares: DataFrame, acls: DataFrame, princ
 
 
 def grid_columns(folders: DataFrame, shares: DataFrame, acls: DataFrame, max_depth: int = 2,
-                 max_columns: int = 60) -> DataFrame:
-    """Share roots and folders near them with permissions of their own, at most `max_columns`."""
+                 max_columns: int | None = None) -> DataFrame:
+    """Share roots and folders near them with permissions of their own, all or the first `max_columns`."""
     flags = acls.select("acl_id", "has_explicit", "is_protected", "aces")
     near = folders.join(flags, "acl_id").filter(
         (F.col("path") == "")
@@ -210,15 +210,16 @@ def grid_columns(folders: DataFrame, shares: DataFrame, acls: DataFrame, max_dep
 
 
 def permission_grid(folders: DataFrame, shares: DataFrame, acls: DataFrame, principals: DataFrame,
-                    members: DataFrame, max_depth: int = 2, max_columns: int = 60) -> DataFrame:
+                    members: DataFrame, max_depth: int = 2, max_columns: int | None = None) -> DataFrame:
     """Effective access of every account that matters, in long form (one row per account and column).
 
-    Columns are at most `max_columns`, so the rows are linear in accounts. Masks are evaluated per
+    All columns, or a page of the first `max_columns`. Masks are evaluated per
     distinct ACL, and only where an entry names the account or one of its groups; the rest falls
     back to what every account gets.
     """
-    # At most `max_columns` rows, read by every branch below: computed once.
+    # Read by every branch below: computed once.
     columns = materialize(grid_columns(folders, shares, acls, max_depth, max_columns))
+    width = max(1, columns.count())
     used = columns.select("acl_id", "aces").dropDuplicates(["acl_id"])
     direct = used.select(F.explode("aces.sid").alias("sid")).distinct()
     kinds = direct.join(principals.select("sid", "kind"), "sid", "left")
@@ -239,9 +240,9 @@ def permission_grid(folders: DataFrame, shares: DataFrame, acls: DataFrame, prin
     special = masks.filter(F.col("user_sid").isNotNull())
 
     slots = columns.select("folder_id", "acl_id", "path").join(fallback, "acl_id")
-    # Number the (at most max_columns) columns, so accounts meet them by an equi-join on the number.
+    # Number the columns, so accounts meet them by an equi-join on the number.
     numbered = slots.withColumn("slot", F.row_number().over(Window.orderBy("folder_id")))
-    cells = users.select("user_sid", F.explode(F.sequence(F.lit(1), F.lit(max_columns))).alias("slot"))
+    cells = users.select("user_sid", F.explode(F.sequence(F.lit(1), F.lit(width))).alias("slot"))
     user_cells = (cells.join(numbered, "slot").join(special, ["user_sid", "acl_id"], "left")
                   .select(F.lit(1).alias("section"), F.col("user_sid").alias("sid"), "folder_id", "path",
                           F.coalesce("mask", "generic_mask").alias("mask")))
@@ -251,7 +252,7 @@ def permission_grid(folders: DataFrame, shares: DataFrame, acls: DataFrame, prin
         F.lit(0).alias("section"), F.lit(None).cast("string").alias("sid"), "folder_id", "path",
         A.effective_mask(F.col("aces"), F.concat(A.sid_array(A.baseline()), domain_groups)).alias("mask"))
 
-    alone = unknown.select("sid", F.explode(F.sequence(F.lit(1), F.lit(max_columns))).alias("slot"))
+    alone = unknown.select("sid", F.explode(F.sequence(F.lit(1), F.lit(width))).alias("slot"))
     with_aces = numbered.join(used.select("acl_id", "aces"), "acl_id")
     unknown_cells = alone.join(with_aces, "slot").select(
         F.lit(2).alias("section"), "sid", "folder_id", "path",
@@ -281,6 +282,6 @@ def grid_wide(grid: DataFrame, paths: list[str]) -> DataFrame:
             .pivot("path", paths).agg(F.first("level")))
 
 
-def scan_history(scan_runs: DataFrame, share_id: int | None = None, limit: int = 50) -> DataFrame:
+def scan_history(scan_runs: DataFrame, share_id: int | None = None, limit: int | None = None) -> DataFrame:
     rows = scan_runs if share_id is None else scan_runs.filter(F.col("share_id") == share_id)
     return page(rows, [F.desc("run_id")], limit)

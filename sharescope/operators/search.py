@@ -27,10 +27,9 @@ from .reports import page
 
 _FOLD_MAP = str.maketrans(FOLD_FROM, FOLD_TO)
 _EXCLUDED = rf'(?:\A|[{SPACE}])-(?:"([^"]*)"?|([^{SPACE}"]+))'
+_EXCLUDED_TEXT = r'\s-(?:"([^"]*)"?|([^\s"]+))'
 # More written words than this behind one query are joined instead of listed.
 EXPANSION_CAP = 2_000
-# Units one query may have (itself and its exclusions); a typed query is at most 500 characters.
-UNITS = 1_000
 RESULT = ["file_id", "name", "extension", "size", "mtime", "share_id", "share", "folder_id", "folder_path", "path"]
 
 
@@ -50,25 +49,29 @@ class Query:
     clauses: tuple[tuple[tuple[str, ...], ...], ...]
 
 
+def _bare(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text)
+
+
 def parse(typed: str) -> Query:
     """Terms, "phrases", alternatives (or) and exclusions (-word, -"a phrase") of one typed query."""
-    folded = fold_text(typed)
-    # A blank in front keeps one rule for exclusions at the start and after a blank.
-    pattern = r'(?<=\s)-(?:"([^"]*)"?|([^\s"]+))'
-    padded = " " + folded
-    excluded = [re.sub(r"[\W_]+", " ", a or b).strip() for a, b in re.findall(pattern, padded)]
-    left = re.sub(pattern, " ", padded)
-    left = re.sub(r"\s+", " ", re.sub(r'[^\w\s"]|_', " ", left)).strip()
+    # Splitting at exclusions gives what is between them, and what each holds in quotes or as one word.
+    pieces = re.split(_EXCLUDED_TEXT, " " + fold_text(typed))
+    excluded = [" ".join(_bare(quoted or word)) for quoted, word in zip(pieces[1::3], pieces[2::3])]
+    # Quotes alternate: what stands before an odd number of them is words, the rest phrases.
     clauses: list[list[tuple[str, ...]]] = [[]]
-    for quoted, word in re.findall(r'"([^"]*)(?:"|\Z)|(\w+)', left):
-        if word == "or":
-            clauses.append([])
-        elif word:
-            clauses[-1].append((word,))
-        elif quoted.split():
-            clauses[-1].append(tuple(quoted.split()))
-    return Query(left, tuple(t for t in re.findall(r"\w+", left) if t != "or"), tuple(e for e in excluded if e),
-                 tuple(tuple(c) for c in clauses if c))
+    sides = [_bare(side) for side in " ".join(pieces[::3]).split('"')]
+    for number, side in enumerate(sides):
+        if number % 2:
+            clauses[-1] += [tuple(side)] if side else []
+            continue
+        for word in side:
+            if word == "or":
+                clauses.append([])
+            else:
+                clauses[-1].append((word,))
+    text = " ".join(re.sub(r'[^\w\s"]|_', " ", " ".join(pieces[::3])).split())
+    return Query(text, tuple(w for side in sides for w in side if w != "or"), tuple(filter(None, excluded)), tuple(tuple(c) for c in clauses if c))
 
 
 def parse_column(typed: Column) -> dict[str, Column]:
@@ -170,7 +173,7 @@ def _query_lexemes(query: Query, stemmed: bool) -> tuple[list[tuple], dict]:
     return rows, sizes
 
 
-_ASKED = ["unit", "config", "clause", "item", "offset", "lexeme", "word_count", "items"]
+_ASKED = ["query_no", "unit", "config", "clause", "item", "offset", "lexeme", "word_count", "items"]
 
 
 def _fields(config: str) -> str:
@@ -185,9 +188,9 @@ def expand_words(library: Library, rows: list[tuple], stemmed: bool, cap: int =
     """
     names = [*_ASKED, "word", "fields"]
     if not stemmed:
-        expanded = [(*r, r[5], "ABC") for r in rows]
-        return constant_table(library.postings, expanded, names), sorted({r[5] for r in rows})
-    readings = library.dictionary.filter(F.col("lexeme").isin(sorted({r[5] for r in rows}))).select("lexeme", "config", "word")
+        expanded = [(*r, r[6], "ABC") for r in rows]
+        return constant_table(library.postings, expanded, names), sorted({r[6] for r in rows})
+    readings = library.dictionary.filter(F.col("lexeme").isin(sorted({r[6] for r in rows}))).select("lexeme", "config", "word")
     found = readings.limit(cap + 1).collect()
     if len(found) > cap:
         fields = F.lit("")
@@ -199,41 +202,48 @@ def expand_words(library: Library, rows: list[tuple], stemmed: bool, cap: int =
     spelled: dict[str, dict[str, set]] = {}
     for lexeme_, config, word in found:
         spelled.setdefault(lexeme_, {}).setdefault(word, set()).update(_fields(config))
-    expanded = [(*r, word, "".join(sorted(fields))) for r in rows for word, fields in spelled.get(r[5], {}).items()]
+    expanded = [(*r, word, "".join(sorted(fields))) for r in rows for word, fields in spelled.get(r[6], {}).items()]
     words_ = sorted({r[-2] for r in expanded})
     return constant_table(library.postings, expanded or [(*rows[0], "", "")], names), words_
 
 
 def posting_hits(library: Library, queries: list[Query], stemmed: bool = True) -> DataFrame:
     """Every posting some word of the queries reads, once per place:
-    (unit, config, clause, item, offset, word_count, items, file_id, field, pos).
+    (query_no, unit, config, clause, item, offset, word_count, items, file_id, field, pos).
 
-    A unit is a query itself or one of its exclusions; query n has the units from n * UNITS on.
+    Unit 0 of a query is itself, the others are its exclusions.
     """
     wanted = []
     for number, query in enumerate(queries):
         rows, sizes = _query_lexemes(query, stemmed)
-        wanted += [(number * UNITS + r[0], *r[1:], sizes[(r[0], r[1], r[2])]) for r in rows]
-    expanded, spelled = expand_words(library, wanted or [(-1, "", 0, 0, 0, "", 0, 0)], stemmed)
+        wanted += [(number, *r, sizes[(r[0], r[1], r[2])]) for r in rows]
+    expanded, spelled = expand_words(library, wanted or [(-1, 0, "", 0, 0, 0, "", 0, 0)], stemmed)
     postings = library.postings
     if spelled is not None:
         # Constants: folders of other buckets are not listed, row groups of other words not read.
         buckets = [F.pmod(F.xxhash64(F.lit(w)), F.lit(library.buckets)).cast("int") for w in spelled]
         postings = postings.filter(F.col("word").isin(spelled)).filter(F.col("bucket").isin(buckets))
-    hits = postings.join(expanded, "word").filter(F.contains("fields", F.col("field")))
-    return hits.select("unit", "config", "clause", "item", "offset", "word_count", "items", "file_id", "field", "pos")
+        hits = postings.join(expanded, "word")
+    else:
+        # So many that they stay a join: on the bucket too, so that folders of other buckets are pruned as it runs.
+        bucket = F.pmod(F.xxhash64("word"), F.lit(library.buckets)).cast("int")
+        hits = postings.join(expanded.withColumn("bucket", bucket), ["bucket", "word"])
+    hits = hits.filter(F.contains("fields", F.col("field")))
+    return hits.select("query_no", "unit", "config", "clause", "item", "offset", "word_count", "items", "file_id", "field", "pos")
 
 
 def match_postings(library: Library, queries: list[Query], stemmed: bool = True) -> DataFrame:
     """(query_no, file_id, matched, in_title, score, excluded) for files some word of a query occurs in.
 
     Everything is grouped within a file, so the hits are shuffled once, by file: phrases into runs
-    of adjacent words, words and runs into clauses, clauses into files.
+    of adjacent words, words and runs into clauses, clauses into files. Only what a query asks for
+    is weighed: whole runs, in clauses all of whose items were found, and of several readings of a
+    clause the one that weighs most, so that one place isn't counted once a language.
     """
     weight = F.lit(0.0)
     for name, value in WEIGHTS.items():
         weight = F.when(F.col("field") == name, value).otherwise(weight)
-    clause = ["file_id", "unit", "config", "clause", "items"]
+    clause = ["file_id", "query_no", "unit", "config", "clause", "items"]
     hits = posting_hits(library, queries, stemmed).repartition("file_id")
     present = hits.withColumn("weight", weight).withColumn("whole", F.lit(True))
     if any(len(item) > 1 for q in queries for c in q.clauses for item in c) or any(" " in e for q in queries for e in q.excluded):
@@ -249,11 +259,13 @@ def match_postings(library: Library, queries: list[Query], stemmed: bool = True)
         seen = lambda cond: F.count_distinct(F.when(cond, F.col("item")))
     clauses = present.groupBy(*clause).agg(
         (seen(F.col("whole")) == F.col("items")).alias("found"),
-        (seen(F.col("whole") & titled) == F.col("items")).alias("titled"), F.sum("weight").alias("weight"))
-    asked = F.col("unit") % UNITS == 0
-    return clauses.groupBy("file_id", F.floor(F.col("unit") / UNITS).cast("int").alias("query_no")).agg(
+        (seen(F.col("whole") & titled) == F.col("items")).alias("titled"), F.sum(F.when(F.col("whole"), F.col("weight")).otherwise(0.0)).alias("weight"))
+    readings = clauses.groupBy("file_id", "query_no", "unit", "clause").agg(
+        F.bool_or("found").alias("found"), F.bool_or("titled").alias("titled"), F.max(F.when(F.col("found"), F.col("weight"))).alias("weight"))
+    asked = F.col("unit") == 0
+    return readings.groupBy("file_id", "query_no").agg(
         F.bool_or(asked & F.col("found")).alias("matched"), F.bool_or(asked & F.col("titled")).alias("in_title"),
-        F.round(F.sum(F.when(asked, F.col("weight")).otherwise(0.0)), 6).alias("score"),
+        F.round(F.sum(F.when(asked & F.col("found"), F.col("weight")).otherwise(0.0)), 6).alias("score"),
         F.bool_or(~asked & F.col("found")).alias("excluded"))
 
 
@@ -296,12 +308,12 @@ def ordering(params: SearchParams, has_terms: bool) -> list[Column]:
     return [F.desc("score"), *newest()]
 
 
-def search(library: Library, token, params: SearchParams, mode: str = "substring", stemmed: bool = True) -> DataFrame:
-    """One page of results, without snippets."""
+def search(library: Library, token, params: SearchParams, mode: str = "substring", stemmed: bool = True, pool: int | None = None) -> DataFrame:
+    """One page of results, without snippets. All matches are ranked, unless `pool` asks for the likeliest only."""
     query = parse(params.q)
     found = matches(library, token, params, mode, stemmed)
-    if mode == "postings" and params.sort == "relevance" and query.terms:
-        found = rank_candidates(found)
+    if pool and mode == "postings" and params.sort == "relevance" and query.terms:
+        found = rank_candidates(found, pool)
     ordered = page(found, ordering(params, bool(query.terms)), params.limit, params.offset)
     return ordered.select(*RESULT[:-1], P.display_path(F.col("share_path"), F.col("folder_path"), F.col("name")).alias("path"),
                           "score")
@@ -331,15 +343,11 @@ def search_many(library: Library, token, asked: dict[str, SearchParams], stemmed
         & (unset("w_from") | (F.col("mtime") >= day("w_from")))
         & (unset("w_to") | (F.col("mtime") < day("w_to") + F.expr("INTERVAL '1' DAY"))))
     relevance = F.col("w_sort") == "relevance"
-    near = top_per_group(found.filter(relevance), ["query_no", "in_title"], newest(), COUNT_CAP).drop("rank")
-    overall = F.row_number().over(Window.partitionBy("query_no").orderBy(*newest()))  # at most 2 x COUNT_CAP rows
-    near = near.withColumn("rank", overall).filter(F.col("in_title") | (F.col("rank") <= COUNT_CAP)).drop("rank")
-    pool = near.unionByName(found.filter(~relevance))
     by_score = F.when(relevance, F.col("score")).otherwise(0.0)
     by_name = F.when(F.col("w_sort") == "name", F.lower("name")).otherwise("")
     by_time = F.when(F.col("w_sort") != "name", F.col("mtime"))
     last = max(p.offset + p.limit for p in params)
-    ranked = top_per_group(pool, ["query_no"], [by_score.desc(), by_name.asc(), by_time.desc_nulls_last(), F.asc("file_id")], last)
+    ranked = top_per_group(found, ["query_no"], [by_score.desc(), by_name.asc(), by_time.desc_nulls_last(), F.asc("file_id")], last)
     shown = ranked.filter((F.col("rank") > F.col("w_offset")) & (F.col("rank") <= F.col("w_offset") + F.col("w_limit")))
     return shown.select("query", (F.col("rank") - F.col("w_offset")).alias("position"), *RESULT[:-1],
                         P.display_path(F.col("share_path"), F.col("folder_path"), F.col("name")).alias("path"), "score")

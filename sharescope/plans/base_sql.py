@@ -117,7 +117,8 @@ TABLES: dict[str, str] = {
     "est_docs": """SELECT file_id, content, CASE WHEN file_id % 13 = 0 THEN 'error' WHEN file_id % 17 = 0 THEN 'pending'
         WHEN file_id % 19 = 0 THEN 'extracting' WHEN file_id % 23 = 0 THEN 'ocr_unavailable'
         WHEN file_id % 8 IN (5, 6, 7) THEN 'metadata' ELSE 'text' END AS status,
-        CASE WHEN file_id % 13 = 0 THEN 'cannot read' END AS error FROM est_files WHERE file_id % 3 <> 2""",
+        CASE WHEN file_id % 13 = 0 THEN 'cannot read' END AS error FROM est_files""",
+    "est_some_docs": "SELECT * FROM est_docs WHERE file_id % 3 <> 2",
     "est_plan": f"""SELECT share_id, path, lower(path) AS path_key, allow_files, allow_subfolders, naming_pattern,
         CASE WHEN ext = '' THEN [] ELSE string_split(ext, ',') END AS extensions, max_files::INT AS max_files, purpose,
         CASE WHEN ex = '' THEN [] ELSE string_split(ex, ',') END AS examples,
@@ -146,9 +147,9 @@ TABLES: dict[str, str] = {
         UNION ALL SELECT share_id, {parent('path')}, name, true, 0, NULL, false FROM est_folders WHERE path <> '' AND NOT (share_id % 5 = 0 AND path LIKE '%/d3%')
         UNION ALL SELECT share_id, '', n, true, 0, NULL, n = 'enlace' FROM est_shares, (VALUES ('Nueva'), ('enlace')) v(n)
         UNION ALL SELECT share_id, '', 'THUMBS.DB', false, 10, NULL, false FROM est_shares""",
-    "est_runs": """SELECT o_orderkey AS run_id, CAST(o_custkey % 25 AS INT) AS share_id,
+    "est_runs": """SELECT o_orderkey AS run_id, CAST(o_custkey % 20 AS INT) AS share_id,
         CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'partial' ELSE 'failed' END AS status, o_orderdate AS finished_at
-        FROM orders WHERE CAST(o_custkey % 25 AS INT) IN (SELECT share_id FROM est_shares)""",
+        FROM orders WHERE CAST(o_custkey % 20 AS INT) IN (SELECT share_id FROM est_shares)""",
     # What the token of the checks may list and open.
     "listable": f"SELECT acl_id FROM ({masks('est_acl_entries', 'acl_id', 'sid IN ' + sids(TOKEN))}) WHERE mask & 1 = 1",
     "opening": f"SELECT acl_id FROM (" + masks("est_acl_entries", "acl_id", "sid IN " + sids(TOKEN),

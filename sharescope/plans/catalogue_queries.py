@@ -176,17 +176,17 @@ def interrupted(e: Estate) -> DataFrame:
     return I.fail_interrupted(e.documents).select("file_id", "status", F.col("error").isNotNull().alias("has_error"))
 
 
-@query("I13", "SELECT status, count(*) AS n FROM est_docs GROUP BY 1 UNION ALL SELECT 'not_indexed', (SELECT count(*) FROM est_files) - (SELECT count(*) FROM est_docs)")
+@query("I13", "SELECT status, count(*) AS n FROM est_some_docs GROUP BY 1 UNION ALL SELECT 'not_indexed', (SELECT count(*) FROM est_files) - (SELECT count(*) FROM est_some_docs)")
 def index_states(e: Estate) -> DataFrame:
-    return I.status_counts(e.documents, e.files)
+    return I.status_counts(e.some_documents, e.files)
 
 
-@query("I14", f"""SELECT (SELECT count(*) FROM est_files) - (SELECT count(*) FROM est_docs) AS added, count(*) FILTER (status = 'text') AS extracted, 0::BIGINT AS ocr,
-    count(*) FILTER (status = 'empty') AS "empty", count(*) FILTER (status = 'error') AS failed, (SELECT count(*) FROM est_docs WHERE status = 'extracting') AS interrupted,
-    (SELECT count(*) FROM est_docs d JOIN est_files f USING (file_id) JOIN est_shares s USING (share_id) WHERE d.status = 'pending' AND s.enabled) AS pending FROM ({_OUT})""")
+@query("I14", f"""SELECT (SELECT count(*) FROM est_files) - (SELECT count(*) FROM est_some_docs) AS added, count(*) FILTER (status = 'text') AS extracted, 0::BIGINT AS ocr,
+    count(*) FILTER (status = 'empty') AS "empty", count(*) FILTER (status = 'error') AS failed, (SELECT count(*) FROM est_some_docs WHERE status = 'extracting') AS interrupted,
+    (SELECT count(*) FROM est_some_docs d JOIN est_files f USING (file_id) JOIN est_shares s USING (share_id) WHERE d.status = 'pending' AND s.enabled) AS pending FROM ({_OUT})""")
 def round_statistics(e: Estate) -> DataFrame:
-    new = I.add_missing(e.files, e.documents)
-    return I.round_statistics(e.documents, I.extraction_outcome(attempts(e), 4000), new, e.documents, e.files, e.shares)
+    new = I.add_missing(e.files, e.some_documents)
+    return I.round_statistics(e.some_documents, I.extraction_outcome(attempts(e), 4000), new, e.some_documents, e.files, e.shares)
 
 
 _POST = f"""SELECT file_id, 'A' AS field, unnest({S.word_list('name')}) AS word, unnest(range(0, len({S.word_list('name')}))) AS pos FROM est_files WHERE file_id IN (SELECT file_id FROM est_docs)

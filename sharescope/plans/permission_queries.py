@@ -218,7 +218,7 @@ _LISTED = rf"""SELECT d.folder_id, s.path AS share_path, d.path AS folder_path,
     coalesce(a.is_protected, false) AS inheritance_disabled, d.acl_id, coalesce(d.acl_error, CASE WHEN a.acl_id IS NULL THEN 'No ACL recorded' END) AS acl_error
     FROM est_folders d JOIN est_shares s USING (share_id) LEFT JOIN est_acls a ON a.acl_id = d.acl_id
     WHERE coalesce(a.has_explicit, false) OR coalesce(a.is_protected, false) OR d.acl_error IS NOT NULL OR (d.acl_id IS NULL AND d.path = '')
-    ORDER BY s.path, d.path LIMIT 500"""
+    ORDER BY s.path, d.path"""
 
 
 @query("G9 G12 G13", f"""SELECT x.folder_id, x.path, x.is_share_root, x.inheritance_disabled, x.acl_error, e.position, e.sid, e.ace_type AS type,
@@ -255,7 +255,7 @@ _GRID = f"""WITH cols AS ({_COLS}), ent AS (SELECT * FROM est_acl_entries WHERE
 
 
 def grid(e: Estate) -> DataFrame:
-    return R.permission_grid(e.folders, e.shares, e.acls, e.principals, e.members)
+    return R.permission_grid(e.folders, e.shares, e.acls, e.principals, e.members, max_columns=60)  # a page of columns
 
 
 @query("G10 A17 J11", _GRID)

@@ -48,7 +48,7 @@ def files_by_age(e: Estate) -> DataFrame:
 
 @query("G4", rf"""SELECT {S.show('s.path', 'f.fpath')} AS folder, count(*) AS stale_files, CAST(sum(f.size) AS BIGINT) AS stale_bytes,
     CAST(max(f.mtime) AS VARCHAR) AS newest_stale FROM est_files f JOIN est_shares s USING (share_id)
-    WHERE f.mtime < TIMESTAMP '2024-01-01' - INTERVAL 1825 DAY GROUP BY 1 ORDER BY stale_bytes DESC, folder LIMIT 100""")
+    WHERE f.mtime < TIMESTAMP '2024-01-01' - INTERVAL 1825 DAY GROUP BY 1 ORDER BY stale_bytes DESC, folder""")
 def stale_folders(e: Estate) -> DataFrame:
     return R.stale_folders(e.files, e.folders, e.shares, AS_OF).withColumn("newest_stale", F.col("newest_stale").cast("string"))
 
@@ -57,9 +57,9 @@ _LONG = rf"""SELECT {S.show('s.path', 'f.fpath', 'f.name')} AS path, length(s.pa
     FROM est_files f JOIN est_shares s USING (share_id)"""
 
 
-@query("G5", f"SELECT * FROM ({_LONG}) WHERE length > 60 ORDER BY length DESC, path LIMIT 200")
+@query("G5", f"SELECT * FROM ({_LONG}) WHERE length > 60")
 def long_paths(e: Estate) -> DataFrame:
-    return R.long_paths(e.files, e.folders, e.shares, 200, longer_than=60)
+    return R.long_paths(e.files, e.folders, e.shares, longer_than=60)
 
 
 _DEEP = f"SELECT {S.show('s.path', 'd.path')} AS path, d.depth FROM est_folders d JOIN est_shares s USING (share_id) WHERE d.depth > 8"
@@ -69,7 +69,7 @@ _EMPTY = f"""SELECT {S.show('s.path', 'd.path')} AS path FROM est_folders d JOIN
 _UNLISTED = f"SELECT {S.show('s.path', 'd.path')} AS path, d.list_error AS error FROM est_folders d JOIN est_shares s USING (share_id) WHERE d.list_error IS NOT NULL"
 
 
-@query("G6 S10", f"SELECT * FROM ({_DEEP}) ORDER BY depth DESC, path LIMIT 200")
+@query("G6 S10", f"SELECT * FROM ({_DEEP})")
 def deep_folders(e: Estate) -> DataFrame:
     return R.deep_folders(e.folders, e.shares)
 
@@ -92,14 +92,14 @@ def hygiene_counts(e: Estate) -> DataFrame:
 
 
 @query("G13", f"""SELECT 'long path' AS issue, path, CAST(length AS VARCHAR) AS detail FROM ({_LONG}) WHERE length > 240
-    UNION ALL SELECT * FROM (SELECT 'deep folder', path, CAST(depth AS VARCHAR) FROM ({_DEEP}) ORDER BY depth DESC, path LIMIT 50)
-    UNION ALL SELECT * FROM (SELECT 'empty folder', path, '' FROM ({_EMPTY}) ORDER BY path LIMIT 50)
-    UNION ALL SELECT * FROM (SELECT 'could not list', path, error FROM ({_UNLISTED}) ORDER BY path LIMIT 50)""")
+    UNION ALL SELECT * FROM (SELECT 'deep folder', path, CAST(depth AS VARCHAR) FROM ({_DEEP}) )
+    UNION ALL SELECT * FROM (SELECT 'empty folder', path, '' FROM ({_EMPTY}) )
+    UNION ALL SELECT * FROM (SELECT 'could not list', path, error FROM ({_UNLISTED}) )""")
 def hygiene_export(e: Estate) -> DataFrame:
-    return R.hygiene_rows(e.files, e.folders, e.shares, 50)
+    return R.hygiene_rows(e.files, e.folders, e.shares)
 
 
-@query("G14 S10", "SELECT run_id, share_id, status, CAST(finished_at AS VARCHAR) AS finished_at FROM est_runs ORDER BY run_id DESC LIMIT 50")
+@query("G14 S10", "SELECT run_id, share_id, status, CAST(finished_at AS VARCHAR) AS finished_at FROM est_runs")
 def scan_history(e: Estate) -> DataFrame:
     return R.scan_history(e.scan_runs).select("run_id", "share_id", "status", *text("finished_at"))
 
@@ -189,7 +189,7 @@ def nearest_planned_folder(e: Estate) -> DataFrame:
 
 
 @query("J3 I5", f"""SELECT file_id, CASE WHEN extension IN ('dwg', 'zip', '') THEN 'metadata' ELSE 'pending' END AS status
-    FROM est_files WHERE file_id NOT IN (SELECT file_id FROM est_docs)""")
+    FROM est_files WHERE file_id NOT IN (SELECT file_id FROM est_some_docs)""")
 def files_without_index(e: Estate) -> DataFrame:
     from ..operators import indexing as I
-    return I.add_missing(e.files, e.documents)
+    return I.add_missing(e.files, e.some_documents)

@@ -143,6 +143,30 @@ def search_ranked(e: Estate) -> DataFrame:
     return page.select("file_id", "name", "share", "folder_path", "path", "size", F.col("mtime").cast("string").alias("mtime"), "score")
 
 
+def _runs(phrase: str, weigh: float = 1.0) -> str:
+    """Weight of the whole runs of a phrase."""
+    typed = phrase.split()
+    same = lambda f: " AND ".join(f"w.{f}[i + {n}] = '{t}'" for n, t in enumerate(typed))
+    per = [f"{weight * len(typed)} * len(list_filter(range(1, len(w.{f}) + 1), lambda i: coalesce({same(f)}, false)))" for f, weight in (("a", 1.0), ("b", 0.4), ("c", 0.2))]
+    return "(" + " + ".join(per) + ")"
+
+
+@query("Q4 Q9", f"SELECT file_id, round({_runs('of the')} + {_runs('and')}, 6)::DOUBLE AS score FROM ({_words(_run('of the') + ' AND ' + _run('and'), 'found.*, w.*')}) w")
+def phrase_scores(e: Estate) -> DataFrame:
+    """Words of a phrase that stray elsewhere weigh nothing."""
+    return Q.matches(library(e, False), S.TOKEN, Q.SearchParams('"of the" and'), "postings", False).select("file_id", "score")
+
+
+_BOTH = f"({_run('que')} AND {_run('nota')})"
+
+
+@query("Q5 Q9", f"""SELECT file_id, round(CASE WHEN {_run('of the')} THEN {_runs('of the')} ELSE 0 END + CASE WHEN {_BOTH} THEN {_runs('que')} + {_runs('nota')} ELSE 0 END, 6)::DOUBLE AS score
+    FROM ({_words(_run('of the') + ' OR ' + _BOTH, 'found.*, w.*')}) w""")
+def alternative_scores(e: Estate) -> DataFrame:
+    """Only alternatives that were found weigh."""
+    return Q.matches(library(e, False), S.TOKEN, Q.SearchParams('"of the" or que nota'), "postings", False).select("file_id", "score")
+
+
 _MATCHED = _words(_run('en'), f"found.*, {_run('en', 'ab')} AS in_title")
 
 

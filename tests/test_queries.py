@@ -11,7 +11,7 @@ from sharescope.plans.registry import load
 FOLDER = Path(os.environ.get("SHARESCOPE_TESTDATA", "/root/testdata/sf0.001"))
 QUICK = ["fold_text", "name_parts", "naming_patterns", "share_summary", "empty_folders", "duplicate_groups", "decode_descriptors", "visible_files",
          "many_tokens", "file_changes", "search_substring", "search_phrase", "breadcrumbs", "compliance_totals", "missing_folders", "transitive_members",
-         "sign_in_throttle", "office_text"]
+         "sign_in_throttle", "office_text", "catalogue_replaced", "snapshots_stored", "audit_purged", "phrase_scores", "decode_bytes"]
 REGISTERED = load()
 CHOSEN = sorted(REGISTERED) if os.environ.get("SHARESCOPE_ALL_QUERIES") else QUICK
 

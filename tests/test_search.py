@@ -74,11 +74,11 @@ def test_names_rank_above_contents(spark, library):
 
 def test_many_written_words_fall_back_to_a_join(library):
     rows, sizes = Q._query_lexemes(Q.parse("contrato presupuestos"), True)
-    wanted = [(*r, sizes[(r[0], r[1], r[2])]) for r in rows]
+    wanted = [(0, *r, sizes[(r[0], r[1], r[2])]) for r in rows]
     few, words = Q.expand_words(library, wanted, True)
     many, none = Q.expand_words(library, wanted, True, cap=0)
     assert words and none is None
-    shape = lambda df: sorted((*r[:8], r.word, "".join(sorted(set(r.fields)))) for r in df.collect())
+    shape = lambda df: sorted((*r[:9], r.word, "".join(sorted(set(r.fields)))) for r in df.collect())
     assert shape(few) == shape(many)
 
 
