@@ -276,7 +276,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
         some = known.filter(F.col("toxic") == label).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= sample_bytes)
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(4 * sample).collect()
+    # One text for each id, so that rows which repeat an id neither crowd out others nor make the sample larger.
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "toxic").collect()
     taken: dict[int, list[str]] = {0: [], 1: []}
     for r in rows:
         if len(taken[r["toxic"]]) < sample:
