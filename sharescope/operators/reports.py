@@ -235,38 +235,34 @@ def permission_grid(folders: DataFrame, shares: DataFrame, acls: DataFrame, prin
                 .unionByName(users.select("user_sid", F.col("user_sid").alias("sid")))
                 .unionByName(users.select("user_sid", A.domain_users_sid(F.col("user_sid")).alias("sid")).dropna())
                 .distinct())
-    masks = evaluate_tokens(personal, used)
+    masks = materialize(evaluate_tokens(personal, used))
     fallback = masks.filter(F.col("user_sid").isNull()).select("acl_id", F.col("mask").alias("generic_mask"))
     special = masks.filter(F.col("user_sid").isNotNull())
 
     slots = columns.select("folder_id", "acl_id", "path").join(fallback, "acl_id")
     # Number the columns, so accounts meet them by an equi-join on the number.
     numbered = slots.withColumn("slot", F.row_number().over(Window.orderBy("folder_id")))
-    cells = users.select("user_sid", F.explode(F.sequence(F.lit(1), F.lit(width))).alias("slot"))
-    user_cells = (cells.join(numbered, "slot").join(special, ["user_sid", "acl_id"], "left")
-                  .select(F.lit(1).alias("section"), F.col("user_sid").alias("sid"), "folder_id", "path",
-                          F.coalesce("mask", "generic_mask").alias("mask")))
+    # Accounts get their names before they are multiplied by the columns.
+    rows = materialize(describe(users.select(F.lit(1).alias("section"), F.col("user_sid").alias("sid"))
+                                .unionByName(unknown.select(F.lit(2).alias("section"), "sid")), principals))
+    account = ["section", "sid", "name", "display_name", "kind"]
+    cells = rows.select(*account, F.explode(F.sequence(F.lit(1), F.lit(width))).alias("slot"))
+    user_cells = (cells.filter("section = 1").join(numbered, "slot")
+                  .join(special.withColumnRenamed("user_sid", "sid"), ["sid", "acl_id"], "left")
+                  .select(*account, "folder_id", "path", F.coalesce("mask", "generic_mask").alias("mask")))
 
     domain_groups = F.filter("aces.sid", lambda s: s.endswith("-513"))
     everyone = columns.select(
-        F.lit(0).alias("section"), F.lit(None).cast("string").alias("sid"), "folder_id", "path",
+        F.lit(0).alias("section"), F.lit(None).cast("string").alias("sid"), F.lit("All domain users").alias("name"),
+        F.lit("Everyone with a domain account").alias("display_name"), F.lit("everyone").alias("kind"), "folder_id", "path",
         A.effective_mask(F.col("aces"), F.concat(A.sid_array(A.baseline()), domain_groups)).alias("mask"))
 
-    alone = unknown.select("sid", F.explode(F.sequence(F.lit(1), F.lit(width))).alias("slot"))
     with_aces = numbered.join(used.select("acl_id", "aces"), "acl_id")
-    unknown_cells = alone.join(with_aces, "slot").select(
-        F.lit(2).alias("section"), "sid", "folder_id", "path",
-        A.effective_mask(F.col("aces"), F.array("sid")).alias("mask"))
-
-    cells = user_cells.unionByName(everyone).unionByName(unknown_cells)
-    named = describe(cells, principals)
-    whole = F.col("section") == 0
-    return named.select(
-        "section", "sid",
-        F.when(whole, "All domain users").otherwise(F.col("name")).alias("name"),
-        F.when(whole, "Everyone with a domain account").otherwise(F.col("display_name")).alias("display_name"),
-        F.when(whole, "everyone").otherwise(F.col("kind")).alias("kind"),
-        "folder_id", "path", A.access_level(F.col("mask")).alias("level"))
+    unknown_cells = cells.filter("section = 2").join(with_aces, "slot").select(
+        *account, "folder_id", "path", A.effective_mask(F.col("aces"), F.array("sid")).alias("mask"))
+
+    named = user_cells.unionByName(everyone).unionByName(unknown_cells)
+    return named.select(*account, "folder_id", "path", A.access_level(F.col("mask")).alias("level"))
 
 
 def grid_order() -> list[Column]:

@@ -263,6 +263,12 @@ def permission_grid(e: Estate) -> DataFrame:
     return grid(e)
 
 
+@query("G10 A17 J11", _GRID.replace(" LIMIT 60)", ")"))
+def permission_grid_whole(e: Estate) -> DataFrame:
+    """Every column; `permission_grid` is the first page of it."""
+    return R.permission_grid(e.folders, e.shares, e.acls, e.principals, e.members)
+
+
 @query("G11", f"SELECT DISTINCT section, sid, name, coalesce(display_name, name) AS shown FROM ({_GRID})")
 def grid_row_order(e: Estate) -> DataFrame:
     rows = grid(e).orderBy(*R.grid_order())
