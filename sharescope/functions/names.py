@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import (EXTENSION_LENGTH, EXTRACT_MAX_SIZE, EXTRACTABLE, IGNORED_NAMES, IGNORED_PREFIXES,
+from ..schema import (EXTENSION_LENGTH, EXTRACTABLE, IGNORED_NAMES, IGNORED_PREFIXES,
                       TYPE_GROUPS)
 from .text import fold, strip_space
 
@@ -49,10 +49,10 @@ def in_type(ext: Column, key: str | None) -> Column:
     return F.lit(True)
 
 
-def initial_status(ext: Column, size: Column, max_size: int = EXTRACT_MAX_SIZE) -> Column:
-    """Indexing state of a new or changed file."""
+def initial_status(ext: Column, size: Column, max_size: int | None = None) -> Column:
+    """Indexing state of a new or changed file; above `max_size`, if given, its text is left out."""
     return (F.when(~ext.isin(EXTRACTABLE), "metadata")
-            .when(size > max_size, "too_large")
+            .when(F.lit(False) if max_size is None else size > max_size, "too_large")
             .otherwise("pending"))
 
 

@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import EXCERPT_CHARS, EXTRACT_MAX_CHARS
+from ..schema import EXCERPT_CHARS
 
 
 def _fold_pairs() -> tuple[str, str]:
@@ -50,12 +50,13 @@ def strip_space(text: Column) -> Column:
     return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
-def clean_content(text: Column, max_chars: int = EXTRACT_MAX_CHARS) -> Column:
-    """Stored form of a text: no NUL, single blanks, at most one blank line, cut to `max_chars`."""
+def clean_content(text: Column, max_chars: int | None = None) -> Column:
+    """Stored form of a text: no NUL, single blanks, at most one blank line; whole, or cut to `max_chars`."""
     no_nul = F.translate(text, "\x00", "")
     single = F.regexp_replace(no_nul, r"[ \t\r\f\x0B]+", " ")
     lines = F.regexp_replace(single, rf"\n[{SPACE}]*\n+", "\n\n")
-    return F.substring(strip_space(lines), 1, max_chars)
+    whole = strip_space(lines)
+    return whole if max_chars is None else F.substring(whole, 1, max_chars)
 
 
 def excerpt(text: Column, chars: int = EXCERPT_CHARS) -> tuple[Column, Column]:

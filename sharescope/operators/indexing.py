@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions.stemming import stems
 from ..functions.text import clean_content, word_array
-from ..schema import EXTRACT_MAX_CHARS, EXTRACT_MAX_SIZE
 
 POSTING_BUCKETS = 256
 # Weight of a word by where it stands - name, path, content.
@@ -39,26 +38,31 @@ def pending(documents: DataFrame, files: DataFrame, shares: DataFrame) -> DataFr
     return files.join(enabled, "share_id", "left_semi").join(waiting, "file_id", "left_semi")
 
 
-def extraction_outcome(attempts: DataFrame, max_size: int = EXTRACT_MAX_SIZE,
-                       max_chars: int = EXTRACT_MAX_CHARS) -> DataFrame:
+def extraction_outcome(attempts: DataFrame, max_size: int | None = None,
+                       max_chars: int | None = None) -> DataFrame:
     """State after one reading attempt.
 
     `attempts`: (file_id, extension, size, acl_read, new_acl_id, acl_id, text, method, error). Without
-    readable permissions no text is stored and the last known ACL stays.
+    readable permissions no text is stored and the last known ACL stays. Whole texts of files of any size
+    are kept; what a caller leaves out shows as `too_large` above `max_size` and as `content_cut` beyond `max_chars`.
     """
-    text = clean_content(F.col("text"), max_chars)
+    whole = clean_content(F.col("text"))
+    text = whole if max_chars is None else F.substring(whole, 1, max_chars)
+    cut = F.lit(False) if max_chars is None else F.length(whole) > max_chars
+    small = F.lit(True) if max_size is None else F.col("size") <= max_size
     readable = F.col("extension").isin(N.EXTRACTABLE)
     status = (F.when(~readable, "metadata")
-              .when(F.col("size") > max_size, "too_large")
+              .when(~small, "too_large")
               .when(~F.col("acl_read"), "error")
               .when(F.col("error").isNotNull() & (F.col("method") == "ocr_unavailable"), "ocr_unavailable")
               .when(F.col("error").isNotNull() | F.col("text").isNull(), "error")
               .when(text == "", "empty")
               .otherwise(F.col("method")))
-    tried = readable & (F.col("size") <= max_size)
+    tried = readable & small
     return attempts.withColumn("status", status).select(
         "file_id", "status",
         F.when(F.col("status").isin("text", "ocr"), text).alias("content"),
+        F.when(F.col("status").isin("text", "ocr"), cut).alias("content_cut"),
         F.when(F.col("status").isin("error", "ocr_unavailable"), F.substring("error", 1, 500)).alias("error"),
         F.when(tried & F.col("acl_read"), F.col("new_acl_id")).otherwise(F.col("acl_id")).alias("acl_id"))
 

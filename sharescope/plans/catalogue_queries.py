@@ -166,6 +166,19 @@ def extraction_outcome(e: Estate) -> DataFrame:
     return I.extraction_outcome(attempts(e), 4000).select("file_id", "status", (F.length("content") > 0).alias("has_text"), "acl_id")
 
 
+_OUT_WHOLE = _OUT.replace(" WHEN size > 4000 THEN 'too_large'", "")
+_SP = r"\t-\r\x1c-\x20\x85\p{Z}"
+
+
+@query("I4 R6", rf"""SELECT file_id, status, length(clean) AS chars, md5(clean) AS digest, acl_id FROM (SELECT o.file_id, o.status,
+    CASE WHEN o.status = 'text' THEN regexp_replace(regexp_replace(regexp_replace(content, '[ \t\r\f\x0B]+', ' ', 'g'), '\n[{_SP}]*\n+', E'\n\n', 'g'), '^[{_SP}]+|[{_SP}]+$', '', 'g') END AS clean,
+    CASE WHEN o.status = 'metadata' OR o.file_id % 7 = 0 THEN f.acl_id ELSE 99 END AS acl_id FROM ({_OUT_WHOLE}) o JOIN est_files f USING (file_id))""")
+def extraction_whole(e: Estate) -> DataFrame:
+    """Whole texts of files of every size."""
+    return I.extraction_outcome(attempts(e)).select(
+        "file_id", "status", F.length("content").cast("long").alias("chars"), F.md5("content").alias("digest"), "acl_id")
+
+
 @query("I11", "SELECT file_id, CASE WHEN status IN ('error', 'ocr_unavailable') THEN 'pending' ELSE status END AS status FROM est_docs")
 def retry_failed(e: Estate) -> DataFrame:
     return I.retry_failed(e.documents).select("file_id", "status")
@@ -189,6 +202,15 @@ def round_statistics(e: Estate) -> DataFrame:
     return I.round_statistics(e.some_documents, I.extraction_outcome(attempts(e), 4000), new, e.some_documents, e.files, e.shares)
 
 
+@query("I14", f"""SELECT (SELECT count(*) FROM est_files) - (SELECT count(*) FROM est_some_docs) AS added, count(*) FILTER (status = 'text') AS extracted, 0::BIGINT AS ocr,
+    count(*) FILTER (status = 'empty') AS "empty", count(*) FILTER (status = 'error') AS failed, (SELECT count(*) FROM est_some_docs WHERE status = 'extracting') AS interrupted,
+    (SELECT count(*) FROM est_some_docs d JOIN est_files f USING (file_id) JOIN est_shares s USING (share_id) WHERE d.status = 'pending' AND s.enabled) AS pending FROM ({_OUT_WHOLE})""")
+def round_statistics_whole(e: Estate) -> DataFrame:
+    """Files of every size."""
+    new = I.add_missing(e.files, e.some_documents)
+    return I.round_statistics(e.some_documents, I.extraction_outcome(attempts(e)), new, e.some_documents, e.files, e.shares)
+
+
 _POST = f"""SELECT file_id, 'A' AS field, unnest({S.word_list('name')}) AS word, unnest(range(0, len({S.word_list('name')}))) AS pos FROM est_files WHERE file_id IN (SELECT file_id FROM est_docs)
     UNION ALL SELECT file_id, 'B', unnest({S.word_list("s.name || ' ' || fpath")}), unnest(range(0, len({S.word_list("s.name || ' ' || fpath")}))) FROM (SELECT f.*, s.name AS sn FROM est_files f JOIN est_shares s USING (share_id)) f JOIN est_shares s USING (share_id) WHERE file_id IN (SELECT file_id FROM est_docs)
     UNION ALL SELECT file_id, 'C', unnest({S.word_list('content')}), unnest(range(0, len({S.word_list('content')}))) FROM est_docs"""

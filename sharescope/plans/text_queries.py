@@ -10,7 +10,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import folderplan as L
-from ..schema import TYPE_GROUPS
+from ..schema import EXTRACT_MAX_CHARS, TYPE_GROUPS
 from ..sources.derived import AS_OF, Estate
 from . import base_sql as S
 from .registry import query
@@ -30,11 +30,23 @@ def word_split(e: Estate) -> DataFrame:
 _SP = r"\t-\r\x1c-\x20\x85\p{Z}"
 
 
+_LONG_SQL = r"repeat(html || E'\t\n \n\n', CASE WHEN page_id % 8 = 0 THEN CAST(250000 // length(html) + 2 AS INT) ELSE 2 END)"
+_LONG = r"repeat(concat(html, '\t\n \n\n'), CASE WHEN page_id % 8 = 0 THEN CAST(250000 div length(html) + 2 AS INT) ELSE 2 END)"
+
+
 @query("X3", rf"""SELECT page_id, substr(regexp_replace(regexp_replace(regexp_replace(html || E'\t\n \n\n' || html, '[ \t\r\f\x0B]+', ' ', 'g'),
     '\n[{_SP}]*\n+', E'\n\n', 'g'), '^[{_SP}]+|[{_SP}]+$', '', 'g'), 1, 200000) AS clean FROM pages""")
 def clean_content(e: Estate) -> DataFrame:
     raw = F.concat("html", F.lit("\t\n \n\n"), "html")
-    return e.table("pages").select("page_id", T.clean_content(raw).alias("clean"))
+    return e.table("pages").select("page_id", T.clean_content(raw, EXTRACT_MAX_CHARS).alias("clean"))
+
+
+@query("X3", rf"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_LONG_SQL}, '[ \t\r\f\x0B]+', ' ', 'g'),
+    '\n[{_SP}]*\n+', E'\n\n', 'g'), '^[{_SP}]+|[{_SP}]+$', '', 'g') AS clean FROM pages""")
+def clean_content_whole(e: Estate) -> DataFrame:
+    """Whole texts, every eighth page repeated until it is longer than any limit of `clean_content`."""
+    html = e.table("pages").select("page_id", F.expr(_LONG).alias("raw"))
+    return html.select("page_id", T.clean_content(F.col("raw")).alias("clean"))
 
 
 _ODD_NAME = "name || CASE file_id % 5 WHEN 0 THEN '.TAR.GZ' WHEN 1 THEN '' WHEN 2 THEN '.' WHEN 3 THEN '.' || repeat('x', 40) ELSE ' v2.PDF' END"

@@ -2,6 +2,7 @@
 
 import pytest
 
+from sharescope.operators import indexing as I
 from tests.test_queries import FOLDER, REGISTERED, plain, rows_of, tables  # noqa: F401
 
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no test data")
@@ -23,3 +24,21 @@ def test_grid_has_every_column(spark, tables):  # noqa: F811
     whole = {r["folder_id"] for r in same_as_sql(spark, tables, "permission_grid_whole")}
     first = {r["folder_id"] for r in REGISTERED["permission_grid"].run(spark, str(FOLDER)).select("folder_id").distinct().collect()}
     assert len(first) == 60 and first < whole
+
+
+def test_texts_are_kept_whole(spark, tables):  # noqa: F811
+    assert max(len(r["clean"]) for r in same_as_sql(spark, tables, "clean_content_whole")) > 200_000
+    rows = same_as_sql(spark, tables, "extraction_whole")
+    assert all(r["status"] != "too_large" for r in rows) and max(r["chars"] or 0 for r in rows) > 4000
+    (whole,) = same_as_sql(spark, tables, "round_statistics_whole")
+    (small,) = REGISTERED["round_statistics"].run(spark, str(FOLDER)).collect()
+    assert whole["extracted"] > small["extracted"]
+    ddl = "file_id bigint, extension string, size bigint, acl_read boolean, new_acl_id int, acl_id int, text string, method string, error string"
+    long = spark.createDataFrame([(1, "txt", 1 << 30, True, 9, 1, "a" * 250_000 + " end", "text", None), (2, "txt", 5, True, 9, 1, "a b", "text", None)], ddl)
+    got = {r.file_id: r for r in I.extraction_outcome(long).collect()}
+    assert got[1].status == "text" and got[1].content.endswith("a end") and not got[1].content_cut
+    got = {r.file_id: (r.status, r.content, r.content_cut) for r in I.extraction_outcome(long, 1 << 40, 2).collect()}
+    assert got == {1: ("text", "aa", True), 2: ("text", "a ", True)}
+    assert {r.file_id: r.status for r in I.extraction_outcome(long, 100).collect()} == {1: "too_large", 2: "text"}
+    folder = long.select("file_id", "extension", "size")
+    assert {r.status for r in I.add_missing(folder, spark.createDataFrame([], "file_id bigint")).collect()} == {"pending"}
