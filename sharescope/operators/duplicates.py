@@ -112,7 +112,7 @@ def groups(files: DataFrame) -> DataFrame:
         F.when(F.col("hashed") > 0, "exact").otherwise("probable").alias("confidence"))
 
 
-def group_page(files: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+def group_page(files: DataFrame, limit: int | None = 50, offset: int = 0) -> DataFrame:
     """Groups that waste most."""
     return page(groups(files), [F.desc("wasted_bytes"), F.asc("size"), F.asc("key")], limit, offset)
 
@@ -122,10 +122,10 @@ def totals(files: DataFrame) -> DataFrame:
                              F.coalesce(F.sum("wasted_bytes"), F.lit(0)).alias("total_wasted_bytes"))
 
 
-def group_members(files: DataFrame, folders: DataFrame, shares: DataFrame, limit: int = 50,
+def group_members(files: DataFrame, folders: DataFrame, shares: DataFrame, limit: int | None = None,
                   offset: int = 0) -> DataFrame:
-    """The files of one page of groups, one row each."""
-    chosen = group_page(files, limit, offset)
+    """The files of all groups, or of one page of them, one row each."""
+    chosen = groups(files) if limit is None and not offset else group_page(files, limit, offset)
     members = files.withColumn("key", F.coalesce("content_hash", "quick_hash")).join(chosen, ["size", "key"])
     where = folders.select("folder_id", F.col("path").alias("folder_path"))
     roots = shares.select("share_id", F.col("path").alias("share_path"))

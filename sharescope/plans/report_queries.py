@@ -168,6 +168,13 @@ def duplicate_totals(e: Estate) -> DataFrame:
     FROM (SELECT * FROM ({_GROUPS}) ORDER BY wasted_bytes DESC, size, key LIMIT 50) g JOIN hashed h ON h.bytes = g.size AND h.content_hash = g.key
     JOIN est_shares s USING (share_id)""")
 def duplicate_members(e: Estate) -> DataFrame:
+    return D.group_members(hashed(e), e.folders, e.shares, limit=50).withColumn("mtime", F.col("mtime").cast("string"))
+
+
+@query("D8 G13", f"""SELECT g.size, g.key, g.copies, g.wasted_bytes, g.confidence, h.file_id, {S.show('s.path', 'h.fpath', 'h.name')} AS path, CAST(h.mtime AS VARCHAR) AS mtime
+    FROM ({_GROUPS}) g JOIN hashed h ON h.bytes = g.size AND h.content_hash = g.key JOIN est_shares s USING (share_id)""")
+def duplicate_members_whole(e: Estate) -> DataFrame:
+    """The files of every group; `duplicate_members` has those of the first page."""
     return D.group_members(hashed(e), e.folders, e.shares).withColumn("mtime", F.col("mtime").cast("string"))
 
 

@@ -42,3 +42,18 @@ def test_texts_are_kept_whole(spark, tables):  # noqa: F811
     assert {r.file_id: r.status for r in I.extraction_outcome(long, 100).collect()} == {1: "too_large", 2: "text"}
     folder = long.select("file_id", "extension", "size")
     assert {r.status for r in I.add_missing(folder, spark.createDataFrame([], "file_id bigint")).collect()} == {"pending"}
+
+
+def test_every_duplicate_has_its_row(spark, tables):  # noqa: F811
+    from pyspark.sql import functions as F
+
+    from sharescope.operators import duplicates as D
+    from tests.fixtures import folders_of, frame, shares_of
+    same_as_sql(spark, tables, "duplicate_members_whole")
+    copies = frame(spark, [(2 * g + k, 2000 + g, f"k{g}") for g in range(60) for k in range(2)], "file_id bigint, size bigint, quick_hash string")
+    folders, shares = folders_of(spark, [("", None)]), shares_of(spark)
+    place = folders.select("folder_id", "share_id").first()
+    files = copies.select("*", F.col("quick_hash").alias("content_hash"), F.lit(place.folder_id).alias("folder_id"), F.lit(place.share_id).alias("share_id"),
+                          F.concat(F.lit("f"), "file_id").alias("name"), F.lit(None).cast("timestamp_ntz").alias("mtime"))
+    assert {r.file_id for r in D.group_members(files, folders, shares).collect()} == set(range(120))
+    assert D.group_members(files, folders, shares, limit=50).count() == 100
