@@ -164,12 +164,11 @@ def write_index(spark, target: str, postings_rows: DataFrame, partitions: int |
     """Store postings and dictionary as Parquet under `target` (a folder every executor reaches).
 
     Postings are laid out by bucket and sorted by word, so a query opens the folders of its words
-    and skips the row groups of others. With more `partitions` than buckets, each bucket is spread
-    over several tasks by file, so no task writes a frequent word alone.
+    and skips the row groups of others. The rebalance spreads a bucket that is larger than the advisory
+    partition size over several tasks, so no task writes a frequent word alone.
     """
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = F.pmod(F.xxhash64("file_id"), F.lit(max(1, count // POSTING_BUCKETS)))
-    (postings_rows.repartition(count, "bucket", slices).sortWithinPartitions("bucket", "word", "file_id")
+    (postings_rows.hint("rebalance", *([partitions] if partitions else []), "bucket").sortWithinPartitions("bucket", "word", "file_id")
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/postings"))
     stored = spark.read.parquet(f"{target}/postings")
     # Spread the vocabulary before stemming it; lookups skip row groups by order and Bloom filter.
