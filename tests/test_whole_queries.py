@@ -1,5 +1,8 @@
 """Registered queries that return all rows, beside those that return a page, against SQL without a limit."""
 
+import re
+from pathlib import Path
+
 import pytest
 
 from sharescope.operators import indexing as I
@@ -57,3 +60,10 @@ def test_every_duplicate_has_its_row(spark, tables):  # noqa: F811
                           F.concat(F.lit("f"), "file_id").alias("name"), F.lit(None).cast("timestamp_ntz").alias("mtime"))
     assert {r.file_id for r in D.group_members(files, folders, shares).collect()} == set(range(120))
     assert D.group_members(files, folders, shares, limit=50).count() == 100
+
+
+def test_numbers_without_a_query_are_named():
+    covered = {code for r in REGISTERED.values() for code in r.covers.split()}
+    readme = (Path(__file__).resolve().parents[1] / "README.md").read_text()
+    named = readme.split("not registered:", 1)[1].split(".", 1)[0]
+    assert {f"S{i}" for i in range(1, 11)} - covered == set(re.findall(r"\bS\d+\b", named))
