@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .circulant_minhash import near_duplicates
+from .clustering import CENTROIDS, ROUNDS, clustering_digest
 from .code_search import nearest
 from .decontamination import contained
+from .hard_negatives import mined
 from .ngram_lm import scored
 from .packing import packing_digest
 from .simhash import simhash_digest
@@ -118,3 +121,51 @@ def op10_code_search(spark: SparkSession, folder: str) -> DataFrame:
 @registered()
 def op9_ngram_lm(spark: SparkSession, folder: str) -> DataFrame:
     return scored(table(spark, folder, "documents"))
+
+
+@registered(r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+sets AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM docs),
+rows AS MATERIALIZED (SELECT r, len(s) AS n, hash(list_sort(s)) AS k FROM sets WHERE len(s) > 0),
+one AS MATERIALIZED (SELECT min(r) AS r, k, any_value(n) AS n FROM rows GROUP BY k),
+grams AS MATERIALIZED (SELECT r, unnest(s) AS g FROM sets WHERE r IN (SELECT r FROM one)),
+pairs AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM grams a JOIN grams b ON a.g = b.g AND a.r <> b.r JOIN one x ON a.r = x.r JOIN one y ON b.r = y.r
+  GROUP BY a.r, b.r, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach AS (SELECT r AS a, r AS b FROM one UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+found AS (SELECT x.r, min(d.doc_id) AS component_id FROM rows x JOIN one o ON x.k = o.k JOIN reach ON reach.a = o.r JOIN one t ON t.r = reach.b JOIN rows y ON y.k = t.k JOIN docs d ON d.r = y.r GROUP BY x.r)
+SELECT doc_id, len(s) AS n_shingles, CASE WHEN len(s) = 0 THEN doc_id ELSE component_id END AS component_id, coalesce(CASE WHEN len(s) = 0 THEN doc_id ELSE component_id END = doc_id, false) AS kept FROM sets LEFT JOIN found USING (r)""")
+def op11_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+def _rounds() -> str:
+    """The rounds of op12 as common table expressions: assignment `a<i>` to centroids `c<i>`, and the centroids after it."""
+    assign = """a{0} AS MATERIALIZED (SELECT r, min(d) AS d, arg_min(j, d * 64 + j) AS j FROM (
+  SELECT r, j, (list_inner_product(k.v, k.v) - 2 * list_inner_product(k.v, c.v) + list_inner_product(c.v, c.v))::BIGINT AS d FROM kept k, c{0} c) GROUP BY r)"""
+    move = """c{1} AS MATERIALIZED (SELECT c.j, coalesce(n.v, c.v) AS v FROM c{0} c LEFT JOIN (SELECT j, list(m ORDER BY i) AS v FROM (
+  SELECT j, i, floor(sum(v[i]) / count(*)) AS m FROM a{0} JOIN kept USING (r), range(1, 65) x(i) GROUP BY j, i) GROUP BY j) n USING (j))"""
+    return ",\n".join([text.format(i, i + 1) for i in range(ROUNDS) for text in (assign, move)] + [assign.format(ROUNDS)])
+
+
+@registered(f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS j, v FROM kept ORDER BY sha256('3:' || vec_id) LIMIT {CENTROIDS}),
+{_rounds()}
+SELECT vec_id, j::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY j)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(c.v, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{ROUNDS} a JOIN kept USING (r) JOIN c{ROUNDS} c USING (j)""")
+def op12_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering_digest(table(spark, folder, "embeddings"))
+
+
+@registered(r"""
+WITH k AS MATERIALIZED (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM k a, k b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n FROM s WHERE same),
+f AS (SELECT p.a, p.b AS pb, s.b AS nb, p.score AS ps, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score WHERE n <= 5)
+SELECT a AS anchor_id, pb AS positive_id, rank, nb AS negative_id, ps AS positive_score, ns AS negative_score FROM f WHERE rank <= 10""")
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return mined(table(spark, folder, "embeddings"))
