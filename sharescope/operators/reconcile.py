@@ -58,9 +58,10 @@ def file_changes(listing: DataFrame, catalogue: DataFrame, unlisted: DataFrame |
     `catalogue`: (share_id, path, name, size, mtime, file_id), `path` being the folder's. `unlisted`:
     (share_id, path) of folders whose listing failed; files at or below them are `unchanged`.
     """
+    times = ["ctime"] if "ctime" in listing.columns and "ctime" in catalogue.columns else []
     seen = accepted_entries(listing).filter("NOT is_dir").select(
-        *KEY, F.col("size").alias("new_size"), F.col("mtime").alias("new_mtime"), F.lit(True).alias("seen"))
-    known = catalogue.select(*KEY, "file_id", "size", "mtime", F.lit(True).alias("known"))
+        *KEY, F.col("size").alias("new_size"), *[F.col(c).alias(f"new_{c}") for c in ("mtime", *times)], F.lit(True).alias("seen"))
+    known = catalogue.select(*KEY, "file_id", "size", "mtime", *times, F.lit(True).alias("known"))
     kept = None
     if unlisted is not None:
         kept = _under(known, unlisted, "left_semi")
@@ -72,11 +73,10 @@ def file_changes(listing: DataFrame, catalogue: DataFrame, unlisted: DataFrame |
               .when(moved, "updated").otherwise("unchanged"))
     out = joined.select(*KEY, "file_id", change.alias("change"),
                         F.coalesce("seen", F.lit(False)).alias("seen"),
-                        F.when(F.col("seen"), F.col("new_size")).otherwise(F.col("size")).alias("size"),
-                        F.when(F.col("seen"), F.col("new_mtime")).otherwise(F.col("mtime")).alias("mtime"))
+                        *[F.when(F.col("seen"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("size", "mtime", *times)])
     if kept is not None:
         out = out.unionByName(kept.select(*KEY, "file_id", F.lit("unchanged").alias("change"),
-                                          F.lit(False).alias("seen"), "size", "mtime"))
+                                          F.lit(False).alias("seen"), "size", "mtime", *times))
     return out
 
 
@@ -106,7 +106,10 @@ def next_documents(documents: DataFrame, changes: DataFrame) -> DataFrame:
 # ── Folders ──────────────────────────────────────────────────────────────────
 
 def folder_changes(listing: DataFrame, catalogue: DataFrame, unlisted: DataFrame | None = None) -> DataFrame:
-    """added / removed / unchanged per folder; a vanished folder takes its whole subtree along."""
+    """added / removed / unchanged per folder; a vanished folder takes its whole subtree along.
+
+    `seen` is false for folders below one that could not be listed: nobody looked at them.
+    """
     roots = catalogue.select("share_id").distinct().select("share_id", F.lit("").alias("path"))
     seen = accepted_entries(listing).filter("is_dir").select(
         "share_id", P.child(F.col("path"), F.col("name")).alias("path")).union(roots).distinct()
@@ -122,10 +125,10 @@ def folder_changes(listing: DataFrame, catalogue: DataFrame, unlisted: DataFrame
     joined = known.withColumn("known", F.lit(True)).join(seen.withColumn("seen", F.lit(True)), ["share_id", "path"], "full")
     change = F.when(F.col("known").isNull(), "added").when(F.col("seen").isNull(), "removed").otherwise("unchanged")
     out = joined.select("share_id", "path", P.base_name(F.col("path")).alias("name"),
-                        P.depth(F.col("path")).alias("depth"), change.alias("change"))
+                        P.depth(F.col("path")).alias("depth"), change.alias("change"), F.coalesce("seen", F.lit(False)).alias("seen"))
     if kept is not None:
         out = out.unionByName(kept.select("share_id", "path", P.base_name(F.col("path")).alias("name"),
-                                          P.depth(F.col("path")).alias("depth"), F.lit("unchanged").alias("change")))
+                                          P.depth(F.col("path")).alias("depth"), F.lit("unchanged").alias("change"), F.lit(False).alias("seen")))
     return out
 
 
