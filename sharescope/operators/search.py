@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +22,7 @@ from ..schema import COUNT_CAP
 from .common import constant_table, top_per_group
 from .indexing import CONFIG_FIELDS, POSTING_BUCKETS, WEIGHTS
 from .permissions import visible_files
+from .ranking import cover_scores, word_counts
 from .reports import page
 
 _FOLD_MAP = str.maketrans(FOLD_FROM, FOLD_TO)
@@ -207,16 +207,22 @@ def expand_words(library: Library, rows: list[tuple], stemmed: bool, cap: int =
     return constant_table(library.postings, expanded or [(*rows[0], "", "")], names), words_
 
 
+def asked_rows(queries: list[Query], stemmed: bool = True) -> list[tuple]:
+    """What the queries look for, one row a word: (query_no, unit, config, clause, item, offset, lexeme, word_count, items)."""
+    wanted = []
+    for number, query in enumerate(queries):
+        rows, sizes = _query_lexemes(query, stemmed)
+        wanted += [(number, *r, sizes[(r[0], r[1], r[2])]) for r in rows]
+    return wanted
+
+
 def posting_hits(library: Library, queries: list[Query], stemmed: bool = True) -> DataFrame:
     """Every posting some word of the queries reads, once per place:
     (query_no, unit, config, clause, item, offset, word_count, items, file_id, field, pos).
 
     Unit 0 of a query is itself, the others are its exclusions.
     """
-    wanted = []
-    for number, query in enumerate(queries):
-        rows, sizes = _query_lexemes(query, stemmed)
-        wanted += [(number, *r, sizes[(r[0], r[1], r[2])]) for r in rows]
+    wanted = asked_rows(queries, stemmed)
     expanded, spelled = expand_words(library, wanted or [(-1, 0, "", 0, 0, 0, "", 0, 0)], stemmed)
     postings = library.postings
     if spelled is not None:
@@ -269,6 +275,18 @@ def match_postings(library: Library, queries: list[Query], stemmed: bool = True)
         F.bool_or(~asked & F.col("found")).alias("excluded"))
 
 
+def by_covers(library: Library, matched: DataFrame, queries: list[Query], stemmed: bool) -> DataFrame:
+    """`matched` files (query_no, and the columns of `candidates`) with their relevance by cover density.
+
+    Where every query asks for single words, each of their places is a cover by itself, and the weight of the places is the relevance already.
+    """
+    if all(len(clause) == 1 and len(clause[0]) == 1 for q in queries for clause in q.clauses):
+        return matched
+    files = matched.select("file_id", "name", "share", "folder_path").dropDuplicates(["file_id"])
+    scores = cover_scores(posting_hits(library, queries, stemmed), word_counts(files), asked_rows(queries, stemmed))
+    return matched.drop("score").join(scores, ["query_no", "file_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def newest() -> list[Column]:
     return [F.col("mtime").desc_nulls_last(), F.asc("file_id")]
 
@@ -285,8 +303,11 @@ def rank_candidates(matched: DataFrame, cap: int = COUNT_CAP) -> DataFrame:
     return near.withColumn("rank", overall).filter(F.col("in_title") | (F.col("rank") <= cap)).drop("rank")
 
 
-def matches(library: Library, token, params: SearchParams, mode: str = "substring", stemmed: bool = True) -> DataFrame:
-    """All files the account finds, unordered."""
+def matches(library: Library, token, params: SearchParams, mode: str = "substring", stemmed: bool = True, rank: str = "covers") -> DataFrame:
+    """All files the account finds, unordered.
+
+    `rank` says what `score` is in the postings mode: cover density, or with "places" the plain weight of all places that were found.
+    """
     query = parse(params.q)
     found = candidates(library, token, params)
     if mode == "substring":
@@ -294,7 +315,8 @@ def matches(library: Library, token, params: SearchParams, mode: str = "substrin
     if query.clauses or query.excluded:
         hits = match_postings(library, [query], stemmed)
         if query.clauses:
-            return found.join(hits.filter("matched AND NOT excluded").select("file_id", "score", "in_title"), "file_id")
+            matched = found.join(hits.filter("matched AND NOT excluded").select("query_no", "file_id", "score", "in_title"), "file_id")
+            return (by_covers(library, matched, [query], stemmed) if rank == "covers" else matched).drop("query_no")
         # Files without an index row are in no posting, so they can't be excluded.
         found = found.join(hits.filter("excluded").select("file_id"), "file_id", "left_anti")
     return found.withColumns({"score": F.lit(0.0), "in_title": F.lit(False)})
@@ -308,10 +330,13 @@ def ordering(params: SearchParams, has_terms: bool) -> list[Column]:
     return [F.desc("score"), *newest()]
 
 
-def search(library: Library, token, params: SearchParams, mode: str = "substring", stemmed: bool = True, pool: int | None = None) -> DataFrame:
-    """One page of results, without snippets. All matches are ranked, unless `pool` asks for the likeliest only."""
+def search(library: Library, token, params: SearchParams, mode: str = "substring", stemmed: bool = True, pool: int | None = None, rank: str = "covers") -> DataFrame:
+    """One page of results, without snippets. All matches are ranked, unless `pool` asks for the likeliest only.
+
+    Relevance is only worked out where it orders the result.
+    """
     query = parse(params.q)
-    found = matches(library, token, params, mode, stemmed)
+    found = matches(library, token, params, mode, stemmed, rank if params.sort == "relevance" else "places")
     if pool and mode == "postings" and params.sort == "relevance" and query.terms:
         found = rank_candidates(found, pool)
     ordered = page(found, ordering(params, bool(query.terms)), params.limit, params.offset)
@@ -319,7 +344,7 @@ def search(library: Library, token, params: SearchParams, mode: str = "substring
                           "score")
 
 
-def search_many(library: Library, token, asked: dict[str, SearchParams], stemmed: bool = True) -> DataFrame:
+def search_many(library: Library, token, asked: dict[str, SearchParams], stemmed: bool = True, rank: str = "covers") -> DataFrame:
     """First pages of many queries of one account in one job, with `query` and `position`.
 
     Each result equals that of `search`. All queries share one pass over the postings and one over
@@ -335,6 +360,8 @@ def search_many(library: Library, token, asked: dict[str, SearchParams], stemmed
         "query_no", "query", "w_share", "w_type", "w_from", "w_to", "w_sort", "w_offset", "w_limit"])
     hits = match_postings(library, queries, stemmed).filter("matched AND NOT excluded").drop("matched", "excluded")
     found = candidates(library, token, SearchParams()).join(hits.join(wishes, "query_no"), "file_id")
+    if rank == "covers":
+        found = by_covers(library, found, queries, stemmed)
     unset = lambda c: F.col(c).isNull()
     day = lambda c: F.col(c).cast("timestamp_ntz")
     found = found.filter(
@@ -366,50 +393,67 @@ def recently_modified(library: Library, token, limit: int = 10) -> DataFrame:
 
 # ── Snippets ─────────────────────────────────────────────────────────────────
 
-def _hit_stem(term: str) -> str:
-    """What a highlighted word must start with: the term without its last two letters, at least four."""
-    return term[:max(4, len(term) - 2)]
-
-
-def snippet_segments(text: str, terms: list[str], width: int = 240, slack: int = 30) -> list[dict]:
-    """A window of the text around its first hit, cut into plain and highlighted segments."""
-    if not text:
-        return []
-    folded = fold_text(text)
-    spans: list[tuple[int, int]] = []
-    heads = sorted({_hit_stem(t) for t in terms if t}, key=len, reverse=True)
-    if heads and len(folded) == len(text):
-        finder = re.compile(r"\b(?:%s)\w*" % "|".join(re.escape(h) for h in heads))
-        spans = [m.span() for m in finder.finditer(folded)]
-    first = max(0, spans[0][0] - width // 3) if spans else 0
-    last = min(len(text), first + width)
-    if first:
-        blank = text.rfind(" ", 0, first)
-        if blank >= 0 and first - blank < slack:
-            first = blank + 1
-    if last < len(text):
-        blank = text.find(" ", last)
-        if blank >= 0 and blank - last < slack:
-            last = blank
-    inside = [s for s in spans if first <= s[0] and s[1] <= last]
-    edges = [first] + [e for s in inside for e in s] + [last]
-    pieces = [(text[a:b], i % 2 == 1) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-    if first:
-        pieces.insert(0, ("…", False))
-    if last < len(text):
-        pieces.append(("…", False))
-    return [{"text": re.sub(r"\s+", " ", t), "hit": hit} for t, hit in pieces]
-
-
-def with_snippets(results: DataFrame, documents: DataFrame, query: Query, width: int = 240) -> DataFrame:
-    """Adds `snippet` to one page of results; contents are joined only for that page."""
-    terms = list(query.terms)
+# Characters a snippet shows, a third of them before its first hit, how far its ends move to a blank; and how much of
+# a term a highlighted word must begin with: all but its ending, and four letters at least.
+WIDTH, REACH = 240, 30
+ENDING, SHORTEST = 2, 4
+_LETTER = r"[\p{L}\p{N}_]"
+SEGMENTS = "array<struct<text:string,hit:boolean>>"
+
+
+def hit_pattern(terms: list[str]) -> str:
+    """Words that begin like one of the terms; longer beginnings first."""
+    starts = {t[:-ENDING] if len(t) > SHORTEST + ENDING else t[:SHORTEST] for t in terms}
+    return rf"(?<!{_LETTER})(?:{'|'.join(re.escape(s) for s in sorted(starts, key=lambda s: (-len(s), s)))}){_LETTER}*"
 
-    @F.pandas_udf("array<struct<text:string,hit:boolean>>")
-    def run(content: pd.Series) -> pd.Series:
-        return content.map(lambda t: snippet_segments(t or "", terms, width))
 
-    if not terms:
-        return results.withColumn("snippet", F.array().cast("array<struct<text:string,hit:boolean>>"))
-    return (results.join(documents.select("file_id", "content"), "file_id", "left")
-            .withColumn("snippet", run(F.col("content"))).drop("content"))
+def snippet(content: Column, terms: list[str], width: int = WIDTH) -> Column:
+    """The stretch of a text around its first hit, as plain and highlighted segments; empty for a text without characters.
+
+    Only the stretch is searched for hits: the text is split once, at its first.
+    """
+    let = lambda value, body: F.get(F.transform(F.array(value), body), 0)
+    pattern = hit_pattern(terms)
+
+    def cut(s: Column) -> Column:
+        text, folded = s["text"], s["folded"]
+        size = F.length(text)
+        ahead = F.length(F.get(F.split(folded, pattern, 2), 0))
+        start = F.when(ahead < size, F.greatest(ahead - width // 3, F.lit(0))).otherwise(0)
+        end = F.least(start + width, size)
+        # Both ends move outwards to a blank, if one is near.
+        back = F.instr(F.reverse(F.substring(text, F.greatest(start - REACH + 2, F.lit(1)), F.least(start, F.lit(REACH - 1)))), " ")
+        on = F.instr(F.substring(text, end + 1, F.lit(REACH)), " ")
+        return F.struct(F.when((start > 0) & (back > 0), start - back + 1).otherwise(start).alias("start"), F.when((end < size) & (on > 0), end + on - 1).otherwise(end).alias("end"),
+                        text.alias("text"), folded.alias("folded"))
+
+    def marked(w: Column) -> Column:
+        # One character more at either side tells whether a hit is cut off by an end.
+        lead = F.least(w["start"], F.lit(1))
+        around = F.substring(w["folded"], w["start"] - lead + 1, w["end"] - w["start"] + lead + 1)
+        shown = F.substring(w["text"], w["start"] + 1, w["end"] - w["start"])
+        plain, found = F.transform(F.split(around, pattern), F.length), F.transform(F.regexp_extract_all(around, F.lit(pattern), F.lit(0)), F.length)
+        # Lengths of plain and highlighted parts by turns, from the lead on; what reaches beyond the end is plain.
+        size = F.length(shown)
+        ends = F.aggregate(F.zip_with(plain, found, lambda p, h: F.struct(p.alias("p"), h.alias("h"))),
+                           F.struct((-lead).alias("at"), F.array().cast("array<struct<from:int,to:int>>").alias("hits")),
+                           lambda a, x: F.struct((a["at"] + F.coalesce(x["p"], F.lit(0)) + F.coalesce(x["h"], F.lit(0))).alias("at"),
+                                                 F.when(x["h"].isNotNull(), F.concat(a["hits"], F.array(F.struct((a["at"] + x["p"]).cast("int").alias("from"), (a["at"] + x["p"] + x["h"]).cast("int").alias("to")))))
+                                                 .otherwise(a["hits"]).alias("hits")), lambda a: a["hits"])
+        inside = F.filter(ends, lambda h: (h["from"] >= 0) & (h["to"] <= size))
+        piece = lambda a, b, hit: F.struct(F.regexp_replace(F.substring(shown, a + 1, b - a), rf"[{SPACE}]+", " ").alias("text"), F.lit(hit).alias("hit"))
+        dots = lambda when: F.when(when, F.array(F.struct(F.lit("…").alias("text"), F.lit(False).alias("hit")))).otherwise(F.array().cast(SEGMENTS))
+        body = let(inside, lambda hits: F.concat(F.flatten(F.transform(hits, lambda h, i: F.array(
+            piece(F.when(i > 0, F.get(hits, i - 1)["to"]).otherwise(0), h["from"], False), piece(h["from"], h["to"], True)))),
+            F.array(piece(F.coalesce(F.get(hits, F.size(hits) - 1)["to"], F.lit(0)), size, False))))
+        return F.concat(dots(w["start"] > 0), F.filter(body, lambda x: x["text"] != ""), dots(w["end"] < F.length(w["text"])))
+
+    return let(F.struct(content.alias("text"), fold(content).alias("folded")), lambda s: F.when(F.length(s["text"]) > 0, let(cut(s), marked)).otherwise(F.array().cast(SEGMENTS)))
+
+
+def with_snippets(results: DataFrame, documents: DataFrame, query: Query, width: int = WIDTH) -> DataFrame:
+    """Adds `snippet` to one page of results; contents are joined only for that page."""
+    if not query.terms:
+        return results.withColumn("snippet", F.array().cast(SEGMENTS))
+    shown = snippet(F.coalesce("content", F.lit("")), list(query.terms), width)
+    return results.join(documents.select("file_id", "content"), "file_id", "left").withColumn("snippet", shown).drop("content")

@@ -139,7 +139,7 @@ def search_only_exclusions(e: Estate) -> DataFrame:
 
 @query("Q9 Q11 Q12 Q13 Q15", f"SELECT {_ROW}, score FROM ({_words(_run('and') + ' AND ' + _run('the'), 'found.*, ' + _score(['and', 'the']) + ' AS score')}) ORDER BY score DESC, mtime DESC NULLS LAST, file_id LIMIT 40")
 def search_ranked(e: Estate) -> DataFrame:
-    page = Q.search(library(e, False), S.TOKEN, Q.SearchParams("and the", limit=40), "postings", False)
+    page = Q.search(library(e, False), S.TOKEN, Q.SearchParams("and the", limit=40), "postings", False, rank="places")
     return page.select("file_id", "name", "share", "folder_path", "path", "size", F.col("mtime").cast("string").alias("mtime"), "score")
 
 
@@ -154,7 +154,7 @@ def _runs(phrase: str, weigh: float = 1.0) -> str:
 @query("Q4 Q9", f"SELECT file_id, round({_runs('of the')} + {_runs('and')}, 6)::DOUBLE AS score FROM ({_words(_run('of the') + ' AND ' + _run('and'), 'found.*, w.*')}) w")
 def phrase_scores(e: Estate) -> DataFrame:
     """Words of a phrase that stray elsewhere weigh nothing."""
-    return Q.matches(library(e, False), S.TOKEN, Q.SearchParams('"of the" and'), "postings", False).select("file_id", "score")
+    return Q.matches(library(e, False), S.TOKEN, Q.SearchParams('"of the" and'), "postings", False, "places").select("file_id", "score")
 
 
 _BOTH = f"({_run('que')} AND {_run('nota')})"
@@ -164,6 +164,39 @@ _BOTH = f"({_run('que')} AND {_run('nota')})"
     FROM ({_words(_run('of the') + ' OR ' + _BOTH, 'found.*, w.*')}) w""")
 def alternative_scores(e: Estate) -> DataFrame:
     """Only alternatives that were found weigh."""
+    return Q.matches(library(e, False), S.TOKEN, Q.SearchParams('"of the" or que nota'), "postings", False, "places").select("file_id", "score")
+
+
+def _covers(words: list[str], phrases: list[str], alternatives: list[list[int]], where: str) -> str:
+    """Scores by cover density. Items are the single words, then the phrases of two; alternatives list numbers of items."""
+    every = sorted({*words, *(w for p in phrases for w in p.split())})
+    ends = [f"word = '{w}'" for w in words] + [f"word = '{p.split()[1]}' AND before = '{p.split()[0]}'" for p in phrases]
+    long = [0] * len(words) + [1] * len(phrases)
+    last = ", ".join(f"max(pos - {long[i]}) FILTER ({end}) OVER o AS s{i}" for i, end in enumerate(ends))
+    best = "greatest(" + ", ".join("CASE WHEN " + " AND ".join(f"s{i} IS NOT NULL" for i in items) + " THEN least(" + ", ".join(f"s{i}" for i in items) + ") END" for items in alternatives) + ", NULL)"
+    return f"""WITH w AS (SELECT file_id, len(a) AS la, len(b) AS lb, list_concat(a, b, c) AS ws FROM ({_words(where, 'found.file_id, w.* EXCLUDE (file_id)')})), p AS (SELECT file_id, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+    e AS (SELECT file_id, pos, ws[pos] AS word, CASE WHEN pos - 1 NOT IN (0, la, la + lb) THEN ws[pos - 1] END AS before, CASE WHEN pos <= la THEN 10 WHEN pos <= la + lb THEN 25 ELSE 50 END AS field FROM p JOIN w USING (file_id)),
+    h AS (SELECT *, row_number() OVER o AS n, sum(field) OVER o AS upto FROM e WHERE word IN ({", ".join(f"'{w}'" for w in every)}) WINDOW o AS (PARTITION BY file_id ORDER BY pos)),
+    l AS (SELECT *, {last} FROM h WINDOW o AS (PARTITION BY file_id ORDER BY pos)), b AS (SELECT *, {best} AS s FROM l),
+    c AS (SELECT *, lag(s) OVER (PARTITION BY file_id ORDER BY pos) AS p FROM b)
+    SELECT c.file_id, round(sum((c.n - z.n + 1) * 10.0 / (c.upto - z.upto + z.field) / (1 + (c.pos - z.pos) - (c.n - z.n))), 6)::DOUBLE AS score
+    FROM c JOIN h z ON z.file_id = c.file_id AND z.pos = c.s WHERE c.s IS NOT NULL AND (c.p IS NULL OR c.s > c.p) GROUP BY c.file_id"""
+
+
+@query("Q9", _covers(["and", "nota"], [], [[0, 1]], _run("and") + " AND " + _run("nota")))
+def cover_scores(e: Estate) -> DataFrame:
+    """Two words, of which one mostly stands in names and the other in contents: near and far, once and often."""
+    return Q.matches(library(e, False), S.TOKEN, Q.SearchParams("and nota"), "postings", False).select("file_id", "score")
+
+
+@query("Q9 Q4", _covers(["and", "the"], ["of the"], [[0, 1, 2]], " AND ".join(_run(x) for x in ("and", "the", "of the"))))
+def cover_scores_phrase(e: Estate) -> DataFrame:
+    """A phrase and two words, one of which is part of the phrase."""
+    return Q.matches(library(e, False), S.TOKEN, Q.SearchParams('and the "of the"'), "postings", False).select("file_id", "score")
+
+
+@query("Q9 Q5", _covers(["que", "nota"], ["of the"], [[2], [0, 1]], f"{_run('of the')} OR ({_run('que')} AND {_run('nota')})"))
+def cover_scores_alternatives(e: Estate) -> DataFrame:
     return Q.matches(library(e, False), S.TOKEN, Q.SearchParams('"of the" or que nota'), "postings", False).select("file_id", "score")
 
 

@@ -146,3 +146,57 @@ def test_renamed_share(library):
     out = I.rename_share(library.postings, library.files, library.folders, renamed, library.documents, 1)
     words = {(r.field, r.word) for r in out.select("field", "word").distinct().collect()}
     assert ("B", "legal") in words and ("B", "docs") not in words and ("C", "library") in words
+
+
+def test_relevance_counts_covers_by_weight_and_nearness(spark, library):
+    """One file a case: side by side, far apart, repeated, in name and content, as a phrase, and out of order."""
+    texts = {1: ("n.txt", "red blue"), 2: ("n.txt", "red one two three blue"), 3: ("n.txt", "red blue x red blue"), 4: ("red.txt", "blue"), 5: ("n.txt", "blue red blue"), 6: ("red blue.txt", "green"),
+             7: ("n.txt", "red red blue")}
+    files = files_of(spark, [(i, "", n) for i, (n, _) in texts.items()])
+    documents = frame(spark, [(i, "text", t) for i, (_, t) in texts.items()], "file_id bigint, status string, content string")
+    lib = Q.Library(library.shares, library.folders, files, library.acls, documents)
+    lib.postings = I.postings(files, library.folders, lib.shares, documents)
+    ask = lambda q: {r.file_id: r.score for r in Q.matches(lib, TOKENS["alice"], Q.SearchParams(q), "postings", False).collect()}
+    both = ask("red blue")
+    assert both[1] == 0.2 and both[2] == round(0.2 / 4, 6) and both[6] == 1.0 and both[7] == 0.2
+    # Covers red..blue, blue..red with x between, red..blue.
+    assert both[3] == round(0.2 + 0.2 / 2 + 0.2, 6) and both[5] == 0.4
+    # A name and a content with "txt" and "docs" between: the harmonic mean of both weights, over three.
+    assert both[4] == round(2 / (1 + 5) / 3, 6)
+    assert ask('"red blue"') == {1: 0.2, 3: 0.4, 5: 0.2, 6: 1.0, 7: 0.2}
+    assert ask('"red blue" or green')[6] == 1.2 and ask("red or blue")[5] == 0.6
+    order = [r.file_id for r in Q.search(lib, TOKENS["alice"], Q.SearchParams("red blue"), "postings", False).collect()]
+    assert order == [6, 3, 5, 7, 1, 4, 2]
+
+
+def plain_snippet(text, terms, width=240):
+    """The same rule in plain Python."""
+    folded = Q.fold_text(text)
+    heads = {t[:-2] if len(t) > 6 else t[:4] for t in terms}
+    hits = [m for m in Q.re.finditer(r"\w+", folded) if any(m[0].startswith(h) for h in heads)]
+    a = max(0, hits[0].start() - width // 3) if hits else 0
+    b = min(len(text), a + width)
+    near = [i for i in range(max(0, a - 29), a) if text[i] == " "]
+    a = near[-1] + 1 if near else a
+    near = [i for i in range(b, min(len(text), b + 30)) if text[i] == " "]
+    b = near[0] if near and b < len(text) else b
+    out, at = ([("…", False)] if a else []), a
+    for m in hits:
+        if a <= m.start() and m.end() <= b:
+            out += [(text[at:m.start()], False), (text[m.start():m.end()], True)]
+            at = m.end()
+    out += [(text[at:b], False)] + ([("…", False)] if b < len(text) else [])
+    return [(Q.re.sub(r"\s+", " ", t), h) for t, h in out if t]
+
+
+def test_snippets_mark_hits_in_a_stretch_around_the_first(spark):
+    import random
+    rng = random.Random(4)
+    words = ["informe", "Información", "informal", "campaña", "de", "xinforme", "inform", "a" * 50, "línea\n", "fin_inform"]
+    texts = ["", " ", "informe", "xinforme informe", "campañainforme"] + [rng.choice(["", "é" * 70 + " ", " "]) + rng.choice([" ", "  ", "\t"]).join(rng.choices(words, weights=[1, 1, 1, 3, 9, 3, 1, 2, 1, 2], k=rng.randrange(1, 90))) for _ in range(150)]
+    texts += ["x" * 300 + "informe" + "y" * 300, "x" * 300 + " informe " + "y" * 300, "informe" * 60]
+    rows = frame(spark, list(enumerate(texts)), "i int, t string")
+    for terms in (["informes"], ["informacion", "campana"], ["zzz"]):
+        got = {r.i: [(s.text, s.hit) for s in r.s] for r in rows.select("i", Q.snippet(Q.F.col("t"), terms).alias("s")).collect()}
+        for i, text in enumerate(texts):
+            assert got[i] == plain_snippet(text, terms), (terms, text)
