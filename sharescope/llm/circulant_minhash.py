@@ -6,9 +6,9 @@ a shingle contributes to them is one run of consecutive numbers. Two sets with a
 that all 40 bands miss such a pair with probability 6e-9.
 
 Documents with equal sets are one class, and classes are what is banded and linked. A band's members are never expanded into pairs: each
-is compared with one of them, by turns that differ between bands, and whatever is linked already needs no comparison. Where a band holds several
-components after that, hubs are chosen again among its largest component, while that helps; then the pairs between different components of a band that
-weren't compared yet are, all of them. So components are exactly those of all pairs that share a band.
+is compared with one of them, by turns that differ between bands. Where a band holds several components after that, most members are ruled out at once: a set that is linked with another shares 85 % of
+its own shingles with it, so one of whose shingles fewer occur in other components has no link to them. What is left meets in cells of
+bounded size, where common shingles are counted by an index. So components are exactly those of all pairs that share a band.
 
 A comparison counts the common shingles themselves. Texts travel to their comparisons dealt by hub, and a hub with very many members
 is dealt to several tasks.
@@ -34,6 +34,7 @@ SHINGLE, SIMILAR = 5, 85
 BANDS, ROWS = 40, 6
 PLACES = 22
 MEMBERS = 512
+CELL_ROWS, CELL_BYTES = 1024, 16 << 20
 TURNS = (0, 0x5DEECE66D1B54A3, 0x2545F4914F6CDD1D)
 
 
@@ -160,39 +161,98 @@ def grouped(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, similar
     named = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("text"))
     texts = store(involved.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("node", "text").dropDuplicates(["node"]))
 
-    def ordered(pairs: DataFrame, hub: str, other: str) -> DataFrame:
-        return pairs.filter(F.col(hub) != F.col(other)).select(F.col(hub).alias("a"), F.col(other).alias("b")).distinct()
-
-    asked = store(ordered(members, "hub", "node"))
-    links = store(confirmed(asked, texts, similar))
-    size, before, turns = members.count(), None, 0
-    while True:
-        label = components(links)
-        rooted = members.select("key", "node").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turns))).alias("hub"))
-        largest = F.max(F.struct("n", "hub", "root")).alias("largest")
-        mixed = store(parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inner"), largest).filter("parts > 1"))
-        apart = rooted.join(mixed.select("key", "largest.hub", F.col("largest.root").alias("main")), "key")
-        open_ = mixed.agg(F.sum((F.col("n").cast("decimal(38,0)") * F.col("n") - F.col("inner")) / 2)).first()[0] or 0
-        last = open_ <= 2 * size or (before is not None and open_ > before * 7 / 10)
-        if last:
-            one, two = apart.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), apart.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-            more = one.join(two, "key").filter("a < b AND ra <> rb").select("a", "b").distinct()
-        else:
-            more = ordered(apart.filter("root <> main"), "hub", "node")
-        fresh = store(_untold(more, asked))
-        if last and fresh.isEmpty():
-            return label
-        asked, links = asked.unionByName(fresh), store(links.unionByName(confirmed(fresh, texts, similar)))
-        if last:
-            return components(links)
-        before, turns = open_, turns + 1
-
-
-def _untold(pairs: DataFrame, asked: DataFrame) -> DataFrame:
-    """The pairs that weren't asked yet, either way round."""
-    both = asked.unionByName(asked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.join(both, ["a", "b"], "left_anti")
+    first = store(members.filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    links = store(confirmed(first, texts, similar))
+    rooted = members.select("key", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = store(_mixed(rooted))
+    left = apart.count()
+    tokens = store(spelt(texts.join(apart.select("node").distinct(), "node", "left_semi")))
+    # Most members of bands with several components can't be linked with another one at all.
+    while left:
+        before, apart = left, store(_mixed(apart.join(foreign(apart.select("node", "root").distinct(), tokens, similar), "node", "left_semi")))
+        left = apart.count()
+        if left > before * 0.9:
+            break
+    return components(store(links.unionByName(met(apart, texts, similar))))
+
+
+def _mixed(rooted: DataFrame) -> DataFrame:
+    """The rows (key, node, root) whose key has several roots."""
+    keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    return rooted.select("key", "node", "root").join(keys, "key", "left_semi")
+
+
+def spelt(texts: DataFrame) -> DataFrame:
+    """(node, token): the hash of every distinct shingle of each text."""
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, "text", 1 << 20):
+                hashes, bounds = sets(rows.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(rows.column(0)), np.diff(bounds))), pa.array(hashes.view(np.int64))], ["node", "token"])
+
+    return texts.select("node", "text").mapInArrow(spell, "node long, token long")
+
+
+def foreign(nodes: DataFrame, tokens: DataFrame, similar: int) -> DataFrame:
+    """The nodes (node, root) that may be linked with one of another root: those of whose shingles enough occur in other components.
+
+    A set shares `similar` per cent of its own shingles at least with any set it is linked with, so none that is left out has such a link.
+    """
+    own = tokens.join(nodes, "node")
+    shared = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).select("token", (F.col("low") != F.col("high")).alias("common"))
+    return own.select("node", "token").join(shared, "token").groupBy("node").agg(
+        F.count("*").alias("n"), F.count_if("common").alias("common")).filter(F.col("common") * 100 >= F.col("n") * similar).select("node")
+
+
+def met(apart: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
+    """Links (a, b) that join the components in `apart` (key, node, root) as all pairs of nodes that share a key do.
+
+    Nodes that keys connect are dealt to slices of a bounded number of rows and bytes, and each two slices meet in a task. There the numbers of common shingles are
+    counted by an index of them, a node at a time against all others, and pairs that are similar enough to join two components are confirmed on their words.
+    """
+    stars = apart.join(apart.groupBy("key").agg(F.min("node").alias("hub")), "key").filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    groups = components(stars).withColumnRenamed("root", "part")
+    rows = store(apart.select("node", "root").distinct().join(groups, "node").join(texts, "node"))
+    size = rows.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum(F.octet_length("text").cast("long")) / CELL_BYTES)).cast("int").alias("slices"))
+    dealt = rows.join(size, "part").withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    cells = dealt.select("part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "text")
+
+    def meet(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        nodes, roots, own = (cell[c].to_numpy() for c in ("node", "root", "own"))
+        words = cell["text"].chunk(0)
+        hashes, bounds = sets(words)
+        _, token, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        n, owner = np.diff(bounds), rows_of(bounds)
+        order = np.argsort(token, kind="stable")
+        holders, begin = owner[order], np.concatenate(([0], np.cumsum(count)))
+        joined = {r: r for r in np.unique(roots).tolist()}
+
+        def top(r: int) -> int:
+            while joined[r] != r:
+                joined[r] = r = joined[joined[r]]
+            return r
+
+        a, b = [], []
+        apart_ = own[:, None] != own[None] if own.min() != own.max() else None
+        for i in range(len(nodes)):
+            mine = token[bounds[i]:bounds[i + 1]]
+            mine = mine[count[mine] > 1]
+            if not len(mine):
+                continue
+            common = np.bincount(np.concatenate([holders[begin[t]:begin[t + 1]] for t in mine.tolist()]), minlength=len(nodes))
+            good = (100 * common >= similar * (n + n[i] - common)) & (roots != roots[i]) & (np.arange(len(nodes)) > i)
+            for j in np.flatnonzero(good if apart_ is None else good & apart_[i]).tolist():
+                x, y = top(int(roots[i])), top(int(roots[j]))
+                if x != y:
+                    one, two = (shingles_of(words[k].as_buffer().to_pybytes()) for k in (i, j))
+                    if 100 * len(one & two) >= similar * len(one | two):
+                        joined[x] = y
+                        a.append(int(nodes[i]))
+                        b.append(int(nodes[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cells.groupBy("part", "low", "high").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:

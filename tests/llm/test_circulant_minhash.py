@@ -52,6 +52,7 @@ def changed(text, seed, share):
 @pytest.mark.parametrize("members", [512, 3])
 def test_same_as_brute_force(spark, members, monkeypatch):
     monkeypatch.setattr(circulant_minhash, "MEMBERS", members)
+    monkeypatch.setattr(circulant_minhash, "CELL_ROWS", 2 * members)
     base = prose(20, 400)
     rows = awkward() + [(100 + i, changed(base, i, 0.012), "en", "web", 1) for i in range(40)]
     rows += [(200 + i, " ".join(f"c{j}" for j in range(i * 6, i * 6 + 200)), "en", "web", 1) for i in range(12)]  # a chain whose ends share nothing
