@@ -99,11 +99,12 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @registered(r"""
-WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, upper(sha1(coalesce(html, ''))) AS x FROM pages),
-k AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS m FROM p)
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, upper(sha1(coalesce(html, ''))) AS x, regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS host,
+  regexp_replace(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', '') AS rest FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS m, row_number() OVER (ORDER BY array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || rest, page_id) AS place FROM p)
 SELECT page_id, n AS payload_bytes,
        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(x, 1 + 5 * (i // 4), 5))::INTEGER) >> (15 - 5 * (i % 4))::INTEGER) & 31)::INTEGER, 1)), '') AS payload_digest,
-       CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to
+       CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to, place
 FROM k""")
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archive_digest(table(spark, folder, "pages"))

@@ -2,9 +2,9 @@
 
 Pages are written as records of WARC/1.1 by Spark's own writer, into compressed files of a bounded number of records; of records
 with equal payloads one is the response and the others revisit it. Archives are read back record by record from a stream.
-Each archive gives a run of captures sorted by URL key and time; runs are cut at common split points, and every range
-is merged from its runs through a loser tree. Splits are taken from a bounded sample of whole keys (URL key, time and page), so
-a URL with very many captures is split like any other.
+Each archive gives a run of captures sorted by URL key and time, once; runs are cut at common split points, their pieces stay in order, and every range
+is merged from its pieces through a loser tree. There is a range for every `RANGE` captures, whatever the cluster. Splits are taken from a bounded sample of whole keys (URL key, time and page), so
+a URL with very many captures is split like any other. The sizes of the ranges then give every capture its place in the global order.
 """
 
 from __future__ import annotations
@@ -17,13 +17,14 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from .common import shuffle_width
+from .common import store
 
 RECORDS = 4096
+RANGE = 32768
 BREAK = "\r\n"
 SAMPLE = 64
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -170,19 +171,22 @@ class LoserTree:
 
 def captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", date: Column | None = None, least: int = 0,
              folder: str | None = None, records: int = RECORDS) -> DataFrame:
-    """Archive all pages and give the merged index: `CAPTURE` and `place`, ascending in the global order.
+    """Archive all pages and give the merged index: `CAPTURE` and `place`, which counts the captures in global order from 1.
 
-    A null payload is empty, a null URL is an empty one. Rows that repeat a page id with an equal payload are all
-    written as responses; a null id never is one another refers to. An empty table gives an empty index. The archives stay
+    The order is by URL key, time and page id; a null id comes first, and equal captures follow each other in any order. A null payload is empty, a null URL is
+    an empty one. Rows that repeat a page id with an equal payload are all
+    written as responses; a null id never is one another refers to. An empty table gives an empty index. Payloads of any length are written whole; an
+    archive is one task's to read, so with payloads of many megabytes choose fewer `records`, so that a compressed archive stays below 2 GB. The archives stay
     in `folder`, by default a new one below the shared folder.
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_folder(spark).rstrip('/')}/sharescope-warc-{uuid.uuid4().hex}"
     date = date if date is not None else F.timestamp_seconds(F.coalesce(F.col(page_id).cast("long"), F.lit(0)))
     write_archives(pages, folder, page_id, url, html, date, least, records)
-    ranges = shuffle_width(spark)
     whole = F.concat_ws("\t", url_key(F.coalesce(F.col(url), F.lit(""))), F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lpad(F.coalesce(F.col(page_id).cast("long"), F.lit(-1)).cast("string"), 20, " "))
-    sample = sorted(r[0] for r in pages.select(whole.alias("k"), F.xxhash64(page_id, url).alias("h")).orderBy("h", "k").limit(SAMPLE * ranges).collect())
+    # As many ranges as captures need, at the keys of a sample that is drawn by hash.
+    ranges = -(-pages.count() // RANGE) or 1
+    sample = sorted(r[0] for r in pages.select(whole.alias("k"), F.xxhash64(page_id, url).alias("h")).orderBy("h", "k").limit(SAMPLE * ranges).collect()) if ranges > 1 else []
     splits = sorted(set(sample[SAMPLE::SAMPLE]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,34 +199,40 @@ def captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = sorted(batch.to_pylist(), key=lambda r: (r["archive"], *order_key(r)))
-            for r in rows:
-                r["range"] = bisect_right(splits, "\t".join((r["url_key"], r["captured"], f"{-1 if r['page_id'] is None else r['page_id']:>20}")))
-                # A long archive comes in several batches, each of which is a run.
-                r["run"] = f"{r['archive']}#{rows[0]['at']}"
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_RUNS)
+            # A long archive may come in several batches, each of which is a run.
+            runs: dict[str, list[dict]] = {}
+            for row in batch.to_pylist():
+                runs.setdefault(row["archive"], []).append(row)
+            pieces: list[dict] = []
+            for run in runs.values():
+                run.sort(key=order_key)
+                held: dict[int, list[dict]] = {}
+                for row in run:
+                    held.setdefault(bisect_right(splits, "\t".join((row["url_key"], row["captured"], f"{-1 if row['page_id'] is None else row['page_id']:>20}"))), []).append(row)
+                pieces += [{"range": r, "piece": rows} for r, rows in held.items()]
+            if pieces:
+                yield pa.RecordBatch.from_pylist(pieces, schema=_PIECES)
 
     def merge(group: pa.Table) -> pa.Table:
-        runs: dict[str, list[dict]] = {}
-        for row in group.to_pylist():
-            runs.setdefault(row["run"], []).append(row)
-        merged = list(LoserTree([sorted(r, key=order_key) for r in runs.values()]))
-        for i, row in enumerate(merged):
-            row["place"] = (row["range"] << 40) + i
-        return pa.Table.from_pylist(merged, schema=_MERGED)
+        merged = list(LoserTree(group["piece"].to_pylist()))
+        at = group["range"][0].as_py()
+        return pa.Table.from_pylist([{**row, "range": at, "rank": i + 1} for i, row in enumerate(merged)], schema=_MERGED)
 
     archives = spark.read.format("binaryFile").load(folder).filter(F.col("path").endswith(".gz")).select("path", "content")
     found = archives.mapInArrow(read, "url string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, at long")
     keyed = found.withColumn("url_key", url_key(F.col("url"))).drop("url")
-    runs = keyed.select(*[f.split()[0] for f in CAPTURE.split(", ")]).mapInArrow(cut, f"{CAPTURE}, range int, run string")
-    return runs.groupBy("range").applyInArrow(merge, f"{CAPTURE}, place long")
+    pieces = keyed.select(*[f.split()[0] for f in CAPTURE.split(", ")]).mapInArrow(cut, f"range int, piece array<struct<{CAPTURE.replace(' ', ':').replace(',:', ', ')}>>")
+    merged = store(pieces.groupBy("range").applyInArrow(merge, f"{CAPTURE}, range int, rank long"))
+    # One row a range: how many captures come before it.
+    sizes = merged.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    return merged.join(before, "range").select(*[f.split()[0] for f in CAPTURE.split(", ")], (F.col("before") + F.col("rank")).alias("place"))
 
 
 _CAPTURE = [(n, pa.int64() if k == "long" else pa.string()) for n, k in (f.split() for f in CAPTURE.split(", "))]
 _READ = pa.schema([("url", pa.string()), *_CAPTURE[1:]])
-_RUNS = pa.schema([*_CAPTURE, ("range", pa.int32()), ("run", pa.string())])
-_MERGED = pa.schema([*_CAPTURE, ("place", pa.int64())])
+_PIECES = pa.schema([("range", pa.int32()), ("piece", pa.list_(pa.struct(_CAPTURE)))])
+_MERGED = pa.schema([*_CAPTURE, ("range", pa.int32()), ("rank", pa.int64())])
 
 
 def archive_digest(pages: DataFrame) -> DataFrame:

@@ -65,5 +65,7 @@ def test_query_is_its_sql(spark, name):
         db.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     answer = db.execute(SQL[name])
     names = [d[0] for d in answer.description]
-    got = QUERIES[name](spark, str(FOLDER)).select(*names).collect()
+    found = QUERIES[name](spark, str(FOLDER))
+    assert sorted(found.columns) == sorted(names)
+    got = found.select(*names).collect()
     assert plain(got, range(len(names))) == plain(answer.fetchall(), range(len(names)))
