@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Up to this many rows Spark prunes each task's rows before the ranking shuffle by itself.
 PRUNED_RANK = 1_000
 
@@ -24,6 +26,18 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, s
     return df.withColumn("rank", ranked).filter(F.col("rank") <= n)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """`df` with each row's place in an order, from 1, without bringing all rows into one task.
+
+    Rows are sorted in ranges; how many rows the ranges before it have is added to a row's place in its own.
+    """
+    placed = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part).agg(F.count("*").alias("n"))
+    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))  # one row a range
+    return placed.withColumn("_part", part).join(before, "_part").withColumn(name, F.col("_before") + place + 1).drop("_id", "_part", "_before")
+
+
 def _literal(value) -> str:
     if value is None:
         return "NULL"

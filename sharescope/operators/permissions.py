@@ -177,6 +177,43 @@ def evaluate_tokens(tokens: DataFrame, acls: DataFrame, as_files: bool = False)
     return generic.unionByName(own)
 
 
+# ── Classes of accounts ──────────────────────────────────────────────────────
+
+def named_tokens(users: DataFrame, members: DataFrame, acls: DataFrame) -> DataFrame:
+    """(user_sid, sid): what of each account's token the ACLs name beyond the baseline: groups, the account itself, its domain's users."""
+    named = acls.select(F.explode("aces.sid").alias("sid")).distinct().filter(~F.col("sid").isin(A.baseline()))
+    mine = users.select("user_sid")
+    held = (members.select(F.col("member_sid").alias("user_sid"), F.col("group_sid").alias("sid")).join(mine, "user_sid", "left_semi")
+            .unionByName(mine.select("user_sid", F.col("user_sid").alias("sid")))
+            .unionByName(mine.select("user_sid", A.domain_users_sid(F.col("user_sid")).alias("sid")).dropna()))
+    return held.join(named, "sid", "left_semi").select("user_sid", "sid").distinct()
+
+
+def account_classes(users: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(user_sid, class): accounts with the same named identities share a class. One without any has the class "".
+
+    `tokens` are distinct (user_sid, sid). The identities are never gathered: their number and two 64-bit sums name a class.
+    """
+    sums = [F.hex(F.bit_xor(F.xxhash64(F.lit(seed), "sid"))) for seed in (1, 2)]
+    keyed = tokens.groupBy("user_sid").agg(F.concat_ws("-", F.count("*").cast("string"), *sums).alias("class"))
+    return users.select("user_sid").join(keyed, "user_sid", "left").select("user_sid", F.coalesce("class", F.lit("")).alias("class"))
+
+
+def class_tokens(tokens: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, sid): the identities of each class, read off one of its accounts."""
+    one = classes.filter("class <> ''").groupBy("class").agg(F.min("user_sid").alias("user_sid"))
+    return tokens.join(one, "user_sid").select("class", "sid")
+
+
+def evaluate_classes(tokens: DataFrame, classes: DataFrame, acls: DataFrame, as_files: bool = False) -> DataFrame:
+    """(class, acl_id, mask), sparse as `evaluate_tokens`: class NULL is what the baseline gets, also class "" and wherever a class has no row.
+
+    Rows grow with the classes, not with the accounts: if only a domain's users are named, all of a domain are one class.
+    """
+    asked = class_tokens(tokens, classes).withColumnRenamed("class", "user_sid")
+    return evaluate_tokens(asked, acls, as_files).withColumnRenamed("user_sid", "class")
+
+
 # ── Drift between the index and the file server ──────────────────────────────
 
 def live_access_drift(files: DataFrame, indexed_visible: DataFrame, live: DataFrame, token: A.Token) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..schema import PRINCIPAL_REFRESH_DAYS, WELL_KNOWN
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from .common import constant_table
 
 FIELDS = ["name", "display_name", "kind", "dn"]
@@ -81,27 +81,22 @@ def resolution_statistics(upserted: DataFrame, expansions: DataFrame) -> DataFra
             .select("resolved", "unknown", "groups_expanded", (F.col("lookup_errors") + F.col("failed")).alias("errors")))
 
 
-def transitive_members(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def transitive_members(edges: DataFrame) -> DataFrame:
     """(group_sid, member_sid) for every user a group holds at any depth; cycles are harmless.
 
-    Only group-in-group edges are iterated, and those are few next to users; the users join once
-    at the end. Each round is cut with a reliable checkpoint.
+    Only group-in-group edges are iterated, and those are few next to users; the users join once at the end. Every round joins the
+    relation with itself, so paths double and a chain of any depth is closed after the logarithm of its length. Each round is cut with a reliable checkpoint.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
     groups = edges.select("group_sid").distinct()
     nested = edges.join(groups.withColumnRenamed("group_sid", "member_sid"), "member_sid", "left_semi").select(
-        F.col("group_sid").alias("top"), F.col("member_sid").alias("inner")).distinct()
-    step = nested.select(F.col("top").alias("inner"), F.col("inner").alias("deeper"))
-    reached = groups.select(F.col("group_sid").alias("top"), F.col("group_sid").alias("inner"))
-    frontier = nested.join(reached, ["top", "inner"], "left_anti").checkpoint()
-    for _ in range(max_rounds):
-        if frontier.isEmpty():
-            break
-        reached = reached.union(frontier).checkpoint()
-        frontier = (frontier.join(step, "inner").select("top", F.col("deeper").alias("inner")).distinct()
-                    .join(reached, ["top", "inner"], "left_anti").checkpoint())
-    else:
-        raise RuntimeError(f"groups nest deeper than {max_rounds} levels")
+        F.col("group_sid").alias("top"), F.col("member_sid").alias("inner"))
+    itself = groups.select(F.col("group_sid").alias("top"), F.col("group_sid").alias("inner"))
+    reached = materialize(nested.union(itself).distinct())
+    known, before = reached.count(), 0
+    while known > before:
+        onward = reached.select(F.col("top").alias("inner"), F.col("inner").alias("deeper"))
+        reached = materialize(reached.join(onward, "inner").select("top", F.col("deeper").alias("inner")).distinct())
+        known, before = reached.count(), known
     direct = edges.join(groups.withColumnRenamed("group_sid", "member_sid"), "member_sid", "left_anti").select(
         F.col("group_sid").alias("inner"), "member_sid")
     return reached.join(direct, "inner").select(F.col("top").alias("group_sid"), "member_sid").distinct()

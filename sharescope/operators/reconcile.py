@@ -52,14 +52,16 @@ def _under(rows: DataFrame, roots: DataFrame, how: str) -> DataFrame:
 
 # ── Files ────────────────────────────────────────────────────────────────────
 
-def file_changes(listing: DataFrame, catalogue: DataFrame, unlisted: DataFrame | None = None) -> DataFrame:
+def file_changes(listing: DataFrame, catalogue: DataFrame, unlisted: DataFrame | None = None, accepted: bool = False) -> DataFrame:
     """added / updated / removed / unchanged per file.
 
     `catalogue`: (share_id, path, name, size, mtime, file_id), `path` being the folder's. `unlisted`:
-    (share_id, path) of folders whose listing failed; files at or below them are `unchanged`.
+    (share_id, path) of folders whose listing failed; files at or below them are `unchanged`. `accepted` says that
+    `accepted_entries` has been applied to the listing.
     """
+    entries = listing if accepted else accepted_entries(listing)
     times = ["ctime"] if "ctime" in listing.columns and "ctime" in catalogue.columns else []
-    seen = accepted_entries(listing).filter("NOT is_dir").select(
+    seen = entries.filter("NOT is_dir").select(
         *KEY, F.col("size").alias("new_size"), *[F.col(c).alias(f"new_{c}") for c in ("mtime", *times)], F.lit(True).alias("seen"))
     known = catalogue.select(*KEY, "file_id", "size", "mtime", *times, F.lit(True).alias("known"))
     kept = None
@@ -105,13 +107,14 @@ def next_documents(documents: DataFrame, changes: DataFrame) -> DataFrame:
 
 # ── Folders ──────────────────────────────────────────────────────────────────
 
-def folder_changes(listing: DataFrame, catalogue: DataFrame, unlisted: DataFrame | None = None) -> DataFrame:
+def folder_changes(listing: DataFrame, catalogue: DataFrame, unlisted: DataFrame | None = None, accepted: bool = False) -> DataFrame:
     """added / removed / unchanged per folder; a vanished folder takes its whole subtree along.
 
     `seen` is false for folders below one that could not be listed: nobody looked at them.
     """
     roots = catalogue.select("share_id").distinct().select("share_id", F.lit("").alias("path"))
-    seen = accepted_entries(listing).filter("is_dir").select(
+    entries = listing if accepted else accepted_entries(listing)
+    seen = entries.filter("is_dir").select(
         "share_id", P.child(F.col("path"), F.col("name")).alias("path")).union(roots).distinct()
     known = catalogue.select("share_id", "path")
     kept = None

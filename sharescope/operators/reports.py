@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import aces as A
 from ..functions import paths as P
 from ..functions import values as V
-from ..schema import (AGE_CLASSES, AGE_OLDER, AGE_UNKNOWN, DEEP_FOLDER_LIMIT, INHERIT_ONLY, INHERITED,
-                      LONG_PATH_LIMIT)
+from ..schema import (AGE_CLASSES, AGE_OLDER, AGE_UNKNOWN, DEEP_FOLDER_LIMIT, DOMAIN_USERS_RID, INHERIT_ONLY,
+                      INHERITED, LONG_PATH_LIMIT)
 from ..session import materialize
 from .common import constant_table
-from .permissions import evaluate_tokens
+from .permissions import account_classes, evaluate_classes, named_tokens
+
+# Columns of the permission grid that a row meets in one join key.
+GRID_PART = 1_000
 
 
 def page(df: DataFrame, order: list, limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -209,56 +212,59 @@ def grid_columns(folders: DataFrame, shares: DataFrame, acls: DataFrame, max_dep
         F.filter("aces", lambda a: ~A.has(a["flags"], INHERIT_ONLY)).alias("aces"))
 
 
+def grid_accounts(columns: DataFrame, principals: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of the grid, (section, sid): all domain users, accounts an ACL of the columns names or that are in a group it names, and unresolved identities."""
+    direct = columns.select(F.explode("aces.sid").alias("sid")).distinct()
+    kinds = direct.join(principals.select("sid", "kind"), "sid", "left")
+    groups = kinds.filter("kind = 'group'").select(F.col("sid").alias("group_sid"))
+    users = kinds.filter("kind = 'user'").select("sid").union(members.join(groups, "group_sid", "left_semi").select("member_sid")).distinct()
+    unknown = kinds.filter(F.col("kind").isNull() | (F.col("kind") == "unknown")).select("sid")
+    everyone = constant_table(columns, [(0, None)], ["section", "sid"]).select("section", F.col("sid").cast("string").alias("sid"))
+    return everyone.unionByName(users.select(F.lit(1).alias("section"), "sid")).unionByName(unknown.select(F.lit(2).alias("section"), "sid"))
+
+
+def grid_rows(columns: DataFrame, principals: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of the grid as people read them: (section, sid, name, display_name, kind)."""
+    rows = grid_accounts(columns, principals, members)
+    fixed = {"name": "All domain users", "display_name": "Everyone with a domain account", "kind": "everyone"}
+    everyone = rows.filter("section = 0").select("section", "sid", *[F.lit(v).alias(k) for k, v in fixed.items()])
+    return everyone.unionByName(describe(rows.filter("section > 0"), principals).select("section", "sid", "name", "display_name", "kind"))
+
+
 def permission_grid(folders: DataFrame, shares: DataFrame, acls: DataFrame, principals: DataFrame,
                     members: DataFrame, max_depth: int = 2, max_columns: int | None = None) -> DataFrame:
     """Effective access of every account that matters, in long form (one row per account and column).
 
-    All columns, or a page of the first `max_columns`. Masks are evaluated per
-    distinct ACL, and only where an entry names the account or one of its groups; the rest falls
-    back to what every account gets.
+    All columns, or a page of the first `max_columns`. Masks are evaluated per class of accounts and distinct ACL, and only where an entry names something the
+    class holds; the rest falls back to what every account gets. Accounts get their levels last.
     """
     # Read by every branch below: computed once.
     columns = materialize(grid_columns(folders, shares, acls, max_depth, max_columns))
-    width = max(1, columns.count())
+    parts = -(-columns.count() // GRID_PART) or 1
     used = columns.select("acl_id", "aces").dropDuplicates(["acl_id"])
-    direct = used.select(F.explode("aces.sid").alias("sid")).distinct()
-    kinds = direct.join(principals.select("sid", "kind"), "sid", "left")
-    named_users = kinds.filter("kind = 'user'").select(F.col("sid").alias("user_sid"))
-    groups = kinds.filter("kind = 'group'").select(F.col("sid").alias("group_sid"))
-    in_groups = members.join(groups, "group_sid", "left_semi").select(F.col("member_sid").alias("user_sid"))
-    users = named_users.union(in_groups).distinct()
-    unknown = kinds.filter(F.col("kind").isNull() | (F.col("kind") == "unknown")).select("sid")
-
-    # Tokens: members of the named groups, the account itself, its domain's primary group.
-    personal = (members.join(direct.select(F.col("sid").alias("group_sid")), "group_sid", "left_semi")
-                .select(F.col("member_sid").alias("user_sid"), F.col("group_sid").alias("sid"))
-                .unionByName(users.select("user_sid", F.col("user_sid").alias("sid")))
-                .unionByName(users.select("user_sid", A.domain_users_sid(F.col("user_sid")).alias("sid")).dropna())
-                .distinct())
-    masks = materialize(evaluate_tokens(personal, used))
-    fallback = masks.filter(F.col("user_sid").isNull()).select("acl_id", F.col("mask").alias("generic_mask"))
-    special = masks.filter(F.col("user_sid").isNotNull())
-
-    slots = columns.select("folder_id", "acl_id", "path").join(fallback, "acl_id")
-    # Number the columns, so accounts meet them by an equi-join on the number.
-    numbered = slots.withColumn("slot", F.row_number().over(Window.orderBy("folder_id")))
-    # Accounts get their names before they are multiplied by the columns.
-    rows = materialize(describe(users.select(F.lit(1).alias("section"), F.col("user_sid").alias("sid"))
-                                .unionByName(unknown.select(F.lit(2).alias("section"), "sid")), principals))
+    rows = materialize(grid_rows(columns, principals, members))
     account = ["section", "sid", "name", "display_name", "kind"]
-    cells = rows.select(*account, F.explode(F.sequence(F.lit(1), F.lit(width))).alias("slot"))
-    user_cells = (cells.filter("section = 1").join(numbered, "slot")
-                  .join(special.withColumnRenamed("user_sid", "sid"), ["sid", "acl_id"], "left")
-                  .select(*account, "folder_id", "path", F.coalesce("mask", "generic_mask").alias("mask")))
 
-    domain_groups = F.filter("aces.sid", lambda s: s.endswith("-513"))
-    everyone = columns.select(
-        F.lit(0).alias("section"), F.lit(None).cast("string").alias("sid"), F.lit("All domain users").alias("name"),
-        F.lit("Everyone with a domain account").alias("display_name"), F.lit("everyone").alias("kind"), "folder_id", "path",
-        A.effective_mask(F.col("aces"), F.concat(A.sid_array(A.baseline()), domain_groups)).alias("mask"))
+    users = rows.filter("section = 1").select(F.col("sid").alias("user_sid"))
+    tokens = materialize(named_tokens(users, members, used))
+    classes = materialize(account_classes(users, tokens))
+    masks = materialize(evaluate_classes(tokens, classes, used))
+    fallback = masks.filter(F.col("class").isNull()).select("acl_id", F.col("mask").alias("generic_mask"))
+    special = masks.filter(F.col("class").isNotNull())
+
+    # A row meets the columns by an equi-join on their parts; no column is numbered.
+    part = F.pmod(F.xxhash64("folder_id"), F.lit(parts)).alias("part")
+    slots = columns.select("folder_id", "acl_id", "path", part).join(fallback, "acl_id")
+    spread = lambda df: df.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    of_class = rows.filter("section = 1").join(classes.withColumnRenamed("user_sid", "sid"), "sid")
+    user_cells = (spread(of_class).join(slots, "part").join(special, ["class", "acl_id"], "left")
+                  .select(*account, "folder_id", "path", F.coalesce("mask", "generic_mask").alias("mask")))
 
-    with_aces = numbered.join(used.select("acl_id", "aces"), "acl_id")
-    unknown_cells = cells.filter("section = 2").join(with_aces, "slot").select(
+    domain_groups = F.filter("aces.sid", lambda s: s.endswith("-" + DOMAIN_USERS_RID))
+    with_aces = columns.select("folder_id", "path", "aces", part)
+    everyone = spread(rows.filter("section = 0")).join(with_aces, "part").select(
+        *account, "folder_id", "path", A.effective_mask(F.col("aces"), F.concat(A.sid_array(A.baseline()), domain_groups)).alias("mask"))
+    unknown_cells = spread(rows.filter("section = 2")).join(with_aces, "part").select(
         *account, "folder_id", "path", A.effective_mask(F.col("aces"), F.array("sid")).alias("mask"))
 
     named = user_cells.unionByName(everyone).unionByName(unknown_cells)

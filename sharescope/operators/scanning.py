@@ -27,13 +27,13 @@ def stable_id(*parts: Column) -> Column:
 
 
 def next_folders(folders: DataFrame, listing: DataFrame, unlisted: DataFrame) -> DataFrame:
-    """The folder table after a scan.
+    """The folder table after a scan. `listing` holds accepted entries (see `reconcile.accepted_entries`).
 
     `unlisted`: (share_id, path, message) of folders whose listing failed. These get the message, folders that were listed lose theirs, and what lies
     below an unlisted one stays as it was, marker included. Vanished folders go with all they hold; new ones have an id, but no ACL until it is read.
     """
-    changes = C.folder_changes(listing, folders, unlisted).filter("change <> 'removed'")
-    times = C.accepted_entries(listing).filter("is_dir").select("share_id", P.child(F.col("path"), F.col("name")).alias("path"), F.col("mtime").alias("new_mtime"))
+    changes = C.folder_changes(listing, folders, unlisted, True).filter("change <> 'removed'")
+    times = listing.filter("is_dir").select("share_id", P.child(F.col("path"), F.col("name")).alias("path"), F.col("mtime").alias("new_mtime"))
     times = times.groupBy(*PLACE).agg(F.max("new_mtime").alias("new_mtime"))
     held = ["folder_id", "acl_id", "owner_sid", "mtime", "acl_error", "list_error"]
     old = folders.select(*PLACE, *[c if c in folders.columns else F.lit(None).cast("timestamp_ntz").alias(c) for c in held])
@@ -71,8 +71,10 @@ def scan(state: dict[str, DataFrame], listing: DataFrame, unlisted: DataFrame, a
     `state`: the tables before it. `decoded` are the descriptors the scan read, as `reconcile.refresh_permissions` takes them.
     """
     files = state["files"]
-    changes = materialize(C.file_changes(listing, files, unlisted))
-    folders = next_folders(state["folders"], listing, unlisted)
+    # Both are read by several tables: computed once.
+    entries, blind = materialize(C.accepted_entries(listing)), materialize(unlisted)
+    changes = materialize(C.file_changes(entries, files, blind, True))
+    folders = next_folders(state["folders"], entries, blind)
     return {"folders": folders if decoded is None else C.refresh_permissions(folders, decoded), "files": next_files(files, changes, as_of),
             "documents": C.next_documents(state["documents"], changes), "changes": changes}
 

@@ -19,6 +19,7 @@ from ..functions import values as V
 from ..functions.stemming import lexeme
 from ..functions.text import FOLD_FROM, FOLD_TO, NOT_WORD, SPACE, fold, words
 from ..schema import COUNT_CAP
+from ..session import materialize
 from .common import constant_table, top_per_group
 from .indexing import CONFIG_FIELDS, POSTING_BUCKETS, WEIGHTS
 from .permissions import visible_files
@@ -282,6 +283,8 @@ def by_covers(library: Library, matched: DataFrame, queries: list[Query], stemme
     """
     if all(len(clause) == 1 and len(clause[0]) == 1 for q in queries for clause in q.clauses):
         return matched
+    # Read twice, for the words before a file's content and for the result: computed once.
+    matched = materialize(matched)
     files = matched.select("file_id", "name", "share", "folder_path").dropDuplicates(["file_id"])
     scores = cover_scores(posting_hits(library, queries, stemmed), word_counts(files), asked_rows(queries, stemmed))
     return matched.drop("score").join(scores, ["query_no", "file_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from ..functions import values as V
 from ..operators import audit as U
 from ..operators import principals as PR
 from ..sources.derived import Estate
-from ..streaming.throttle import throttle_batch
+from ..session import shared_folder
+from ..streaming.audit_log import append_audit_stream
+from ..streaming.throttle import throttle_batch, throttle_stream
 from . import base_sql as S
 from ..schema import WELL_KNOWN
 from .registry import query
@@ -98,6 +102,22 @@ def transitive_members(e: Estate) -> DataFrame:
     return PR.transitive_members(e.edges)
 
 
+def nested_groups(e: Estate) -> DataFrame:
+    """Chains of 200 groups, each in the one before it, closed to a ring every third time; every tenth group of a chain, the last included, holds an account."""
+    key, at = F.col("c_custkey"), F.col("at")
+    links = e.table("customer").filter("c_custkey % 50 = 0").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("at"))
+    name = lambda n: F.concat(F.lit("C"), key, F.lit("-"), n)
+    down = links.filter((at < 199) | (key % 3 == 0)).select(name(at).alias("group_sid"), name((at + 1) % 200).alias("member_sid"))
+    return down.unionByName(links.filter("at % 10 = 9").select(name(at).alias("group_sid"), F.concat(F.lit("U"), key + at).alias("member_sid")))
+
+
+@query("P6 J12", """WITH c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 50 = 0), g AS (SELECT k, unnest(range(200)) AS at FROM c), u AS (SELECT k, unnest(range(9, 200, 10)) AS at FROM c)
+    SELECT 'C' || g.k || '-' || g.at AS group_sid, 'U' || (u.k + u.at) AS member_sid FROM g JOIN u ON u.k = g.k AND (u.at >= g.at OR g.k % 3 = 0)""")
+def deep_members(e: Estate) -> DataFrame:
+    """Groups nested two hundred deep."""
+    return PR.transitive_members(nested_groups(e))
+
+
 @query("P7", f"""SELECT CAST(count_if(outcome = 'resolved') AS BIGINT) AS resolved, CAST(count_if(outcome = 'unknown') AS BIGINT) AS "unknown",
     (SELECT count(*) FROM est_principals WHERE kind = 'group' AND CAST(right(sid, 1) AS INT) % 2 = 0) AS groups_expanded,
     CAST(count_if(outcome = 'error') + (SELECT count(*) FROM est_principals WHERE kind = 'group' AND CAST(right(sid, 1) AS INT) % 2 = 1) AS BIGINT) AS errors FROM ({_UPSERT})""")
@@ -192,3 +212,34 @@ def sign_in_throttle(e: Estate) -> DataFrame:
         (F.col("event_type") == "signup").alias("ok"))
     return throttle_batch(attempts).select("attempt_id", "username", "outcome", "retry_seconds", F.when(
         F.col("retry_seconds").isNotNull(), V.retry_minutes(F.col("retry_seconds"))).alias("retry_minutes"))
+
+
+def _attempts(e: Estate) -> DataFrame:
+    return e.table("events").filter("event_type IN ('error', 'signup')").select(
+        F.col("event_id").alias("attempt_id"), F.expr("concat('user', user_id % 6)").alias("username"), F.col("ts").alias("at"), (F.col("event_type") == "signup").alias("ok"))
+
+
+@query("T6 T7", _GATE)
+def sign_in_throttle_stream(e: Estate) -> DataFrame:
+    """The same attempts as a stream, in two arrivals: what is remembered of an account carries over."""
+    folder = f"{shared_folder(e.spark)}/throttle-{uuid.uuid4().hex}"
+    e.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = _attempts(e).withColumn("at", F.col("at").cast("timestamp"))
+    middle = rows.agg(F.percentile_approx("at", 0.5)).first()[0]
+    for early in (True, False):
+        rows.filter(F.coalesce((F.col("at") < F.lit(middle)) == F.lit(early), F.lit(early))).write.mode("append").parquet(f"{folder}/in")
+        stream = e.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        throttle_stream(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/mark").trigger(availableNow=True).start().awaitTermination()
+    out = e.spark.read.schema("attempt_id bigint, username string, outcome string, retry_seconds bigint").parquet(f"{folder}/out")
+    return out.select("attempt_id", "username", "outcome", "retry_seconds", F.when(F.col("retry_seconds").isNotNull(), V.retry_minutes(F.col("retry_seconds"))).alias("retry_minutes"))
+
+
+@query("S8", """SELECT event_id, username, action, CAST("at" AS VARCHAR) AS "at", CAST(CAST("at" AS DATE) AS VARCHAR) AS day FROM est_audit""")
+def audit_stream(e: Estate) -> DataFrame:
+    """Audit events that arrive as files, appended by a stream and read back by day."""
+    folder = f"{shared_folder(e.spark)}/audit-stream-{uuid.uuid4().hex}"
+    events = e.audit.select("event_id", "at", "username", "action")
+    for part in (0, 1):
+        events.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{folder}/in")
+        append_audit_stream(e.spark.readStream.schema(events.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/mark").awaitTermination()
+    return e.spark.read.parquet(f"{folder}/out").select("event_id", "username", "action", F.col("at").cast("string").alias("at"), F.col("day").cast("string").alias("day"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import aces as A
 from ..operators import permissions as X
 from ..operators import reports as R
+from ..operators.common import numbered
+from ..session import materialize
 from ..sources import descriptors as DS
 from ..sources.derived import Estate
 from . import base_sql as S
@@ -152,6 +154,64 @@ def many_tokens(e: Estate) -> DataFrame:
     return X.evaluate_tokens(X.user_tokens(users, e.members, e.acl_entries), e.acls)
 
 
+def domain_estate(e: Estate) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Accounts of three domains from customers, their groups from nations, and an ACL for every supplier; some name only a domain's users."""
+    domain = lambda key: F.concat(F.lit("S-1-5-21-10-20-"), (key % 3).cast("string"), F.lit("-"))
+    customer = e.table("customer")
+    user = F.concat(domain(F.col("c_custkey")), (1000 + F.col("c_custkey")).cast("string"))
+    group = lambda key: F.concat(F.lit("G"), (2000 + key).cast("string"))
+    users = customer.select(user.alias("user_sid"))
+    members = customer.filter("c_custkey % 2 = 0").select(group(F.col("c_nationkey")).alias("group_sid"), user.alias("member_sid"))
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    entry = lambda at, sid, kind, mask: F.struct(F.lit(at).alias("position"), sid.alias("sid"), kind.alias("ace_type"), F.lit(mask).cast("long").alias("mask"), F.lit(3).alias("flags"))
+    acls = e.table("supplier").select(key.cast("int").alias("acl_id"), F.array_compact(F.array(
+        F.when(key % 4 == 0, entry(0, group(nation), F.lit("deny"), 2)), F.when(key % 5 == 0, entry(1, F.concat(domain(key), (1000 + key).cast("string")), F.lit("allow"), 2032127)),
+        F.when(key % 6 != 0, entry(2, F.concat(domain(key), F.lit("513")), F.lit("allow"), 1179785)), F.when(key % 7 == 0, entry(3, F.lit("S-1-1-0"), F.lit("allow"), 131241)))).alias("aces"))
+    # Stored, as a catalogue's ACLs are: evaluation reads the entries many times.
+    return users, members, materialize(acls)
+
+
+_USER = "'S-1-5-21-10-20-' || (c_custkey % 3) || '-' || (1000 + c_custkey)"
+_DOMAINS = f"""WITH ent AS (SELECT * FROM (SELECT s_suppkey::INT AS acl_id, 0 AS position, 'G' || (2000 + s_nationkey) AS sid, 'deny' AS ace_type, 2::BIGINT AS mask, 3 AS flags FROM supplier WHERE s_suppkey % 4 = 0
+    UNION ALL SELECT s_suppkey::INT, 1, 'S-1-5-21-10-20-' || (s_suppkey % 3) || '-' || (1000 + s_suppkey), 'allow', 2032127, 3 FROM supplier WHERE s_suppkey % 5 = 0
+    UNION ALL SELECT s_suppkey::INT, 2, 'S-1-5-21-10-20-' || (s_suppkey % 3) || '-513', 'allow', 1179785, 3 FROM supplier WHERE s_suppkey % 6 <> 0
+    UNION ALL SELECT s_suppkey::INT, 3, 'S-1-1-0', 'allow', 131241, 3 FROM supplier WHERE s_suppkey % 7 = 0)),
+    tok AS (SELECT {_USER} AS who, {_USER} AS sid FROM customer UNION SELECT {_USER}, 'S-1-5-21-10-20-' || (c_custkey % 3) || '-513' FROM customer
+        UNION SELECT {_USER}, 'G' || (2000 + c_nationkey) FROM customer WHERE c_custkey % 2 = 0),
+    named AS (SELECT who, sid FROM tok WHERE sid IN (SELECT sid FROM ent) AND sid NOT IN {S.sids(S.BASELINE)}),
+    lab AS (SELECT who, coalesce(string_agg(sid, ' ' ORDER BY sid), '') AS label FROM (SELECT DISTINCT {_USER} AS who FROM customer) LEFT JOIN named USING (who) GROUP BY who)"""
+
+
+def _labels(tokens: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, label): the identities of a class, spelt out."""
+    held = X.class_tokens(tokens, classes).groupBy("class").agg(F.array_join(F.sort_array(F.collect_list("sid")), " ").alias("label"))
+    return classes.select("class").distinct().join(held, "class", "left").select("class", F.coalesce("label", F.lit("")).alias("label"))
+
+
+@query("A11 A17", f"{_DOMAINS} SELECT who AS user_sid, label FROM lab")
+def account_classes(e: Estate) -> DataFrame:
+    """Which class every account is of; a class is named here by what it holds."""
+    users, members, acls = domain_estate(e)
+    tokens = X.named_tokens(users, members, acls)
+    classes = X.account_classes(users, tokens)
+    return classes.join(_labels(tokens, classes), "class").select("user_sid", "label")
+
+
+@query("A17", f"""{_DOMAINS}, one AS (SELECT label, min(who) AS who FROM lab GROUP BY label), base AS (SELECT b.sid, o.label FROM one o, (VALUES {S.values([(s,) for s in S.BASELINE])}) b(sid)),
+    held AS (SELECT o.label, e.* FROM one o JOIN named n USING (who) JOIN ent e USING (sid) UNION ALL SELECT b.label, e.* FROM base b JOIN ent e USING (sid)),
+    m AS ({S.masks('held', 'label, acl_id')}), n AS (SELECT label, count(*) AS accounts FROM lab GROUP BY label)
+    SELECT label, accounts, a.acl_id, coalesce(m.mask, 0) AS mask FROM one JOIN n USING (label) CROSS JOIN (SELECT s_suppkey::INT AS acl_id FROM supplier) a LEFT JOIN m USING (label, acl_id)
+    WHERE EXISTS (SELECT 1 FROM named x JOIN ent y USING (sid) WHERE x.who = one.who AND y.acl_id = a.acl_id)""")
+def class_masks(e: Estate) -> DataFrame:
+    """Masks of classes where an ACL names something they hold; all accounts of a domain are one class unless more is named."""
+    users, members, acls = domain_estate(e)
+    tokens = X.named_tokens(users, members, acls)
+    classes = X.account_classes(users, tokens)
+    sizes = classes.groupBy("class").agg(F.count("*").alias("accounts"))
+    masks = X.evaluate_classes(tokens, classes, acls).filter("class IS NOT NULL")
+    return masks.join(_labels(tokens, classes), "class").join(sizes, "class").select("label", "accounts", "acl_id", "mask")
+
+
 # ── Drift and rules ──────────────────────────────────────────────────────────
 
 @query("A15", f"""SELECT f.file_id, f.file_id IN (SELECT file_id FROM visible) AS indexed_visible,
@@ -275,6 +335,14 @@ def grid_row_order(e: Estate) -> DataFrame:
     return rows.select("section", "sid", "name", F.coalesce("display_name", "name").alias("shown")).distinct()
 
 
+@query("G11", f"""SELECT section, sid, name, shown, row_number() OVER (ORDER BY section, CASE WHEN section = 1 THEN lower(shown) END NULLS LAST, sid NULLS FIRST) AS position
+    FROM (SELECT DISTINCT section, sid, name, coalesce(display_name, name) AS shown FROM ({_GRID.replace(" LIMIT 60)", ")")}))""")
+def grid_row_positions(e: Estate) -> DataFrame:
+    """Every row of the whole grid with its place in the order people read it in."""
+    columns = R.grid_columns(e.folders, e.shares, e.acls, 2, None)
+    return numbered(R.grid_rows(columns, e.principals, e.members), R.grid_order()[:-1]).select("section", "sid", "name", F.coalesce("display_name", "name").alias("shown"), "position")
+
+
 @query("G13", rf"""WITH g AS (SELECT * FROM ({_GRID})) SELECT section, sid, coalesce(display_name, name) AS user, name AS account, kind,
     max(level) FILTER (path = '\\fs01\src0') AS "\\fs01\src0", max(level) FILTER (path = '\\fs01\src1') AS "\\fs01\src1", max(level) FILTER (path = '\\fs01\src1\en') AS "\\fs01\src1\en" FROM g GROUP BY ALL""")
 def permission_grid_wide(e: Estate) -> DataFrame:

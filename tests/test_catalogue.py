@@ -207,3 +207,84 @@ def test_directory_outage_changes_nothing(spark):
     got = {r.sid: r for r in PR.upsert(known, due, answers, none, "2024-01-01 00:00:00").collect()}
     assert (got["G"].kind, got["G"].resolved_at, got["G"].outcome) == ("group", None, "error")
     assert (got["X"].kind, got["X"].name, got["X"].outcome) == ("unknown", "gone", "unknown") and got["X"].resolved_at is not None
+
+
+def test_scans_follow_each_other_in_a_store(spark, tmp_path):
+    from sharescope.operators import scanning as SC
+    from sharescope.sources.versions import Change, Conflict, Store
+    from tests.fixtures import files_of, folders_of
+    store = Store(spark, str(tmp_path / "catalogue"))
+    files = files_of(spark, [(1, "", "readme.txt"), (2, "Budget", "2025.xlsx"), (3, "Budget/Old", "2019.xlsx")]).withColumns({
+        "path": F.regexp_replace("folder_id", "^1:", ""), "ctime": F.col("mtime"), "quick_hash": F.lit("q"), "content_hash": F.lit("c"), "indexed_at": F.lit(None).cast("timestamp_ntz")})
+    folders = folders_of(spark, [("", "a"), ("Budget", "a"), ("Budget/Old", "a", "Access denied")]).withColumns({"owner_sid": F.lit("o"), "mtime": F.lit(None).cast("timestamp_ntz")})
+    documents = frame(spark, [(1, i, "text") for i in (1, 2, 3)], "share_id int, file_id bigint, status string")
+    assert SC.start_catalogue(store, {"folders": folders, "files": files, "documents": documents}) == 1
+
+    def entries(*rows):
+        data = [(1, p, n, d, s, None, False) for p, n, d, s in rows]
+        return frame(spark, data, LISTING).withColumn("mtime", F.when(F.col("name") == "readme.txt", F.expr("TIMESTAMP_NTZ '2024-01-02 00:00:00.5'")).when(
+            F.col("name") == "2025.xlsx", F.expr("TIMESTAMP_NTZ '2024-01-03 00:00:00'"))).withColumn("ctime", F.col("mtime"))
+
+    def failed(*rows):
+        return frame(spark, [(1, p, m) for p, m in rows], "share_id int, path string, message string")
+
+    tree = [("", "readme.txt", False, 101), ("", "Budget", True, 0), ("Budget", "2025.xlsx", False, 102)]
+    SC.scan_into(store, entries(*tree), failed(("Budget", "x" * 900)), "2024-02-01 00:00:00")
+    left = {r.path: r.list_error for r in store.read("folders").collect()}
+    assert left == {"": None, "Budget": "x" * 500, "Budget/Old": "Access denied"} and store.read("files").count() == 3
+    # Nothing changed but half a second: the time that was stored stays.
+    assert {r.file_id: str(r.mtime) for r in store.read("files").collect()}[1] == "2024-01-02 00:00:00"
+    changes = SC.scan_into(store, entries(("", "readme.txt", False, 5), *tree[1:], ("Budget", "new.docx", False, 9)), failed(), "2024-02-02 00:00:00")
+    assert tally(changes) == {"updated": 1, "unchanged": 1, "added": 1, "removed": 1}
+    assert {r.path: r.list_error for r in store.read("folders").collect()} == {"": None, "Budget": None}
+    now = {r.name: r for r in store.read("files").collect()}
+    assert set(now) == {"readme.txt", "2025.xlsx", "new.docx"} and now["readme.txt"].quick_hash is None and now["2025.xlsx"].quick_hash == "q"
+    assert now["new.docx"].file_id > 3 and now["new.docx"].folder_id == "1:Budget"
+    assert {r.file_id: r.status for r in store.read("documents").collect()} == {1: "pending", 2: "text"}
+    # Older versions stay until they are removed, and two writes of the same version can't both succeed.
+    assert store.read("files", 1).count() == 3 and store.manifest().version == 3
+    with pytest.raises(Conflict):
+        store.commit({"folders": Change(folders, "share_id")}, store.manifest(2))
+    assert store.vacuum() > 0 and store.read("files").count() == 3
+    with pytest.raises(LookupError):
+        store.read("files", 1)
+    assert Store(spark, str(tmp_path / "none")).manifest().version == 0 and Store(spark, str(tmp_path / "none")).vacuum() == 0
+
+
+def test_index_follows_changes_and_compacts_single_buckets(spark, tmp_path):
+    from sharescope.operators import liveindex as LI
+    from sharescope.sources.versions import Store
+    from tests.fixtures import files_of, folders_of
+    shares, folders = shares_of(spark), folders_of(spark, [("", None), ("Old", None)])
+    texts = {1: "red blue", 2: "blue green", 3: "white"}
+    documents = lambda t: frame(spark, list(t.items()), "file_id bigint, content string")
+    key = lambda df: sorted(tuple(r) for r in df.select("word", "file_id", "field", "pos").collect())
+    store, files = Store(spark, str(tmp_path / "index")), files_of(spark, [(1, "", "a.txt"), (2, "Old", "b.txt"), (3, "", "c.txt")])
+    LI.start_index(store, files, folders, shares, documents(texts), buckets=4)
+    gone = frame(spark, [(3,)], "file_id bigint")
+    moved = files_of(spark, [(1, "Old", "a.txt"), (4, "", "d.txt")])
+    LI.update_index(store, gone, moved, documents({2: "green red red", 4: "black"}), folders, shares, buckets=4)
+    after = files_of(spark, [(1, "Old", "a.txt"), (2, "Old", "b.txt"), (4, "", "d.txt")])
+    want = key(I.postings(after, folders, shares, documents({1: "red blue", 2: "green red red", 4: "black"}), 4))
+    assert key(LI.live_postings(store)) == want
+    before = {p for p in store.manifest().parts if p[0] == "postings"}
+    crowded = LI.crowded_buckets(store, 1)
+    assert crowded
+    LI.compact_index(store, crowded[:1])
+    kept = {p for p in store.manifest().parts if p[0] == "postings"}
+    assert {p[1] for p in before - kept} == {p[1] for p in kept - before} == {str(crowded[0])}
+    assert key(LI.live_postings(store)) == want and store.read("gone").count() > 0
+    LI.compact_index(store, [0, 1, 2, 3])
+    assert key(LI.live_postings(store)) == want and store.read("gone").count() == 0
+    # A file that comes back under its old number is found by its new words only.
+    LI.update_index(store, frame(spark, [], "file_id bigint"), files_of(spark, [(3, "", "c.txt")]), documents({3: "pink"}), folders, shares, buckets=4)
+    words = {r.word for r in LI.live_postings(store).filter("file_id = 3").collect()}
+    assert words == {"c", "txt", "docs", "pink"}
+
+
+def test_rows_are_numbered_in_order(spark):
+    from sharescope.operators.common import numbered
+    rows = frame(spark, [(i, None if i % 7 == 0 else i * 37 % 11) for i in range(200)], "i int, k int")
+    got = {r.i: r.position for r in numbered(rows.repartition(5), [F.col("k").desc_nulls_last(), F.asc("i")]).collect()}
+    order = sorted(range(200), key=lambda i: (i % 7 == 0, 0 if i % 7 == 0 else -(i * 37 % 11), i))
+    assert [got[i] for i in order] == list(range(1, 201))
