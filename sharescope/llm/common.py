@@ -41,6 +41,25 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df if len(keep) == len(df.columns) else df.select(*[quoted(c) for c in keep])
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with its columns of these names, whatever their case, under names nothing else has, and what each column is called now."""
+    private, used = {n.lower() for n in names}, {c.lower() for c in df.columns}
+    called = {}
+    for c in df.columns:
+        new = c
+        while new.lower() in private or (new != c and new.lower() in used):
+            new = f"_{new}"
+        used.add(new.lower())
+        called[c] = new
+    return (df.toDF(*called.values()) if any(a != b for a, b in called.items()) else df), called
+
+
+def given_back(df: DataFrame, called: dict[str, str]) -> DataFrame:
+    """`df` with its columns called as they were before `set_aside`."""
+    names = {new: old for old, new in called.items()}
+    return df.toDF(*[names.get(c, c) for c in df.columns]) if any(names.get(c, c) != c for c in df.columns) else df
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

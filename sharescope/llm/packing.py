@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import long_field, slices, store, without
+from .common import given_back, long_field, quoted, set_aside, slices, store
 from .tokenizing import encoder
 from .words import split_words
 
@@ -105,11 +105,13 @@ def pack(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None
 
     A null or empty text is a document of the end id alone. Repeated rows are packed each. Sequence numbers are unique
     and, within a sequence, offsets run from 0 without gaps. An empty table gives no pieces. The groups are as many as keep the
-    mean group at `group_rows` rests or fewer, whatever the size of the input.
+    mean group at `group_rows` rests or fewer, whatever the size of the input. Columns of `docs` named like a result are replaced; all others, of any name, are kept.
     """
-    keep = docs.columns if keep is None else keep
-    docs = docs.select(text, *[c for c in keep if c != text])
-    cut = store(without(pieces(docs, path, text, keep, size), ["sequence_id", "offset", "group"]))
+    results = {*PIECE, "sequence_id", "offset"}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results]
+    docs, called = set_aside(docs.select(*[quoted(c) for c in dict.fromkeys([text, *keep])]), [*results, "group"])
+    text, keep = called[text], [called[c] for c in keep]
+    cut = store(pieces(docs, path, text, keep, size))
     groups = max(1, -(-cut.filter(F.col("length") < size).count() // group_rows))
     # By the row's place in the stored table, which stays as it is, so that equal rows are dealt apart too.
     rest = cut.filter(F.col("length") < size).withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
@@ -126,7 +128,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None
     # A whole sequence needs no other piece: negative numbers, so that they meet no group's.
     whole = cut.filter(F.col("length") == size).withColumns({
         "sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    return packed.unionByName(whole)
+    return given_back(packed.unionByName(whole), {old: new for old, new in called.items() if new in keep})
 
 
 def packing_digest(docs: DataFrame, path: str) -> DataFrame:

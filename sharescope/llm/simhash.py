@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import long_field, quoted, shuffle_width, slices, store, without
+from .common import given_back, long_field, quoted, set_aside, shuffle_width, slices, store, without
 from .components import components
 from .golay import decode, nearby
 from .words import split_words
@@ -253,11 +253,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
-    """The row with the smallest id of every component; of repeated rows one stays, and ids come before nulls."""
+    """The row with the smallest id of every component; of repeated rows one stays, and ids come before nulls.
+
+    Columns of any name keep their values.
+    """
+    docs, called = set_aside(docs, ["fingerprint", "_row", "_id", "root", "component_id"])
+    text, doc_id = called[text], called[doc_id]
     marked = store(fingerprinted(docs.withColumn("_row", F.monotonically_increasing_id()), text))
     rows = marked.select("fingerprint", F.col(doc_id).alias("_id"), "_row").join(named(marked, doc_id, distance), "fingerprint")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
-    return marked.join(first, "_row", "left_semi").select(*[quoted(c) for c in docs.columns])
+    return given_back(marked.join(first, "_row", "left_semi").select(*[quoted(c) for c in docs.columns]), called)
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:

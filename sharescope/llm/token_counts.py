@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import long_field, shuffle_width, slices, store, without
+from .common import given_back, long_field, set_aside, shuffle_width, slices, store, without
 from .tokenizing import encoder, flat_bytes, pieces_between, stable_cuts
 
 CHUNK = 1 << 15
@@ -77,9 +77,9 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: list[str]
     A null or empty text has 0 of either. Special strings inside a text are one token, the library's default. Repeated rows
     are counted each. Columns of `docs` named like a result are replaced.
     """
-    docs = without(docs, ["n_bytes", "n_tokens"])
-    names = docs.columns
-    kept = [names.index(c) for c in (names if keep is None else keep)]
+    docs, called = set_aside(without(docs, [c for c in ("n_bytes", "n_tokens") if c != text]), ["n_bytes", "n_tokens", "tokens", "_row", "_whole"])
+    kept = [list(called).index(c) for c in (called if keep is None else keep)]
+    names, text = docs.columns, called[text]
     shape = T.StructType([*(docs.schema.fields[i] for i in kept), long_field("n_bytes"), long_field("n_tokens"), long_field("_row"), T.StructField("_whole", T.BinaryType())])
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,9 +114,9 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: list[str]
         open_ = open_.join(found.filter(F.col("tokens").isNull()).select("_row"), "_row", "left_semi")
         wide *= 8
     if counted is None:
-        return results
+        return given_back(results, called)
     extra = long.drop("n_tokens", "_whole").join(counted, "_row").drop("_row").withColumnRenamed("tokens", "n_tokens")
-    return results.unionByName(extra)
+    return given_back(results.unionByName(extra), called)
 
 
 def _spliced(open_: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, without
+from .common import given_back, set_aside, store, without
 
 BLOCKS, WORDS = 1 << 12, 8
 LENGTHS = 1 << 10
@@ -98,7 +98,8 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", default: str =
     gets `default`. Repeated URLs are judged once, repeated rules count once (the last verdict in order of text holds).
     Columns of `pages` named like a result are replaced.
     """
-    pages = without(pages, [c for c in ("host", "path", "rule", "verdict") if c != url])
+    pages, called = set_aside(without(pages, [c for c in ("host", "path", "rule", "verdict") if c != url]), ["host", "path", "rule", "verdict", "_url"])
+    url, replaced = called[url], url.lower() in ("host", "path", "rule", "verdict")
     listed = listed.dropna().groupBy(F.concat("host", "path").alias("key"), "path").agg(F.max("verdict").alias("verdict"))
     listed = store(listed)
     words, lengths = bloom(listed)
@@ -107,5 +108,6 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", default: str =
     best = hits.groupBy("url").agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("best"))
     best = best.select(F.col("url").alias("_url"), F.col("best.key").alias("rule"), F.col("best.verdict").alias("verdict"))
     host, path = host_and_path(F.col(url))
-    return (pages.withColumns({"host": host, "path": path}).join(best, F.col(url) == F.col("_url"), "left").drop("_url")
-            .withColumn("verdict", F.coalesce("verdict", F.lit(default))))
+    judged = (pages.withColumns({"host": host, "path": path}).join(best, F.col(url) == F.col("_url"), "left").drop("_url")
+              .withColumn("verdict", F.coalesce("verdict", F.lit(default))))
+    return given_back(judged.drop(url) if replaced else judged, called)

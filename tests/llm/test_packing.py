@@ -51,3 +51,13 @@ def test_many_groups_clashes_and_empty(spark):
         ends[p["sequence_id"]] += p["length"]
     assert max(ends.values()) <= 16 and len({p["sequence_id"] >> 32 for p in got if p["sequence_id"] >= 0}) > 1
     assert packing_digest(frame(spark, []), PATH).collect() == []
+
+
+def test_columns_named_like_results_are_replaced_and_others_kept(spark):
+    plain = pack(frame(spark, awkward()), PATH, size=16, group_rows=5)
+    docs = with_clashes(frame(spark, awkward()), "Length", "start", "ids_crc32", "doc_tokens", "sequence_id", "offset", "group", "_group")
+    got = pack(docs, PATH, size=16, group_rows=5)
+    assert sorted(got.columns) == sorted([*plain.columns, "group", "_group", "extra one"])
+    assert {(r["group"], r["_group"], r["extra one"]) for r in got.collect()} == {("mine", "mine", 1)}
+    key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert sorted(map(str, got.select(key).collect())) == sorted(map(str, plain.select(key).collect()))

@@ -4,6 +4,7 @@ import hashlib
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from sharescope.llm import warc
 from sharescope.llm.url_filter import bloom, judge
@@ -26,10 +27,15 @@ def judged(url):
 
 
 def test_urls_are_judged_as_rules_say(spark):
-    pages = with_clashes(spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string"), "rule", "key")
+    pages = with_clashes(spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string"), "rule", "key", "_url", "__url")
     listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judge(pages, listed).collect()}
     assert got == {i: judged(u) for i, u in enumerate(URLS)}
+    assert {(r["key"], r["_url"], r["__url"]) for r in judge(pages, listed).collect()} == {("mine",) * 3}
+    swapped = judge(pages.select("page_id", "url").withColumnRenamed("url", "_url"), listed, "_url").collect()
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in swapped} == got and swapped[0]["_url"] is not None
+    hosts = judge(pages.select("page_id", F.col("url").alias("host")), listed, "host")
+    assert hosts.columns.count("host") == 1 and {r["page_id"]: r["verdict"] for r in hosts.collect()} == {i: v[3] for i, v in got.items()}
     assert {r["verdict"] for r in judge(pages, listed.limit(0)).collect()} == {"allow"} and judge(pages.limit(0), listed).collect() == []
 
 

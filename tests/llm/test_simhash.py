@@ -89,7 +89,8 @@ def test_chains_are_followed(spark):
 def test_one_stays_clashes_and_empty(spark):
     rows = awkward()
     docs = with_clashes(frame(spark, rows), "fingerprint")
-    kept = one_of_each(docs.drop("fingerprint")).collect()
+    kept = one_of_each(with_clashes(docs, "_row", "_fingerprint", "root", "component_id")).collect()
+    assert {(r["fingerprint"], r["_row"], r["_fingerprint"], r["root"], r["component_id"]) for r in kept} == {("mine",) * 5}
     part = brute_parts({fingerprint(r[1]) for r in rows})
     assert sorted(part[fingerprint(r["text"])] for r in kept) == sorted(set(part.values()))
     assert near_duplicates(docs).count() == len(rows)

@@ -22,8 +22,10 @@ def test_same_as_library(spark):
 @pytest.mark.parametrize("chunk,overlap", [(64, 16), (300, 8), (1000, 200)])
 def test_splices_at_any_chunk_size(spark, chunk, overlap):
     texts = [prose(1, 400), "x" * 700, ("日本語" * 100 + " ") * 5, " " * 400 + "end", "a <|endoftext|> " * 60, "don't   stop\n\n\n" * 50, "word" * 90 + " " + "12 345 " * 80]
-    docs = with_clashes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "n_tokens")
-    got = {r["doc_id"]: r["n_tokens"] for r in count_tokens(docs, PATH, chunk=chunk, overlap=overlap).collect()}
+    docs = with_clashes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "n_tokens", "_row", "_whole", "tokens")
+    rows = count_tokens(docs, PATH, chunk=chunk, overlap=overlap).collect()
+    assert {(r["_row"], r["_whole"], r["tokens"]) for r in rows} == {("mine",) * 3}
+    got = {r["doc_id"]: r["n_tokens"] for r in rows}
     assert got == {i: tokens(t) for i, t in enumerate(texts)}
 
 
