@@ -50,6 +50,15 @@ def update_index(store: Store, gone: DataFrame, titled: DataFrame, read: DataFra
                          "gone": Change(dead.withColumn("round", F.lit(number).cast("long")), replaces="nothing")}, base)
 
 
+def rename_in_index(store: Store, files: DataFrame, folders: DataFrame, shares: DataFrame, buckets: int = POSTING_BUCKETS) -> int:
+    """Add a round after a share got a new name: the places of its `files` (rows of the file table) anew. Nothing stored is read, names and contents stay."""
+    base = store.manifest()
+    number = base.version + 1
+    rows = title_postings(files, folders, shares, files.select("file_id")).filter("field = 'B'")
+    dead = files.select("file_id", F.lit("B").alias("field"), F.lit(number).cast("long").alias("round"))
+    return store.commit({"postings": Change(_laid_out(rows, number, buckets), "bucket", "nothing", ORDER), "gone": Change(dead, replaces="nothing")}, base)
+
+
 def live_postings(store: Store, version: int | None = None, values: list[int] | None = None) -> DataFrame:
     """(word, file_id, field, pos, bucket) that are in force, of all buckets or of some."""
     at = store.manifest(version).version

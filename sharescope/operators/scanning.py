@@ -71,10 +71,10 @@ def scan(state: dict[str, DataFrame], listing: DataFrame, unlisted: DataFrame, a
     `state`: the tables before it. `decoded` are the descriptors the scan read, as `reconcile.refresh_permissions` takes them.
     """
     files = state["files"]
-    # Both are read by several tables: computed once.
-    entries, blind = materialize(C.accepted_entries(listing)), materialize(unlisted)
+    # All are read by several tables: computed once.
+    entries, blind = materialize(C.accepted_entries(materialize(listing))), materialize(unlisted)
     changes = materialize(C.file_changes(entries, files, blind, True))
-    folders = next_folders(state["folders"], entries, blind)
+    folders = materialize(next_folders(state["folders"], entries, blind))
     return {"folders": folders if decoded is None else C.refresh_permissions(folders, decoded), "files": next_files(files, changes, as_of),
             "documents": C.next_documents(state["documents"], changes), "changes": changes}
 

@@ -291,6 +291,17 @@ def csv_cells(e: Estate) -> DataFrame:
     return K.csv_cells(rows)
 
 
+@query("S7 X9", r"""SELECT CAST(event_id AS VARCHAR) AS event_id, strftime("at", '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us("at") % 1000000 = 0 THEN '' ELSE strftime("at", '.%f') END AS "at",
+    CASE WHEN event_id % 3 = 0 THEN chr(39) || '=' || username ELSE 'a;"' || username || '"' || chr(10) END AS username, username || ', ' || action AS tags FROM est_audit""")
+def csv_exported(e: Estate) -> DataFrame:
+    """Every audit event exported as CSV files, whose cells hold separators, quotes, line ends and formulas, and read back."""
+    folder = f"{shared_folder(e.spark)}/export-{uuid.uuid4().hex}"
+    K.export_csv(e.audit.select("event_id", "at", F.expr("CASE WHEN event_id % 3 = 0 THEN concat('=', username) ELSE concat('a;\"', username, '\"', char(10)) END").alias("username"),
+                                F.array("username", "action").alias("tags")), folder)
+    shape = "event_id string, at string, username string, tags string"
+    return e.spark.read.schema(shape).csv(folder, sep=";", header=True, quote='"', escape='"', multiLine=True)
+
+
 # ── Texts from bytes ─────────────────────────────────────────────────────────
 
 @query("I1", """SELECT doc_id, CASE WHEN doc_id % 16 = 2 THEN text || chr(65533) WHEN doc_id % 16 = 6 THEN text || chr(65533) || 'x' WHEN doc_id % 16 = 10 THEN chr(65533) || text ELSE text END AS text

@@ -173,3 +173,15 @@ def index_after_scan(e: Estate) -> DataFrame:
 def index_compacted(e: Estate) -> DataFrame:
     """The same after two thirds of the buckets were compacted."""
     return _by_word(LI.live_postings(indexed_scan(e, True)))
+
+
+@query("I10", f"""WITH texts AS (SELECT file_id, 'A' AS field, name AS t FROM est_files UNION ALL SELECT file_id, 'B', CASE WHEN s.share_id = 3 THEN 'Renombrado' ELSE s.name END || ' ' || f.fpath FROM est_files f JOIN est_shares s USING (share_id)
+    UNION ALL SELECT file_id, 'C', content FROM est_docs), posts AS (SELECT file_id, field, unnest({S.word_list('t')}) AS word, unnest(range(0, len({S.word_list('t')}))) AS pos FROM texts)
+    SELECT word, field, count(*) AS n, count(DISTINCT file_id) AS files, sum(pos)::BIGINT AS places, sum(file_id % 1000003)::BIGINT AS ids FROM posts GROUP BY ALL""")
+def index_after_rename(e: Estate) -> DataFrame:
+    """The whole index after a share got a new name, of which only places were written."""
+    index = new_store(e)
+    LI.start_index(index, e.files, e.folders, e.shares, e.documents)
+    renamed = e.shares.withColumn("name", F.when(F.col("share_id") == 3, "Renombrado").otherwise(F.col("name")))
+    LI.rename_in_index(index, e.files.filter("share_id = 3"), e.folders, renamed)
+    return _by_word(LI.live_postings(index))

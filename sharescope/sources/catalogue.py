@@ -114,6 +114,7 @@ def export_csv(df: DataFrame, target: str) -> None:
     if out.columns:
         out = out.withColumnRenamed(out.columns[0], BOM + out.columns[0])
     (out.write.mode("overwrite").option("sep", ";").option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("encoding", "UTF-8").option("emptyValue", "").csv(target))
 
 
