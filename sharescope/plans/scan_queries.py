@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import indexing as I
 from ..operators import liveindex as LI
 from ..operators import scanning as SC
-from ..session import shared_folder
+from ..session import materialize, shared_folder
 from ..sources.derived import Estate
 from ..sources.versions import Change, Store
 from . import base_sql as S
@@ -54,8 +54,16 @@ def listings(e: Estate) -> list[DataFrame]:
     return [first, files.unionByName(folders), late]
 
 
+def with_stored_folders(e: Estate) -> Estate:
+    """The estate with its shares and folders computed once, as every listing is made from them."""
+    out = Estate(e.spark, e.folder)
+    out.shares = materialize(e.shares)
+    out.folders = materialize(out.folders)
+    return out
+
+
 def scanned(e: Estate) -> Store:
-    store = new_store(e)
+    e, store = with_stored_folders(e), new_store(e)
     SC.start_catalogue(store, catalogue(e))
     for number, listing in enumerate(listings(e)):
         SC.scan_into(store, listing, unlisted(e, number), NOW[number])
@@ -133,6 +141,7 @@ def versions_of_files(e: Estate) -> DataFrame:
 
 def indexed_scan(e: Estate, compact: bool) -> Store:
     """The index of the estate, brought up to date after one scan that adds, changes and removes files."""
+    e = with_stored_folders(e)
     catalogue_, index = new_store(e), new_store(e)
     tables = catalogue(e)
     SC.start_catalogue(catalogue_, tables)
