@@ -460,3 +460,17 @@ def with_snippets(results: DataFrame, documents: DataFrame, query: Query, width:
         return results.withColumn("snippet", F.array().cast(SEGMENTS))
     shown = snippet(F.coalesce("content", F.lit("")), list(query.terms), width)
     return results.join(documents.select("file_id", "content"), "file_id", "left").withColumn("snippet", shown).drop("content")
+
+
+def respond(library: Library, token, params: SearchParams, mode: str = "substring", stemmed: bool = True, count: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """What a search page needs, from one set of matches: its results with snippets, and the capped count (None if `count` is off).
+
+    Matches are worked out and stored once; without the count only the page is, and a page by name or time ranks nothing.
+    """
+    query = parse(params.q)
+    found = matches(library, token, params, mode, stemmed, "covers" if params.sort == "relevance" else "places")
+    if count:
+        found = materialize(found)
+    shown = page(found, ordering(params, bool(query.terms)), params.limit, params.offset).select(
+        *RESULT[:-1], P.display_path(F.col("share_path"), F.col("folder_path"), F.col("name")).alias("path"), "score")
+    return with_snippets(shown, library.documents, query), capped_count(found) if count else None

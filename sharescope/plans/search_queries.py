@@ -219,13 +219,16 @@ def search_stemmed(e: Estate) -> DataFrame:
 _HIT = r"(?s)^(.*?)(^|[^\p{L}\p{N}_])(?:nota|than)"
 
 
-@query("Q14 Q13", rf"""WITH page AS (SELECT file_id FROM ({_like(['nota', 'than'])}) ORDER BY mtime DESC NULLS LAST, file_id LIMIT 50),
+_SNIPPETS = rf"""WITH page AS (SELECT file_id FROM ({_like(['nota', 'than'])}) ORDER BY mtime DESC NULLS LAST, file_id LIMIT 50),
     t AS (SELECT file_id, content AS c, length(content) AS n, {S.fold('content')} AS f FROM page JOIN est_docs USING (file_id)),
     h AS (SELECT *, CASE WHEN regexp_matches(f, '{_HIT}') THEN greatest(0, length(regexp_extract(f, '{_HIT}', 1)) + length(regexp_extract(f, '{_HIT}', 2)) - 80) ELSE 0 END AS a0 FROM t),
     w AS (SELECT *, least(n, a0 + 240) AS b0, strpos(reverse(substr(c, 1, a0)), ' ') AS back FROM h),
     v AS (SELECT *, CASE WHEN a0 > 0 AND back BETWEEN 1 AND 29 THEN a0 - back + 1 ELSE a0 END AS a, strpos(substr(c, b0 + 1), ' ') AS ahead FROM w),
     u AS (SELECT *, CASE WHEN b0 < n AND ahead BETWEEN 1 AND 30 THEN b0 + ahead - 1 ELSE b0 END AS b FROM v)
-    SELECT file_id, CASE WHEN a > 0 THEN '…' ELSE '' END || regexp_replace(substr(c, a + 1, b - a), '[{_SP}]+', ' ', 'g') || CASE WHEN b < n THEN '…' ELSE '' END AS snippet FROM u""")
+    SELECT file_id, CASE WHEN a > 0 THEN '…' ELSE '' END || regexp_replace(substr(c, a + 1, b - a), '[{_SP}]+', ' ', 'g') || CASE WHEN b < n THEN '…' ELSE '' END AS snippet FROM u"""
+
+
+@query("Q14 Q13", _SNIPPETS)
 def search_snippets(e: Estate) -> DataFrame:
     """The window shown with each result; which words light up is checked in the tests."""
     lib = library(e)
@@ -235,6 +238,15 @@ def search_snippets(e: Estate) -> DataFrame:
         "file_id", F.array_join(F.transform("snippet", lambda s: s["text"]), "").alias("snippet"))
 
 
+@query("Q10 Q12 Q13 Q14 Q15", f"""SELECT r.file_id, name, path, size, mtime, snippet, total, total_capped FROM ({_SNIPPETS}) r JOIN (SELECT {_ROW} FROM found) USING (file_id),
+    (SELECT least(n, 1000) AS total, n > 1000 AS total_capped FROM (SELECT count(*) AS n FROM ({_like(['nota', 'than'])})))""")
+def search_response(e: Estate) -> DataFrame:
+    """A page with snippets and the count of all that was found, from one set of matches."""
+    shown_, total = Q.respond(library(e), S.TOKEN, Q.SearchParams("nota than", limit=50))
+    return shown_.withColumn("k", F.lit(1)).join(total.withColumn("k", F.lit(1)), "k").select(
+        "file_id", "name", "path", "size", F.col("mtime").cast("string").alias("mtime"), F.array_join(F.transform("snippet", lambda s: s["text"]), "").alias("snippet"), "total", "total_capped")
+
+
 # ── Browsing ─────────────────────────────────────────────────────────────────
 
 _OPEN = "SELECT d.* FROM est_folders d JOIN est_shares s USING (share_id) WHERE s.enabled AND d.acl_id IN (SELECT acl_id FROM listable)"

@@ -200,3 +200,12 @@ def test_snippets_mark_hits_in_a_stretch_around_the_first(spark):
         got = {r.i: [(s.text, s.hit) for s in r.s] for r in rows.select("i", Q.snippet(Q.F.col("t"), terms).alias("s")).collect()}
         for i, text in enumerate(texts):
             assert got[i] == plain_snippet(text, terms), (terms, text)
+
+
+def test_response_is_page_snippets_and_count(library):
+    rows, total = Q.respond(library, TOKENS["alice"], Q.SearchParams("finance", limit=1), "postings")
+    whole = Q.search(library, TOKENS["alice"], Q.SearchParams("finance", limit=1), "postings").collect()
+    (got,) = rows.collect()
+    assert (got.file_id, got.score) == (whole[0].file_id, whole[0].score) and total.first().asDict() == {"total": 2, "total_capped": False}
+    rows, total = Q.respond(library, TOKENS["alice"], Q.SearchParams("", sort="newest"), count=False)
+    assert total is None and [r.file_id for r in rows.collect()] == [5, 3, 2, 1] and all(r.snippet == [] for r in rows.collect())
