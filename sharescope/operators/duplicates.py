@@ -7,16 +7,24 @@ rows, since one group may hold a large part of the estate.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..schema import DEDUPE_MIN_SIZE, FULL_HASH_MAX_SIZE, HASH_CHUNK
 from ..session import materialize
+from ..sources.listing import hash_files
 from .reports import page
 
-# Up to this many ids (about 16 MB) are broadcast, after counting them.
-FEW_IDS = 1_000_000
+# Rows of 64 bits that say which ids are wanted: some 6 MB at most, whatever their number.
+MARKS = 1 << 18
+# Bytes a task reads from files.
+TASK_BYTES = 1 << 30
+
+# Wanted files (file_id, size) and the chunk read at both ends, or None for everything, give (file_id, hash).
+Hasher = Callable[[DataFrame, int | None], DataFrame]
 
 
 def quick_hash(size: Column, content: Column, chunk: int = HASH_CHUNK) -> Column:
@@ -59,31 +67,54 @@ def need_full_hash(files: DataFrame, max_size: int = FULL_HASH_MAX_SIZE) -> Data
     return todo.join(colliding(files), ["size", "quick_hash"], "left_semi")
 
 
-def _hash_wanted(wanted: DataFrame, contents: DataFrame, hashed: Column, few: int) -> DataFrame:
-    """(file_id, hash) of the wanted files, never moving a content between machines.
+def hash_contents(contents: DataFrame) -> Hasher:
+    """Hashes of contents that are rows, (file_id, content), never moving one between machines.
+
+    Which ids are wanted travels to the contents as a table of bits of bounded size, and what it passes is hashed where it is read. It
+    passes some that are not wanted, more of them the more are; the join of ids and hashes behind it is exact.
+    """
+    def run(wanted: DataFrame, chunk: int | None) -> DataFrame:
+        ids, code = wanted.select("file_id").distinct(), F.xxhash64("file_id")
+        place = F.pmod(F.shiftright(code, 6), F.lit(MARKS)).alias("_place")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), code.bitwiseAND(F.lit(63)).cast("int"))
+        marks = ids.groupBy(place).agg(F.bit_or(bit).alias("_bits"))
+        passed = (contents.select("file_id", "content", place).join(F.broadcast(marks), "_place")
+                  .filter(F.col("_bits").bitwiseAND(bit) != 0))
+        content = F.col("content")
+        hashed = full_hash(content) if chunk is None else quick_hash(F.length(content).cast("long"), content, chunk)
+        return passed.select("file_id", hashed.alias("hash")).join(ids, "file_id", "left_semi")
+
+    return run
+
 
-    A measured handful of ids travels to the contents and only those are hashed. Beyond `few`
-    ids every content is hashed where it is read, and only hashes travel to the join.
+def hash_locations(located: DataFrame) -> Hasher:
+    """Hashes of files in a file system, (file_id, location): only wanted files are opened, and of those only the bytes that are hashed are read.
+
+    Tasks are as many as the bytes to read ask for.
     """
-    ids = wanted.select("file_id")
-    if ids.limit(few + 1).count() <= few:
-        return contents.join(F.broadcast(ids), "file_id").select("file_id", hashed.alias("hash"))
-    return contents.select("file_id", hashed.alias("hash")).join(ids, "file_id", "left_semi")
+    def run(wanted: DataFrame, chunk: int | None) -> DataFrame:
+        todo = materialize(located.select("file_id", "location").join(wanted.select("file_id", "size"), "file_id"))
+        count = F.col("size") if chunk is None else F.least("size", F.lit(2 * chunk))
+        parts = (todo.agg(F.sum(count)).first()[0] or 0) // TASK_BYTES + 1
+        parts = max(parts, int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return hash_files(todo.repartition(parts, "file_id"), chunk).filter("hash IS NOT NULL").select("file_id", "hash")
+
+    return run
 
 
-def hash_stage(files: DataFrame, contents: DataFrame, min_size: int = DEDUPE_MIN_SIZE,
-               max_size: int = FULL_HASH_MAX_SIZE, chunk: int = HASH_CHUNK, few: int = FEW_IDS) -> DataFrame:
+def hash_stage(files: DataFrame, contents: DataFrame | Hasher, min_size: int = DEDUPE_MIN_SIZE,
+               max_size: int = FULL_HASH_MAX_SIZE, chunk: int = HASH_CHUNK) -> DataFrame:
     """The funnel: `files` (file_id, size, quick_hash, content_hash) with missing hashes filled in.
 
-    `contents` is (file_id, content). A file whose content is missing keeps its NULL hash and
+    `contents` is (file_id, content), or a `Hasher` such as `hash_locations` gives. A file whose content is missing keeps its NULL hash and
     counts as an error. The candidates of each stage come from the catalogue alone.
     """
-    length = F.length("content").cast("long")
-    quick = _hash_wanted(need_quick_hash(files, min_size), contents, quick_hash(length, F.col("content"), chunk), few)
+    read = hash_contents(contents) if isinstance(contents, DataFrame) else contents
+    quick = read(need_quick_hash(files, min_size), chunk)
     # Catalogue columns only; read three times below, so the hashing is not repeated.
     with_quick = materialize(files.join(quick, "file_id", "left").select(
         *[c for c in files.columns if c != "quick_hash"], F.coalesce("quick_hash", "hash").alias("quick_hash")))
-    full = _hash_wanted(need_full_hash(with_quick, max_size), contents, full_hash(F.col("content")), few)
+    full = read(need_full_hash(with_quick, max_size), None)
     return with_quick.join(full, "file_id", "left").select(
         *[c for c in with_quick.columns if c != "content_hash"], F.coalesce("content_hash", "hash").alias("content_hash"))
 

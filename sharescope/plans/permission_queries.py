@@ -299,7 +299,7 @@ def described_identities(e: Estate) -> DataFrame:
 
 
 _COLS = rf"""SELECT d.folder_id, {S.show('s.path', 'd.path')} AS path, d.acl_id FROM est_folders d JOIN est_shares s USING (share_id) JOIN est_acls a USING (acl_id)
-    WHERE d.path = '' OR (d.depth <= 2 AND (a.has_explicit OR a.is_protected)) ORDER BY s.path, d.path LIMIT 60"""
+    WHERE d.path = '' OR (d.depth <= 2 AND (a.has_explicit OR a.is_protected))"""
 _GRID = f"""WITH cols AS ({_COLS}), ent AS (SELECT * FROM est_acl_entries WHERE (flags & 8) = 0 AND acl_id IN (SELECT acl_id FROM cols)),
     users AS (SELECT DISTINCT sid FROM (SELECT e.sid FROM ent e JOIN est_principals p USING (sid) WHERE p.kind = 'user'
         UNION ALL SELECT m.member_sid FROM est_members m WHERE m.group_sid IN (SELECT sid FROM ent) AND m.group_sid IN (SELECT sid FROM est_principals WHERE kind = 'group'))),
@@ -315,7 +315,7 @@ _GRID = f"""WITH cols AS ({_COLS}), ent AS (SELECT * FROM est_acl_entries WHERE
 
 
 def grid(e: Estate) -> DataFrame:
-    return R.permission_grid(e.folders, e.shares, e.acls, e.principals, e.members, max_columns=60)  # a page of columns
+    return R.permission_grid(e.folders, e.shares, e.acls, e.principals, e.members)
 
 
 @query("G10 A17 J11", _GRID)
@@ -323,10 +323,10 @@ def permission_grid(e: Estate) -> DataFrame:
     return grid(e)
 
 
-@query("G10 A17 J11", _GRID.replace(" LIMIT 60)", ")"))
+@query("G10 A17 J11", _GRID)
 def permission_grid_whole(e: Estate) -> DataFrame:
-    """Every column; `permission_grid` is the first page of it."""
-    return R.permission_grid(e.folders, e.shares, e.acls, e.principals, e.members)
+    """The same under the name it had while `permission_grid` was a page of 60 columns."""
+    return grid(e)
 
 
 @query("G11", f"SELECT DISTINCT section, sid, name, coalesce(display_name, name) AS shown FROM ({_GRID})")
@@ -336,7 +336,7 @@ def grid_row_order(e: Estate) -> DataFrame:
 
 
 @query("G11", f"""SELECT section, sid, name, shown, row_number() OVER (ORDER BY section, CASE WHEN section = 1 THEN lower(shown) END NULLS LAST, sid NULLS FIRST) AS position
-    FROM (SELECT DISTINCT section, sid, name, coalesce(display_name, name) AS shown FROM ({_GRID.replace(" LIMIT 60)", ")")}))""")
+    FROM (SELECT DISTINCT section, sid, name, coalesce(display_name, name) AS shown FROM ({_GRID}))""")
 def grid_row_positions(e: Estate) -> DataFrame:
     """Every row of the whole grid with its place in the order people read it in."""
     columns = R.grid_columns(e.folders, e.shares, e.acls, 2, None)

@@ -43,6 +43,6 @@ def query(covers: str, sql: str | None = None, name: str | None = None):
 
 def load() -> dict[str, Registered]:
     from . import (catalogue_queries, folderplan_queries, people_queries, permission_queries,  # noqa: F401
-                   report_queries, scan_queries, search_queries, text_queries)
+                   report_queries, scan_queries, search_queries, text_queries, tree_queries)
 
     return REGISTRY

@@ -132,7 +132,7 @@ def partitioned_listing(spark: SparkSession, root: str) -> DataFrame:
         F.lit(False).alias("is_reparse_point"))
 
 
-def read_contents(spark: SparkSession, root: str, max_size: int) -> DataFrame:
-    """(path, length, content) of files not above `max_size`; the size filter runs before any read."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-            .filter(F.col("length") <= max_size).select("path", "length", "content"))
+def read_contents(spark: SparkSession, root: str, max_size: int | None = None) -> DataFrame:
+    """(path, length, content) of all files, or of those not above `max_size`; the size filter runs before any read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return (files if max_size is None else files.filter(F.col("length") <= max_size)).select("path", "length", "content")
