@@ -93,9 +93,10 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id
     sketch = known.filter("sketched").select("version", "need", "h")
     candidates = shared.join(sketch, "h").groupBy("owner", "version", "need").agg(F.count("*").alias("hits")).filter("hits >= need").select("owner", "version")
     candidates = store(candidates)
-    whole = known.select("item_id", "version", "n", "shingle")
-    suspects = shared.join(candidates.select("owner").distinct(), "owner", "left_semi")
-    counted = suspects.join(whole, "shingle").groupBy("doc_id", "owner", "item_id", "version", "n").agg(F.count("*").alias("n_shared"))
-    verified = counted.filter(F.col("n_shared") >= F.col("n") * threshold - 1e-9).join(candidates, ["owner", "version"], "left_semi")
+    # Candidates meet the items first, and only their own shingles meet the document's: pairs that share a frequent shingle and nothing else make no row.
+    asked = candidates.join(known.select("item_id", "version", "n", "shingle"), "version")
+    held = shared.select("doc_id", "owner", "shingle")
+    counted = asked.join(held, ["owner", "shingle"]).groupBy("doc_id", "owner", "item_id", "version", "n").agg(F.count("*").alias("n_shared"))
+    verified = counted.filter(F.col("n_shared") >= F.col("n") * threshold - 1e-9)
     fullest = F.max(F.struct((F.col("n_shared") / F.col("n")).alias("containment"), "n_shared", F.col("n").cast("long").alias("n_shingles")))
     return verified.groupBy("doc_id", "item_id").agg(fullest.alias("m")).select("doc_id", "item_id", "m.n_shared", "m.n_shingles", "m.containment")
