@@ -84,19 +84,24 @@ def resolution_statistics(upserted: DataFrame, expansions: DataFrame) -> DataFra
 def transitive_members(edges: DataFrame) -> DataFrame:
     """(group_sid, member_sid) for every user a group holds at any depth; cycles are harmless.
 
-    Only group-in-group edges are iterated, and those are few next to users; the users join once at the end. Every round joins the
-    relation with itself, so paths double and a chain of any depth is closed after the logarithm of its length. Each round is cut with a reliable checkpoint.
+    Only group-in-group edges are iterated, and of what they reach only groups that hold users are kept; the users join once at the end. Before each round
+    `reached` holds what is at most so many edges away as the paths in `step` are long. A round puts one of these paths before what is reached, so its
+    rows grow with the result, and doubles them: a chain of any depth is closed after the logarithm of its length. What a round adds is cut with a reliable checkpoint.
     """
-    groups = edges.select("group_sid").distinct()
-    nested = edges.join(groups.withColumnRenamed("group_sid", "member_sid"), "member_sid", "left_semi").select(
-        F.col("group_sid").alias("top"), F.col("member_sid").alias("inner"))
-    itself = groups.select(F.col("group_sid").alias("top"), F.col("group_sid").alias("inner"))
-    reached = materialize(nested.union(itself).distinct())
-    known, before = reached.count(), 0
-    while known > before:
-        onward = reached.select(F.col("top").alias("inner"), F.col("inner").alias("deeper"))
-        reached = materialize(reached.join(onward, "inner").select("top", F.col("deeper").alias("inner")).distinct())
-        known, before = reached.count(), known
-    direct = edges.join(groups.withColumnRenamed("group_sid", "member_sid"), "member_sid", "left_anti").select(
-        F.col("group_sid").alias("inner"), "member_sid")
+    groups = edges.select(F.col("group_sid").alias("member_sid")).distinct()
+    direct = edges.join(groups, "member_sid", "left_anti").select(F.col("group_sid").alias("inner"), "member_sid")
+    holders = direct.select("inner").dropna().distinct()
+    nested = edges.join(groups, "member_sid", "left_semi").select(F.col("group_sid").alias("top"), F.col("member_sid").alias("inner"))
+    step = materialize(nested.distinct())
+    reached = materialize(step.join(holders, "inner", "left_semi").select("top", "inner").union(holders.select(F.col("inner").alias("top"), "inner")).distinct())
+    growing = True
+    while growing:
+        path = step.select("top", F.col("inner").alias("via"))
+        longer = path.join(reached.withColumnRenamed("top", "via"), "via").select("top", "inner")
+        known = reached.select(F.col("top").alias("from"), F.col("inner").alias("to"))
+        fresh = materialize(longer.join(known, F.col("top").eqNullSafe(F.col("from")) & (F.col("inner") == F.col("to")), "left_anti").distinct())
+        growing = not fresh.isEmpty()
+        if growing:
+            reached = reached.unionByName(fresh)
+            step = materialize(path.join(step.withColumnRenamed("top", "via"), "via").select("top", "inner").distinct())
     return reached.join(direct, "inner").select(F.col("top").alias("group_sid"), "member_sid").distinct()
