@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -324,23 +324,24 @@ def markup_to_text(e: Estate) -> DataFrame:
     return e.table("pages").select("page_id", TX.markup_text(F.col("html")).alias("text"))
 
 
-def _word_file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _word_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A minimal Word file per text, one paragraph per line."""
     space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    for batch in batches:
-        blobs = []
-        for text in batch["content"]:
+
+    def rows() -> Iterator[tuple]:
+        for file_id, extension, text in TX.arrow_rows(batches, "file_id", "extension", "content"):
             lines = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in text.split("\n"))
             buffer = io.BytesIO()
             with zipfile.ZipFile(buffer, "w") as box:
                 box.writestr("word/document.xml", f"<w:document {space}><w:body>{lines}</w:body></w:document>")
-            blobs.append(buffer.getvalue())
-        yield batch[["file_id", "extension"]].assign(content=blobs)
+            yield file_id, extension, buffer.getvalue()
+
+    return TX.in_small_batches(rows(), pa.schema([("file_id", pa.int64()), ("extension", pa.string()), ("content", pa.binary())]), lambda r: len(r[2]))
 
 
 @query("I3", """SELECT file_id, array_to_string(list_filter(string_split(content, chr(10)), lambda l: l <> ''), chr(10)) AS text FROM est_files""")
 def office_text(e: Estate) -> DataFrame:
     """Every text packed into a Word container and read back."""
-    packed = e.files.select("file_id", F.lit("docx").alias("extension"), "content").mapInPandas(
+    packed = e.files.select("file_id", F.lit("docx").alias("extension"), "content").mapInArrow(
         _word_file, "file_id bigint, extension string, content binary")
     return TX.extract_texts(packed).select("file_id", "text")

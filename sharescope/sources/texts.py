@@ -9,9 +9,10 @@ from __future__ import annotations
 import html
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,17 +89,47 @@ _MEMBERS = {
 }
 
 
-def _unzipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row for each XML member of each archive, and one without a member for each file: all that needs Python."""
+# Bytes a Python worker hands on at once.
+HANDED_ON = 4 << 20
+
+
+def in_small_batches(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches that are closed as soon as their `size` adds up to a few megabytes, so that no worker holds the results of a whole batch it was given."""
+    held, weight = [], 0
+    for row in rows:
+        held.append(row)
+        weight += size(row)
+        if weight >= HANDED_ON or len(held) >= 1_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+            held, weight = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+
+
+def arrow_rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """The rows of Arrow batches, each made a Python tuple only when it is asked for."""
     for batch in batches:
-        for file_id, extension, content in batch[["file_id", "extension", "content"]].itertuples(index=False):
-            rows = [(file_id, extension, None, None, None)]
+        columns = [batch.column(name) for name in names]
+        for i in range(batch.num_rows):
+            yield tuple(c[i].as_py() for c in columns)
+
+
+_UNZIPPED = pa.schema([("file_id", pa.int64()), ("extension", pa.string()), ("member", pa.string()), ("xml", pa.binary()), ("error", pa.string())])
+
+
+def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each XML member of each archive, and one without a member for each file: all that needs Python."""
+    def rows() -> Iterator[tuple]:
+        for file_id, extension, content in arrow_rows(batches, "file_id", "extension", "content"):
+            members = [(file_id, extension, None, None, None)]
             try:
                 with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
-                    rows += [(file_id, extension, m, archive.read(m), None) for m in archive.namelist() if m.endswith(".xml")]
+                    members += [(file_id, extension, m, archive.read(m), None) for m in archive.namelist() if m.endswith(".xml")]
             except Exception as problem:  # whatever is wrong with one file stays with that file
-                rows = [(file_id, extension, None, None, f"archive cannot be opened: {problem}")]
-            yield pd.DataFrame(rows, columns=["file_id", "extension", "member", "xml", "error"])
+                members = [(file_id, extension, None, None, f"archive cannot be opened: {problem}")]
+            yield from members
+
+    return in_small_batches(rows(), _UNZIPPED, lambda r: len(r[3] or b""))
 
 
 def _element(name: str) -> str:
@@ -120,7 +151,7 @@ def _lines(kind: Column, xml: Column) -> Column:
 
 def container_texts(files: DataFrame) -> DataFrame:
     """(file_id, text, error) of Office and OpenDocument files: members are rows, their text comes from expressions."""
-    members = files.select("file_id", "extension", "content").mapInPandas(_unzipped, "file_id bigint, extension string, member string, xml binary, error string")
+    members = files.select("file_id", "extension", "content").mapInArrow(_unzipped, "file_id bigint, extension string, member string, xml binary, error string")
     kind, rank = F.lit(None).cast("string"), F.lit(None).cast("int")
     for name, (extensions, patterns, _) in _MEMBERS.items():
         kind = F.when(F.col("extension").isin(extensions), name).otherwise(kind)
@@ -132,7 +163,9 @@ def container_texts(files: DataFrame) -> DataFrame:
     read = read.withColumn("text", F.when(F.col("rank").isNotNull(), F.array_join(_lines(F.col("kind"), decode_text(F.col("xml"))), "\n")))
     parts = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("rank", number.alias("number"), "member", "text"))))
     joined = read.groupBy("file_id").agg(F.max("error").alias("error"), F.array_join(F.transform(parts, lambda m: m["text"]), "\n").alias("text"))
-    return joined.select("file_id", F.when(F.col("error").isNull(), unescape(F.col("text"))).alias("text"), "error")
+    # Only texts with an entity go through Python.
+    plain = F.coalesce(unescape(F.when(F.contains("text", F.lit("&")), F.col("text"))), F.col("text"))
+    return joined.select("file_id", F.when(F.col("error").isNull(), plain).alias("text"), "error")
 
 
 def extract_texts(files: DataFrame) -> DataFrame:
