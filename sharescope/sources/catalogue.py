@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.values import days_before, formula_safe
 from ..schema import TABLES
 from ..session import materialize
+from .listing import list_shares, local_path, mounted, read_files
 
 BOM = "﻿"
 
@@ -133,6 +134,22 @@ def partitioned_listing(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_contents(spark: SparkSession, root: str, max_size: int | None = None) -> DataFrame:
-    """(path, length, content) of all files, or of those not above `max_size`; the size filter runs before any read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return (files if max_size is None else files.filter(F.col("length") <= max_size)).select("path", "length", "content")
+    """(path, length, content) of all files, or of those not above `max_size`; the size filter runs before any read.
+
+    What executors mount is listed in shards and opened by tasks of many files each. Elsewhere Spark's own reader lists, which takes the driver's time and memory for every file.
+    Links to folders are not followed there. Either way empty files and names that begin with "." or "_" are passed over, as Spark does.
+    """
+    if not mounted(root):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        return (files if max_size is None else files.filter(F.col("length") <= max_size)).select("path", "length", "content")
+    place = local_path(root).rstrip("/")
+    entries, unlisted = list_shares(spark, {0: place})
+    broken = unlisted.first()
+    if broken is not None:
+        raise OSError(f"{place}/{broken['path']}: {broken['list_error']}")
+    whole = F.concat_ws("/", F.when(F.col("path") != "", F.col("path")), "name")
+    hidden = F.exists(F.split(whole, "/"), lambda n: (n.startswith(".") | (n.startswith("_") & ~n.contains("=")) | n.endswith("._COPYING_")) & ~n.isin("_metadata", "_common_metadata"))
+    files = entries.filter(~F.col("is_dir") & (F.col("size") > 0)).filter(~hidden)
+    if max_size is not None:
+        files = files.filter(F.col("size") <= max_size)
+    return read_files(files.select(F.concat(F.lit(f"file:{place}/"), whole).alias("path")).repartition("path"))

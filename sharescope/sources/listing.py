@@ -17,11 +17,13 @@ from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..session import materialize
+from .texts import arrow_rows, in_small_batches
 
 LEVEL, SHARDS = 2, 32
 BLOCK = 1 << 20
@@ -35,6 +37,11 @@ def local_path(location: str) -> str:
     return "/" + location.split(":", 1)[1].lstrip("/") if location.startswith("file:") else location
 
 
+def mounted(location: str) -> bool:
+    """Whether a location is a path on a file system that executors mount."""
+    return location.startswith(("/", "file:"))
+
+
 def moment(nanoseconds: int) -> datetime:
     return _EPOCH + timedelta(microseconds=nanoseconds // 1000)
 
@@ -168,6 +175,23 @@ def hash_files(located: DataFrame, chunk: int | None) -> DataFrame:
     return located.select("file_id", "location").mapInPandas(read, f"file_id {kind}, hash string, bytes_read bigint, error string")
 
 
+_WHOLE = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
+
+
+def read_files(located: DataFrame) -> DataFrame:
+    """(path, length, content) of the files at `path`, read whole. A file that can't be read fails the job."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for (path,) in arrow_rows(batches, "path"):
+                with open(local_path(path), "rb") as file:
+                    content = file.read()
+                yield path, len(content), content
+
+        return in_small_batches(rows(), _WHOLE, lambda r: r[1])
+
+    return located.select("path").mapInArrow(read, "path string, length bigint, content binary")
+
+
 def write_tree(files: DataFrame) -> DataFrame:
     """Files (location, content, mtime) put where they belong; (location, size) of each.
 
