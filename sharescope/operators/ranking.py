@@ -55,10 +55,11 @@ def _slot(slots: dict[int, dict[tuple, list[int]]], rows: list[tuple]) -> Column
     return chosen
 
 
-def cover_scores(hits: DataFrame, counts: DataFrame, rows: list[tuple]) -> DataFrame:
+def cover_scores(hits: DataFrame, counts: DataFrame, rows: list[tuple], tasks: int | None = None) -> DataFrame:
     """(query_no, file_id, score) for files with a cover.
 
-    `hits` as `search.posting_hits` gives them, for files in `counts` (see `word_counts`); `rows` are the query's items it was asked with.
+    `hits` as `search.posting_hits` gives them, for files in `counts` (see `word_counts`); `rows` are the query's items it was asked with. Files are dealt
+    over `tasks` tasks, which sort their hits; by default over as many as Spark is set to.
     """
     slots = slots_of(rows)
     if not slots:
@@ -67,6 +68,8 @@ def cover_scores(hits: DataFrame, counts: DataFrame, rows: list[tuple]) -> DataF
     before = F.when(F.col("field") == "C", F.col("name_words") + F.col("place_words")).when(F.col("field") == "B", F.col("name_words")).otherwise(0)
     placed = (hits.filter("unit = 0").join(counts, "file_id").withColumn("slot", _slot(slots, rows)).filter("slot IS NOT NULL")
               .select(*FILE, "slot", "offset", "word_count", "field", (F.col("pos") + before).cast("long").alias("at"), inverse.alias("inverse")))
+    if tasks:
+        placed = placed.repartition(tasks, *FILE)
     # A word that several items ask for is one word: only its first row counts.
     order = Window.partitionBy(*FILE).orderBy("at")
     first = F.coalesce(F.lag("at").over(order) != F.col("at"), F.lit(True)).cast("int")

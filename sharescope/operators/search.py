@@ -19,7 +19,7 @@ from ..functions import values as V
 from ..functions.stemming import lexeme
 from ..functions.text import FOLD_FROM, FOLD_TO, NOT_WORD, SPACE, fold, words
 from ..schema import COUNT_CAP
-from ..session import materialize
+from ..session import materialize, stored
 from .common import constant_table, top_per_group
 from .indexing import CONFIG_FIELDS, POSTING_BUCKETS, WEIGHTS
 from .permissions import visible_files
@@ -31,6 +31,8 @@ _EXCLUDED = rf'(?:\A|[{SPACE}])-(?:"([^"]*)"?|([^{SPACE}"]+))'
 _EXCLUDED_TEXT = r'\s-(?:"([^"]*)"?|([^\s"]+))'
 # More written words than this behind one query are joined instead of listed.
 EXPANSION_CAP = 2_000
+# Hits a task sorts at once when they are stored.
+HITS_PART = 500_000
 RESULT = ["file_id", "name", "extension", "size", "mtime", "share_id", "share", "folder_id", "folder_path", "path"]
 
 
@@ -239,7 +241,25 @@ def posting_hits(library: Library, queries: list[Query], stemmed: bool = True) -
     return hits.select("query_no", "unit", "config", "clause", "item", "offset", "word_count", "items", "file_id", "field", "pos")
 
 
-def match_postings(library: Library, queries: list[Query], stemmed: bool = True) -> DataFrame:
+@dataclass(frozen=True)
+class Hits:
+    """The hits of some queries, stored, and over how many tasks they are dealt so that no task's share grows with the texts."""
+
+    rows: DataFrame
+    tasks: int
+
+
+def store_hits(library: Library, queries: list[Query], stemmed: bool = True) -> Hits:
+    """Postings that are built as they are read cost a pass over all texts: matching and relevance share it."""
+    rows = stored(posting_hits(library, queries, stemmed))
+    return Hits(rows, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // HITS_PART + 1))
+
+
+def by_single_words(queries: list[Query]) -> bool:
+    return all(len(clause) == 1 and len(clause[0]) == 1 for q in queries for clause in q.clauses)
+
+
+def match_postings(library: Library, queries: list[Query], stemmed: bool = True, kept: Hits | None = None) -> DataFrame:
     """(query_no, file_id, matched, in_title, score, excluded) for files some word of a query occurs in.
 
     Everything is grouped within a file, so the hits are shuffled once, by file: phrases into runs
@@ -251,7 +271,7 @@ def match_postings(library: Library, queries: list[Query], stemmed: bool = True)
     for name, value in WEIGHTS.items():
         weight = F.when(F.col("field") == name, value).otherwise(weight)
     clause = ["file_id", "query_no", "unit", "config", "clause", "items"]
-    hits = posting_hits(library, queries, stemmed).repartition("file_id")
+    hits = kept.rows.repartition(kept.tasks, "file_id") if kept else posting_hits(library, queries, stemmed).repartition("file_id")
     present = hits.withColumn("weight", weight).withColumn("whole", F.lit(True))
     if any(len(item) > 1 for q in queries for c in q.clauses for item in c) or any(" " in e for q in queries for e in q.excluded):
         start = (F.col("pos") - F.col("offset")).alias("start")
@@ -276,17 +296,18 @@ def match_postings(library: Library, queries: list[Query], stemmed: bool = True)
         F.bool_or(~asked & F.col("found")).alias("excluded"))
 
 
-def by_covers(library: Library, matched: DataFrame, queries: list[Query], stemmed: bool) -> DataFrame:
+def by_covers(library: Library, matched: DataFrame, queries: list[Query], stemmed: bool, kept: Hits | None = None) -> DataFrame:
     """`matched` files (query_no, and the columns of `candidates`) with their relevance by cover density.
 
     Where every query asks for single words, each of their places is a cover by itself, and the weight of the places is the relevance already.
     """
-    if all(len(clause) == 1 and len(clause[0]) == 1 for q in queries for clause in q.clauses):
+    if by_single_words(queries):
         return matched
+    kept = kept or store_hits(library, queries, stemmed)
     # Read twice, for the words before a file's content and for the result: computed once.
     matched = materialize(matched)
     files = matched.select("file_id", "name", "share", "folder_path").dropDuplicates(["file_id"])
-    scores = cover_scores(posting_hits(library, queries, stemmed), word_counts(files), asked_rows(queries, stemmed))
+    scores = cover_scores(kept.rows, word_counts(files), asked_rows(queries, stemmed), kept.tasks)
     return matched.drop("score").join(scores, ["query_no", "file_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
@@ -316,10 +337,11 @@ def matches(library: Library, token, params: SearchParams, mode: str = "substrin
     if mode == "substring":
         return match_substrings(library, found, query).withColumns({"score": F.lit(0.0), "in_title": F.lit(False)})
     if query.clauses or query.excluded:
-        hits = match_postings(library, [query], stemmed)
+        kept = store_hits(library, [query], stemmed) if rank == "covers" and not by_single_words([query]) else None
+        hits = match_postings(library, [query], stemmed, kept)
         if query.clauses:
             matched = found.join(hits.filter("matched AND NOT excluded").select("query_no", "file_id", "score", "in_title"), "file_id")
-            return (by_covers(library, matched, [query], stemmed) if rank == "covers" else matched).drop("query_no")
+            return (by_covers(library, matched, [query], stemmed, kept) if rank == "covers" else matched).drop("query_no")
         # Files without an index row are in no posting, so they can't be excluded.
         found = found.join(hits.filter("excluded").select("file_id"), "file_id", "left_anti")
     return found.withColumns({"score": F.lit(0.0), "in_title": F.lit(False)})
@@ -361,10 +383,11 @@ def search_many(library: Library, token, asked: dict[str, SearchParams], stemmed
               p.modified_to, p.sort, p.offset, p.limit) for n, p in enumerate(params)]
     wishes = constant_table(library.postings, facts, [
         "query_no", "query", "w_share", "w_type", "w_from", "w_to", "w_sort", "w_offset", "w_limit"])
-    hits = match_postings(library, queries, stemmed).filter("matched AND NOT excluded").drop("matched", "excluded")
+    kept = store_hits(library, queries, stemmed) if rank == "covers" and not by_single_words(queries) else None
+    hits = match_postings(library, queries, stemmed, kept).filter("matched AND NOT excluded").drop("matched", "excluded")
     found = candidates(library, token, SearchParams()).join(hits.join(wishes, "query_no"), "file_id")
     if rank == "covers":
-        found = by_covers(library, found, queries, stemmed)
+        found = by_covers(library, found, queries, stemmed, kept)
     unset = lambda c: F.col(c).isNull()
     day = lambda c: F.col(c).cast("timestamp_ntz")
     found = found.filter(
