@@ -15,12 +15,20 @@ from .indexing import POSTING_BUCKETS, _bucket, content_postings, title_postings
 
 ORDER = ("word", "file_id", "field", "pos")
 TITLE, CONTENT = ("A", "B"), ("C",)
+# Sorted postings shrink to a few bytes each, so that a split of many megabytes would be tens of millions of rows: files end by their number.
+FILE_ROWS = 200_000
+# Postings that a task groups.
+POSTINGS_PART = 500_000
 
 
 def _laid_out(rows: DataFrame, number: int, buckets: int) -> DataFrame:
     return rows.select("word", "file_id", "field", "pos", F.lit(number).cast("long").alias("round"), _bucket(F.col("word"), buckets).alias("bucket"))
 
 
+def _change(rows: DataFrame, replaces: str | tuple = "all") -> Change:
+    return Change(rows, "bucket", replaces, ORDER, FILE_ROWS)
+
+
 def _hidden(store: Store, version: int) -> DataFrame:
     """The last round each file and field was replaced in."""
     return store.read("gone", version).groupBy("file_id", "field").agg(F.max("round").alias("until"))
@@ -31,7 +39,7 @@ def start_index(store: Store, files: DataFrame, folders: DataFrame, shares: Data
     number = store.manifest().version + 1
     rows = title_postings(files, folders, shares, documents).unionByName(content_postings(documents))
     none = store.spark.createDataFrame([], "file_id long, field string, round long")
-    return store.commit({"postings": Change(_laid_out(rows, number, buckets), "bucket", order=ORDER), "gone": Change(none)})
+    return store.commit({"postings": _change(_laid_out(rows, number, buckets)), "gone": Change(none)})
 
 
 def update_index(store: Store, gone: DataFrame, titled: DataFrame, read: DataFrame, folders: DataFrame, shares: DataFrame, buckets: int = POSTING_BUCKETS) -> int:
@@ -46,7 +54,7 @@ def update_index(store: Store, gone: DataFrame, titled: DataFrame, read: DataFra
     left = lambda df: df.join(gone.select("file_id"), "file_id", "left_anti")
     titles = left(titled)
     rows = title_postings(titles, folders, shares, titles.select("file_id")).unionByName(content_postings(left(read)))
-    return store.commit({"postings": Change(_laid_out(rows, number, buckets), "bucket", "nothing", ORDER),
+    return store.commit({"postings": _change(_laid_out(rows, number, buckets), "nothing"),
                          "gone": Change(dead.withColumn("round", F.lit(number).cast("long")), replaces="nothing")}, base)
 
 
@@ -56,7 +64,7 @@ def rename_in_index(store: Store, files: DataFrame, folders: DataFrame, shares:
     number = base.version + 1
     rows = title_postings(files, folders, shares, files.select("file_id")).filter("field = 'B'")
     dead = files.select("file_id", F.lit("B").alias("field"), F.lit(number).cast("long").alias("round"))
-    return store.commit({"postings": Change(_laid_out(rows, number, buckets), "bucket", "nothing", ORDER), "gone": Change(dead, replaces="nothing")}, base)
+    return store.commit({"postings": _change(_laid_out(rows, number, buckets), "nothing"), "gone": Change(dead, replaces="nothing")}, base)
 
 
 def live_postings(store: Store, version: int | None = None, values: list[int] | None = None) -> DataFrame:
@@ -66,6 +74,13 @@ def live_postings(store: Store, version: int | None = None, values: list[int] |
     return rows.filter("until IS NULL OR round >= until").select("word", "file_id", "field", "pos", "bucket")
 
 
+def dealt_postings(store: Store, version: int | None = None) -> DataFrame:
+    """The same of all buckets, dealt over tasks by their number; a word of a file stays in one task, but a frequent word is spread."""
+    at = store.manifest(version).version
+    count = store.read("postings", at).count()
+    return live_postings(store, at).repartition(count // POSTINGS_PART + 1, "word", "file_id")
+
+
 def crowded_buckets(store: Store, parts: int = 4) -> list[int]:
     """Buckets that consist of more than `parts` writes, from the manifest alone."""
     counts: dict[str, int] = {}
@@ -85,4 +100,4 @@ def compact_index(store: Store, values: list[int]) -> int:
     rest = [written_in(path) for name, value, path in base.parts if name == "postings" and value not in chosen]
     oldest = min(rest, default=number)
     gone = store.read("gone", base.version).filter(F.col("round") > oldest)
-    return store.commit({"postings": Change(rows, "bucket", tuple(values), ORDER), "gone": Change(gone)}, base)
+    return store.commit({"postings": _change(rows, tuple(values)), "gone": Change(gone)}, base)

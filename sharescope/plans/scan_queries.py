@@ -175,13 +175,13 @@ def _by_word(rows: DataFrame) -> DataFrame:
 @query("R6 I7 I8", _INDEXED)
 def index_after_scan(e: Estate) -> DataFrame:
     """Base, later round and tombstones, merged as they are read, against an index built from scratch."""
-    return _by_word(LI.live_postings(indexed_scan(e, False)))
+    return _by_word(LI.dealt_postings(indexed_scan(e, False)))
 
 
 @query("R6 I7 I8", _INDEXED)
 def index_compacted(e: Estate) -> DataFrame:
     """The same after two thirds of the buckets were compacted."""
-    return _by_word(LI.live_postings(indexed_scan(e, True)))
+    return _by_word(LI.dealt_postings(indexed_scan(e, True)))
 
 
 @query("I10", f"""WITH texts AS (SELECT file_id, 'A' AS field, name AS t FROM est_files UNION ALL SELECT file_id, 'B', CASE WHEN s.share_id = 3 THEN 'Renombrado' ELSE s.name END || ' ' || f.fpath FROM est_files f JOIN est_shares s USING (share_id)
@@ -193,4 +193,4 @@ def index_after_rename(e: Estate) -> DataFrame:
     LI.start_index(index, e.files, e.folders, e.shares, e.documents)
     renamed = e.shares.withColumn("name", F.when(F.col("share_id") == 3, "Renombrado").otherwise(F.col("name")))
     LI.rename_in_index(index, e.files.filter("share_id = 3"), e.folders, renamed)
-    return _by_word(LI.live_postings(index))
+    return _by_word(LI.dealt_postings(index))

@@ -29,13 +29,14 @@ class Change:
     """New rows of a table, and what they stand instead of.
 
     `replaces` is "all", "own" (the partitions the rows lie in), "nothing" (rows are added), or a list of partition values, which go
-    whether or not rows take their place. `order` sorts the rows of each file.
+    whether or not rows take their place. `order` sorts the rows of each file, `file_rows` is the most rows of a file (0: any number).
     """
 
     rows: DataFrame
     partition: str | None = None
     replaces: str | tuple = "all"
     order: tuple[str, ...] = ()
+    file_rows: int = 0
 
 
 @dataclass(frozen=True)
@@ -108,7 +109,7 @@ class Store:
         dealt = rows.hint("rebalance", column) if column else rows
         if change.order:
             dealt = dealt.sortWithinPartitions(*([column] if column else []), *change.order)
-        writer = dealt.write.mode("error")
+        writer = dealt.write.mode("error").option("maxRecordsPerFile", change.file_rows)
         (writer.partitionBy(column) if column else writer).parquet(f"{self.folder}/{place}")
         if column is None:
             return [(name, None, place)]

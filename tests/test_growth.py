@@ -1,9 +1,11 @@
 """Steps whose rows or batches must grow with the input and the result, not faster."""
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from sharescope.operators import indexing as I
+from sharescope.operators import liveindex as LI
 from sharescope.operators import permissions as X
 from sharescope.operators import principals as PR
 from sharescope.operators import reports as R
@@ -11,6 +13,7 @@ from sharescope.operators import search as Q
 from sharescope.plans import catalogue_queries as CQ
 from sharescope.sources import catalogue as K
 from sharescope.sources import texts as TX
+from sharescope.sources.versions import Store
 from tests.fixtures import EVERYONE, FINANCE, FULL, HR, MODIFY, READ, acls_of, files_of, folders_of, frame, shares_of
 
 
@@ -99,3 +102,25 @@ def test_matching_and_relevance_read_the_texts_once_and_deal_their_hits(spark, m
     found = Q.matches(lib, [EVERYONE], Q.SearchParams("plan obra"), "postings", False)
     assert found.filter("score > 0").count() == 20 and len(calls) == 1
     assert Q.store_hits(lib, [Q.parse("plan obra")], False).tasks == 60 // 10 + 1
+
+
+def test_splits_and_tasks_of_postings_follow_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(LI, "FILE_ROWS", 10)
+    monkeypatch.setattr(LI, "POSTINGS_PART", 10)
+    store, shares, folders = Store(spark, str(tmp_path / "index")), shares_of(spark), folders_of(spark, [("", "a")])
+    files = files_of(spark, [(i, "", f"n{i}.txt") for i in range(40)])
+    documents = frame(spark, [(i, "plan " * (i + 1)) for i in range(40)] + [(None, "plan plan"), (7, "plan")], "file_id bigint, content string")
+    LI.start_index(store, files, folders, shares, documents, buckets=2)
+    renamed = shares.withColumn("name", shares["path"])
+    LI.rename_in_index(store, files.filter("file_id < 9"), folders, renamed, buckets=2)
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in (tmp_path / "index").glob("data/write=postings-*/*/*.parquet")]
+    # A frequent word was one file, whatever its postings, as they compress well.
+    assert max(sizes) <= 10 and sum(sizes) == store.read("postings").count()
+    dealt = LI.dealt_postings(store)
+    assert dealt.rdd.getNumPartitions() == sum(sizes) // 10 + 1
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(dealt) == rows(LI.live_postings(store))
+    # Every posting of a word and file is in one task, those of the frequent word are in many.
+    places = dealt.selectExpr("word", "file_id", "spark_partition_id() AS task").distinct()
+    assert places.count() == places.select("word", "file_id").distinct().count()
+    assert places.filter("word = 'plan'").select("task").distinct().count() > 5
