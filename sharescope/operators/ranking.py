@@ -66,10 +66,12 @@ def cover_scores(hits: DataFrame, counts: DataFrame, rows: list[tuple], tasks: i
         return hits.sparkSession.createDataFrame([], "query_no int, file_id long, score double")
     inverse = reduce(lambda c, kv: F.when(F.col("field") == kv[0], round(10 / kv[1])).otherwise(c), WEIGHTS.items(), F.lit(0))
     before = F.when(F.col("field") == "C", F.col("name_words") + F.col("place_words")).when(F.col("field") == "B", F.col("name_words")).otherwise(0)
-    placed = (hits.filter("unit = 0").join(counts, "file_id").withColumn("slot", _slot(slots, rows)).filter("slot IS NOT NULL")
-              .select(*FILE, "slot", "offset", "word_count", "field", (F.col("pos") + before).cast("long").alias("at"), inverse.alias("inverse")))
+    asked = hits.filter("unit = 0").withColumn("slot", _slot(slots, rows)).filter("slot IS NOT NULL").select(*FILE, "slot", "offset", "word_count", "field", "pos")
     if tasks:
-        placed = placed.repartition(tasks, *FILE)
+        asked = asked.repartition(tasks, "file_id")
+    # Stored hits compress so well that by their files' size the driver would build and send a table of all of them: they are merged with the counts instead.
+    placed = asked.join(counts.hint("merge"), "file_id").select(
+        *FILE, "slot", "offset", "word_count", "field", (F.col("pos") + before).cast("long").alias("at"), inverse.alias("inverse"))
     # A word that several items ask for is one word: only its first row counts.
     order = Window.partitionBy(*FILE).orderBy("at")
     first = F.coalesce(F.lag("at").over(order) != F.col("at"), F.lit(True)).cast("int")

@@ -8,6 +8,7 @@ from sharescope.operators import indexing as I
 from sharescope.operators import liveindex as LI
 from sharescope.operators import permissions as X
 from sharescope.operators import principals as PR
+from sharescope.operators import ranking as RK
 from sharescope.operators import reports as R
 from sharescope.operators import search as Q
 from sharescope.plans import catalogue_queries as CQ
@@ -104,6 +105,24 @@ def test_matching_and_relevance_read_the_texts_once_and_deal_their_hits(spark, m
     assert Q.store_hits(lib, [Q.parse("plan obra")], False).tasks == 60 // 10 + 1
 
 
+def test_stored_hits_are_not_handed_whole_to_the_driver(spark):
+    folders, shares, query = folders_of(spark, [("", "a")]), shares_of(spark), [Q.parse('plan "de obra"')]
+    files = files_of(spark, [(i, "", f"n{i}.txt") for i in range(20)])
+    documents = frame(spark, [(i, "el plan de obra " + "y " * i + "plan") for i in range(20)] + [(None, "plan de obra")], "file_id bigint, content string")
+    lib = Q.Library(shares, folders, files, acls_of(spark, [("a", EVERYONE, "allow", READ, 3)]), documents)
+    lib.postings = I.postings(files, folders, shares, documents)
+    kept = Q.store_hits(lib, query, False)
+    counts = RK.word_counts(files.selectExpr("file_id", "name", "'Docs' AS share", "'' AS folder_path"))
+    for tasks in (kept.tasks, None):
+        scores = RK.cover_scores(kept.rows, counts, Q.asked_rows(query, False), tasks)
+        # Their files are small, as they compress well: before, the driver built a table of all hits and sent it to every task.
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        got = {r.file_id: r.score for r in scores.collect()}
+        # "plan de obra" is near, "de obra y ... plan" ever farther.
+        assert got == {i: round(0.2 + 0.2 / (1 + i), 6) for i in range(20)}
+
+
 def test_splits_and_tasks_of_postings_follow_their_number(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(LI, "FILE_ROWS", 10)
     monkeypatch.setattr(LI, "POSTINGS_PART", 10)
