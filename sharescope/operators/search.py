@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -428,9 +428,9 @@ SEGMENTS = "array<struct<text:string,hit:boolean>>"
 
 
 def hit_pattern(terms: list[str]) -> str:
-    """Words that begin like one of the terms; longer beginnings first."""
+    """Words that begin like one of the terms; longer beginnings first. Without terms there are none."""
     starts = {t[:-ENDING] if len(t) > SHORTEST + ENDING else t[:SHORTEST] for t in terms}
-    return rf"(?<!{_LETTER})(?:{'|'.join(re.escape(s) for s in sorted(starts, key=lambda s: (-len(s), s)))}){_LETTER}*"
+    return rf"(?<!{_LETTER})(?:{'|'.join(re.escape(s) for s in sorted(starts, key=lambda s: (-len(s), s))) or '(?!)'}){_LETTER}*"
 
 
 def snippet(content: Column, terms: list[str], width: int = WIDTH) -> Column:
@@ -477,6 +477,12 @@ def snippet(content: Column, terms: list[str], width: int = WIDTH) -> Column:
     return let(F.struct(content.alias("text"), fold(content).alias("folded")), lambda s: F.when(F.length(s["text"]) > 0, let(cut(s), marked)).otherwise(F.array().cast(SEGMENTS)))
 
 
+def snippet_segments(text: str, terms: list[str], width: int = WIDTH) -> list[dict]:
+    """The snippet of one text, worked out in the running session."""
+    row = SparkSession.active().range(1).select(snippet(F.lit(text), terms, width).alias("segments")).first()
+    return [s.asDict() for s in row.segments]
+
+
 def with_snippets(results: DataFrame, documents: DataFrame, query: Query, width: int = WIDTH) -> DataFrame:
     """Adds `snippet` to one page of results; contents are joined only for that page."""
     if not query.terms:
